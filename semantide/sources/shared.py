@@ -22,7 +22,6 @@ def shared_dir(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     own = os.path.join(tempfile.gettempdir(), "semantide-shared")
     os.makedirs(own, exist_ok=True)
-    spark.conf.set("spark.checkpoint.dir", own)
     return own
 
 
