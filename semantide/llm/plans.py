@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from semantide.llm.neardup import NearDuplicates
 from semantide.llm.spans import SharedSpans
 from semantide.plans import Registry
 from semantide.sources.tables import table
@@ -32,3 +33,15 @@ def p4_shared_part(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce("longest_span", F.lit(0)).alias("longest_span"),
         F.coalesce(F.try_divide("shared_chars", n), F.lit(0.0)).alias("shared_part"),
     )
+
+
+@REGISTRY.query("p3_found")
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of programs whose sets of three successive tokens have a similarity of 0.6 or more."""
+    return NearDuplicates(table(spark, sf_dir, "code"), "unique_id", "code", 0.6, 3).pairs()
+
+
+@REGISTRY.query("p3_groups")
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of programs that are mostly the same, a row for each program in one."""
+    return NearDuplicates(table(spark, sf_dir, "code"), "unique_id", "code", 0.6, 3).groups().withColumnRenamed("id", "unique_id")
