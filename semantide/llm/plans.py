@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from semantide.llm.encoding import garbled
+from semantide.llm.leakage import leaks
+from semantide.llm.mixing import Mix
 from semantide.llm.neardup import NearDuplicates
+from semantide.llm.quality import quality
 from semantide.llm.spans import SharedSpans
 from semantide.plans import Registry
 from semantide.sources.tables import table
 
 REGISTRY = Registry()
 
+#: Folder of the public tokenizers' vocabularies.
+TOKENIZERS = os.environ.get("SEMANTIDE_TOKENIZERS", "/opt/tokenizers")
+
 
 @REGISTRY.query("p4_found")
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,3 +54,67 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of programs that are mostly the same, a row for each program in one."""
     return NearDuplicates(table(spark, sf_dir, "code"), "unique_id", "code", 0.6, 3).groups().withColumnRenamed("id", "unique_id")
+
+
+@REGISTRY.query("p5_found")
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Programs with a comment or string that was decoded with a wrong character set."""
+    return garbled(table(spark, sf_dir, "code"), "unique_id", "code", restored=False).select(F.col("id").alias("unique_id"))
+
+
+@REGISTRY.query("p5_restored")
+def p5_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Garbled programs with the chain of character sets and, where nothing was lost, the original text."""
+    found = garbled(table(spark, sf_dir, "code"), "unique_id", "code")
+    return found.select(
+        F.col("id").alias("unique_id"), "chain", "garbled_lines", "lost_lines", F.when(F.col("lost_lines") == 0, F.col("restored")).alias("restored")
+    )
+
+
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text", "answer")
+
+
+@REGISTRY.query("p6_found")
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the benchmark items they give away."""
+    return _leaks(spark, sf_dir).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
+
+
+@REGISTRY.query("p6_passages")
+def p6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leaked passages with their offsets in the original text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = _leaks(spark, sf_dir).withColumnRenamed("doc", "doc_id").withColumnRenamed("item", "item_id")
+    return found.join(docs, "doc_id").select(
+        "doc_id", "item_id", "start", "stop", "words", F.expr("substring(text, cast(start + 1 as int), cast(stop - start as int))").alias("passage")
+    )
+
+
+@REGISTRY.query("p7_mix")
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of the mix and how often each is used."""
+    return _mix(spark, sf_dir).chosen().withColumnRenamed("id", "doc_id")
+
+
+@REGISTRY.query("p7_shares")
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of every source."""
+    return _mix(spark, sf_dir).shares()
+
+
+def _mix(spark: SparkSession, sf_dir: str) -> Mix:
+    return Mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), table(spark, sf_dir, "common_words"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+
+
+@REGISTRY.query("p8_found")
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are a list, a table or junk as a whole."""
+    rows = quality(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "common_words"))
+    return rows.where("NOT prose").select(F.col("id").alias("doc_id"))
+
+
+@REGISTRY.query("p8_quality")
+def p8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All statistics and the verdict of every document."""
+    return quality(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "common_words")).withColumnRenamed("id", "doc_id")
