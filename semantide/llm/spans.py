@@ -120,8 +120,12 @@ def _anchor_mapper(half: int):
                 pieces.clear()
                 if found is not None:
                     rows, pos, h = found
+                    order = np.lexsort((h, rows))
+                    fresh = np.zeros(len(h), np.int32)
+                    fresh[order] = np.r_[True, (np.diff(rows[order]) != 0) | (h[order][1:] != h[order][:-1])]
                     yield pa.RecordBatch.from_arrays(
-                        [ids.take(pa.array(rows)), pa.array(pos, pa.int64()), pa.array(h, pa.int64())], ["id", "pos", "h"]
+                        [ids.take(pa.array(rows)), pa.array(pos, pa.int64()), pa.array(h, pa.int64()), pa.array(fresh)],
+                        ["id", "pos", "h", "fresh"],
                     )
 
             for row, text in enumerate(batch.column(1).to_pylist()):
@@ -199,14 +203,12 @@ class SharedSpans:
         self.half = half = min_len // 2
         texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
         self.id_type = texts.schema["id"].dataType.simpleString()
-        schema = f"id {self.id_type}, pos long, h long"
-        anchors = materialise(
-            texts.where(F.length("text") >= min_len).mapInArrow(_anchor_mapper(half), schema), "anchors"
-        )
-        # Level 1: an anchor survives if two records have it. Partial aggregation keeps hot anchors small.
-        repeated = (
-            anchors.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("h")
-        )
+        schema = f"id {self.id_type}, pos long, h long, fresh int"
+        # Read twice and hashed twice: that costs less than a table of all anchors.
+        anchors = texts.where(F.length("text") >= min_len).mapInArrow(_anchor_mapper(half), schema)
+        # Level 1: an anchor survives if two records have it (or two pieces of one long text; classes tell).
+        # Partial aggregation keeps hot anchors small.
+        repeated = anchors.groupBy("h").agg(F.sum("fresh").alias("records")).where("records > 1").select("h")
         alive = anchors.join(repeated, "h", "left_semi").groupBy("id").agg(F.collect_list(F.struct("pos", "h")).alias("at"))
         located = texts.join(alive, "id").select("id", "text", F.col("at.pos").alias("pos"), F.col("at.h").alias("h"))
         contexts = located.mapInArrow(_context_mapper(half), f"id {self.id_type}, pos long, h long, l string, r string")
