@@ -19,7 +19,7 @@ Defined results: null texts and texts with fewer than ``n`` tokens have no partn
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import ceil
 
 import numpy as np
@@ -79,13 +79,17 @@ def _spare(n: int) -> int:
     return 1 + n // 32
 
 
-def _sketch_mapper(pattern: str, n: int, threshold: float, common: np.ndarray, weight: np.ndarray):
+def _as_is(text: str) -> str:
+    return text
+
+
+def _sketch_mapper(pattern: str, n: int, threshold: float, common: np.ndarray, weight: np.ndarray, prepare: Callable[[str], str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, known = re.compile(pattern).findall, _Hashes()
         for batch in batches:
             ids, keep, sizes, sums, firsts, prefixes = batch.column(0), [], [], [], [], []
             for row, text in enumerate(batch.column(1).to_pylist()):
-                h = run_hashes(find(text), n, known) if text else ()
+                h = run_hashes(find(prepare(text)), n, known) if text else ()
                 size = len(h)
                 if not size:
                     continue
@@ -117,13 +121,13 @@ def _sketch_mapper(pattern: str, n: int, threshold: float, common: np.ndarray, w
     return run
 
 
-def _set_mapper(pattern: str, n: int):
+def _set_mapper(pattern: str, n: int, prepare: Callable[[str], str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, known = re.compile(pattern).findall, _Hashes()
         for batch in batches:
             sets = []
             for text in batch.column(1).to_pylist():
-                h = run_hashes(find(text or ""), n, known)
+                h = run_hashes(find(prepare(text)), n, known)
                 sets.append(h.view(np.uint8).reshape(-1, 8)[:, :WIDTH].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "runs"])
 
@@ -153,17 +157,29 @@ class NearDuplicates:
     """Similar records of ``df``; see the module's text.
 
     ``id_col`` is a unique key; other columns are ignored. Similarity is the number of
-    common runs by the number of all runs of the two records.
+    common runs by the number of all runs of the two records. ``prepare`` is applied to a
+    text before it is read. With ``probes`` (a column ``id``) only pairs with one of these records count.
     """
 
-    def __init__(self, df: DataFrame, id_col: str, text_col: str, threshold: float = 0.8, n: int = 5, token: str = TOKEN):
+    def __init__(
+        self,
+        df: DataFrame,
+        id_col: str,
+        text_col: str,
+        threshold: float = 0.8,
+        n: int = 5,
+        token: str = TOKEN,
+        prepare: Callable[[str], str] = _as_is,
+        probes: DataFrame | None = None,
+    ):
+        self.prepare, self.probes = prepare, probes
         self.texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
         self.threshold, self.n, self.token = threshold, n, token
         self.id_type = self.texts.schema["id"].dataType.simpleString()
         common, weight = self._order()
         sketches = materialise(
             self.texts.mapInArrow(
-                _sketch_mapper(token, n, threshold, common, weight), f"id {self.id_type}, n int, c long, g long, prefix array<long>"
+                _sketch_mapper(token, n, threshold, common, weight, prepare), f"id {self.id_type}, n int, c long, g long, prefix array<long>"
             ),
             "sketches",
         )
@@ -180,7 +196,7 @@ class NearDuplicates:
         """Frequent runs of the sample and how many of its records have them."""
         sample = self.texts.where(F.length("text") <= ORDER_CHARS).limit(ORDER_SAMPLE).select("text").toPandas()["text"]
         find, known = re.compile(self.token).findall, _Hashes()
-        sets = [run_hashes(find(t), self.n, known) for t in sample]
+        sets = [run_hashes(find(self.prepare(t)), self.n, known) for t in sample]
         runs, seen = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_counts=True)
         return runs[seen > 1], seen[seen > 1].astype(np.int32)
 
@@ -207,8 +223,11 @@ class NearDuplicates:
         )
         matrix = placed.select(F.explode("prefix").alias("run"), "grp", "k").repartition("run").groupBy("run", "grp").agg(F.min("k").alias("k"))
         left = matrix.select("run", F.col("grp").alias("ga"), F.col("k").alias("ka"))
+        if self.probes is not None:
+            left = left.join(self._probed(placed).select(F.col("grp").alias("ga")), "ga", "left_semi")
         right = matrix.select("run", F.col("grp").alias("gb"), F.col("k").alias("kb"))
-        bound = left.join(right, "run").where("ga < gb").groupBy("ga", "gb").agg(
+        order = "ga < gb" if self.probes is None else "ga <> gb"
+        bound = left.join(right, "run").where(order).groupBy("ga", "gb").agg(
             F.count("*").alias("shared"), F.min(F.least("ka", "kb")).alias("least")
         )
         open_groups = bound.where(F.col("shared") >= F.col("least")).select("ga", "gb")
@@ -218,12 +237,18 @@ class NearDuplicates:
         opened = open_groups.join(a, "ga").join(b, "gb").select("a", "na", "b", "nb")
         inside = a.join(b.withColumnRenamed("gb", "ga"), "ga").where("a < b").select("a", "na", "b", "nb")
         fits = F.least("na", "nb") >= F.lit(self.threshold) * F.greatest("na", "nb") - 1e-9
-        return opened.union(inside).where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        pairs = opened.union(inside).where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        return pairs if self.probes is None else pairs.distinct()
+
+    def _probed(self, placed: DataFrame) -> DataFrame:
+        """Groups that hold a probe, or a copy of one."""
+        stand_ins = self.copies.join(self.probes, "id", "left_semi").select(F.col("rep").alias("id")).union(self.probes)
+        return placed.select("id", "grp").join(stand_ins, "id", "left_semi").select("grp").distinct()
 
     def _compare(self, candidates: DataFrame) -> DataFrame:
         pairs = materialise(candidates, "candidates")
         involved = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        sets = self.texts.join(involved, "id", "left_semi").mapInArrow(_set_mapper(self.token, self.n), f"id {self.id_type}, runs binary")
+        sets = self.texts.join(involved, "id", "left_semi").mapInArrow(_set_mapper(self.token, self.n, self.prepare), f"id {self.id_type}, runs binary")
         sets = materialise(sets, "sets")
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("runs").alias("x")), "a").join(
             sets.select(F.col("id").alias("b"), F.col("runs").alias("y")), "b"
@@ -245,6 +270,12 @@ class NearDuplicates:
         spread = both.select(F.coalesce("ma", "a").alias("a"), F.coalesce("mb", "b").alias("b"))
         return same.select("a", "b").union(spread).select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"))
 
+    def partners(self) -> DataFrame:
+        """``id``, ``other``: for each record the similar ones, with ``probes`` only those among them."""
+        both = self.pairs()
+        rows = both.select(F.col("id_a").alias("id"), F.col("id_b").alias("other")).union(both.select("id_b", "id_a"))
+        return rows if self.probes is None else rows.join(self.probes.select(F.col("id").alias("other")), "other", "left_semi").select("id", "other")
+
     def groups(self) -> DataFrame:
         """``id``, ``group_id`` (its least id), ``n_links``: one row for each record with a partner."""
         edges = self.links().select(F.col("a").alias("src"), F.col("b").alias("dst")).union(self.copies.select("rep", "id"))

@@ -11,6 +11,7 @@ from semantide.llm.encoding import garbled
 from semantide.llm.leakage import leaks
 from semantide.llm.mixing import Mix
 from semantide.llm.neardup import NearDuplicates
+from semantide.llm.provenance import not_hand_written
 from semantide.llm.quality import quality
 from semantide.llm.spans import SharedSpans
 from semantide.plans import Registry
@@ -118,3 +119,19 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All statistics and the verdict of every document."""
     return quality(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "common_words")).withColumnRenamed("id", "doc_id")
+
+
+def _not_hand_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return not_hand_written(table(spark, sf_dir, "code"), "unique_id", "code", "repo_name", "path", "file_name")
+
+
+@REGISTRY.query("p1_found")
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that are tool output, minified, mostly data, or a copy of an outside project's file."""
+    return _not_hand_written(spark, sf_dir).select(F.col("id").alias("unique_id"))
+
+
+@REGISTRY.query("p1_reasons")
+def p1_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files with the reason and, for outside code, the project."""
+    return _not_hand_written(spark, sf_dir).withColumnRenamed("id", "unique_id")
