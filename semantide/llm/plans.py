@@ -13,6 +13,7 @@ from semantide.llm.mixing import Mix
 from semantide.llm.neardup import NearDuplicates
 from semantide.llm.provenance import not_hand_written
 from semantide.llm.quality import quality
+from semantide.llm.syntax import Syntax, rates
 from semantide.llm.spans import SharedSpans
 from semantide.plans import Registry
 from semantide.sources.tables import table
@@ -135,3 +136,33 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same files with the reason and, for outside code, the project."""
     return _not_hand_written(spark, sf_dir).withColumnRenamed("id", "unique_id")
+
+
+def _syntax(spark: SparkSession, sf_dir: str) -> Syntax:
+    return Syntax(table(spark, sf_dir, "code"), "unique_id", "code", "file_name")
+
+
+@REGISTRY.query("p2_found")
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that aren't valid in the language of their extension."""
+    return _syntax(spark, sf_dir).invalid().withColumnRenamed("id", "unique_id")
+
+
+@REGISTRY.query("p2_flags")
+def p2_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A flag for each file, and what the semantic record of the program says: without functions it bears no witness."""
+    code = table(spark, sf_dir, "code").where("code IS NOT NULL").select("unique_id", "program", "repo_name")
+    bad = _syntax(spark, sf_dir).invalid().select(F.col("id").alias("unique_id"), F.lit(True).alias("bad"))
+    witness = table(spark, sf_dir, "parsed_code").groupBy("program").agg(F.max(F.coalesce(F.size("functions"), F.lit(0))).alias("functions_seen"))
+    return (
+        code.join(bad, "unique_id", "left")
+        .join(witness, "program", "left")
+        .select("unique_id", "repo_name", F.coalesce("bad", F.lit(False)).alias("invalid"), F.coalesce("functions_seen", F.lit(0)).alias("functions_seen"))
+    )
+
+
+@REGISTRY.query("p2_rates")
+def p2_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of invalid files by repository and language."""
+    code = table(spark, sf_dir, "code")
+    return rates(code, _syntax(spark, sf_dir).invalid(), "unique_id", "repo_name", "file_name", "code").withColumnRenamed("repo", "repo_name")
