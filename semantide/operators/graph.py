@@ -40,3 +40,70 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
     return nodes.join(work.select(F.col("hi").alias("id"), "lo"), "id", "left").select("id", F.coalesce("lo", "id").alias("component"))
+
+
+def closure(edges: DataFrame, keys: list[str], max_rounds: int = 40) -> DataFrame:
+    """``keys``, ``src``, ``dst``: all pairs with a path of one or more edges, within each graph named by ``keys``.
+
+    Paths are doubled in each round, so the rounds are the logarithm of the longest shortest path. Meant
+    for many graphs of bounded size, such as the call graph of a program. Rows with a null end are ignored.
+    """
+    step = edges.where("src IS NOT NULL AND dst IS NOT NULL").select(*keys, "src", "dst").distinct()
+    known = materialise(step, "closure")
+    size = known.count()
+    for _ in range(max_rounds):
+        ahead = known.select(*keys, F.col("src").alias("dst"), F.col("dst").alias("far"))
+        longer = known.join(ahead, [*keys, "dst"]).select(*keys, "src", F.col("far").alias("dst"))
+        known = materialise(known.union(longer).distinct(), "closure")
+        now = known.count()
+        if now == size:
+            return known
+        size = now
+    raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
+
+
+def reachable(edges: DataFrame, sources: DataFrame, keys: list[str], max_rounds: int = 10_000) -> DataFrame:
+    """``keys``, ``node``: the sources and all they reach, semi-naively: each round only follows the nodes that were new.
+
+    ``sources`` has ``keys`` and ``node``.
+    """
+    step = materialise(edges.where("src IS NOT NULL AND dst IS NOT NULL").select(*keys, "src", "dst").distinct(), "edges")
+    seen = materialise(sources.select(*keys, "node").distinct(), "seen")
+    fresh = seen
+    for _ in range(max_rounds):
+        found = fresh.join(step.withColumnRenamed("src", "node"), [*keys, "node"]).select(*keys, F.col("dst").alias("node")).distinct()
+        fresh = materialise(found.join(seen, [*keys, "node"], "left_anti"), "fresh")
+        if not fresh.limit(1).count():
+            return seen
+        seen = materialise(seen.union(fresh), "seen")
+    raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
+
+
+def dead_nodes(nodes: DataFrame, edges: DataFrame, entries: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys``, ``node``: nodes no entry reaches."""
+    return nodes.select(*keys, "node").distinct().join(reachable(edges, entries, keys), [*keys, "node"], "left_anti")
+
+
+def strict_dominators(edges: DataFrame, entries: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys``, ``a``, ``b``: a is on every path from the entry to b, a is neither b nor the entry.
+
+    By the definition: b is reachable, but not once a is removed. One reachability runs over all removed
+    nodes at once, its state being (removed, node). ``entries`` has ``keys`` and ``node``, one row a graph.
+    """
+    live = materialise(reachable(edges, entries, keys), "live")
+    inner = live.join(entries, [*keys, "node"], "left_anti")
+    removed = inner.withColumnRenamed("node", "removed")
+    step = edges.select(*keys, "src", "dst").distinct().join(removed, keys).where("src <> removed AND dst <> removed")
+    start = removed.join(entries, keys).select(*keys, "removed", "node")
+    around = reachable(step, start, [*keys, "removed"])
+    pairs = removed.join(inner, keys).where("removed <> node")
+    return pairs.join(around, [*keys, "removed", "node"], "left_anti").select(*keys, F.col("removed").alias("a"), F.col("node").alias("b"))
+
+
+def call_edges(functions: DataFrame, known_only: bool = True) -> DataFrame:
+    """``program``, ``src``, ``dst`` from rows of ``program`` and ``functions``; with ``known_only`` calls of outside functions are left out."""
+    each = functions.select("program", F.explode("functions").alias("f")).select("program", F.col("f.name").alias("src"), F.col("f.calls").alias("calls"))
+    edges = each.select("program", "src", F.explode("calls").alias("dst")).distinct()
+    if known_only:
+        edges = edges.join(each.select("program", F.col("src").alias("dst")).distinct(), ["program", "dst"], "left_semi")
+    return edges.select("program", "src", "dst")
