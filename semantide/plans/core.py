@@ -1,7 +1,10 @@
-"""All queries for the reference's operators."""
+"""All queries for the corpus, question, answer and statistics operators."""
 
 from __future__ import annotations
 
-from semantide.plans import Registry
+from semantide.plans import Registry, programs, questions, relations, results
 
 REGISTRY = Registry()
+for part in (programs, questions, relations, results):
+    for name, query in part.REGISTRY.queries.items():
+        REGISTRY.query(name, part.REGISTRY.sql.get(name))(query)
