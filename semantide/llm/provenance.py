@@ -89,9 +89,9 @@ TEMPLATE_SHARE, TEMPLATE_LINES, DATA_SHARE = 0.9, 15, 0.6
 _NUMBERS = re.compile(r"(?:[-+]?(?:0[xX][0-9a-fA-F]+|\d+\.?\d*(?:[eE][-+]?\d+)?)[uUlLfF]*[\s,;:|{}\[\]()]*){4,}")
 _ENCODED = re.compile(r"[A-Za-z0-9+/=_-]{48,}|(?:\\x[0-9a-fA-F]{2}){8,}|(?:\\[0-7]{3}){8,}")
 _WORDS = re.compile(r"[A-Za-z_]\w*")
-_KEEP = frozenset("if else for while return def class switch case int void static const import from try except".split())
 _COMMENT = re.compile(r"\s*(?://|/\*|\*|#(?!\s*(?:define|include|if|ifdef|ifndef|endif|else|elif|undef|pragma)\b))")
 _NUM = re.compile(r"0[xX][0-9a-fA-F]+|\d+")
+_NO_DIGITS = str.maketrans("", "", "0123456789")
 _HEADER = re.compile(r"\s*(?:(?:#(?!\s*(?:define|include|if|ifdef|ifndef|endif|else|elif|undef|pragma)\b)[^\n]*\n|//[^\n]*\n|/\*.*?\*/|\"\"\".*?\"\"\"|'''.*?''')\s*)+", re.S)
 
 
@@ -193,20 +193,24 @@ def _minified(text: str, words: list[str]) -> bool:
     return (n / lines > 100 or longest > 400) and blanks < 0.12 * n and short < 3.4 and len(words) > 40
 
 
-def _data_share(text: str, solid: int) -> float:
-    data = sum(len("".join(m.group().split())) for m in _NUMBERS.finditer(text))
-    data += sum(len(m.group()) for m in _ENCODED.finditer(text))
+def _data_share(text: str, parts: list[str], solid: int) -> float:
+    """Share of the visible characters in lists of numbers and in encoded strings.
+
+    Regular expressions run only where there can be any: numbers need a digit in twelve characters, an
+    encoded string a stretch of 32 characters without blanks.
+    """
+    data = 0
+    if (len(text) - len(text.translate(_NO_DIGITS))) * 12 >= solid:
+        data += sum(len("".join(m.group().split())) for m in _NUMBERS.finditer(text))
+    if max(map(len, parts), default=0) >= 32:
+        data += sum(len(m.group()) for m in _ENCODED.finditer(text))
     return data / solid if solid else 0.0
 
 
 def _template_share(text: str) -> tuple[float, int]:
-    """Share of the code lines in their four commonest templates, and their number."""
-    shapes = Counter()
-    for line in text.splitlines():
-        s = line.strip()
-        if s and not _COMMENT.match(line):
-            s = _NUM.sub("0", s)
-            shapes[_WORDS.sub(lambda m: m.group() if m.group() in _KEEP else "x", s)] += 1
+    """Share of the code lines in their four commonest templates, words and numbers left open, and their number."""
+    flat = _WORDS.sub("x", _NUM.sub("0", text)).splitlines()
+    shapes = Counter(t.strip() for line, t in zip(text.splitlines(), flat) if t and not t.isspace() and not _COMMENT.match(line))
     n = sum(shapes.values())
     return (sum(k for _, k in shapes.most_common(4)) / n if n else 0.0), n
 
@@ -227,10 +231,11 @@ def _mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             notice = bool(kinds & 1) and generated_notice(text)
             project = origin(text, repo) if kinds & 2 else None
             words = _WORDS.findall(text)
-            solid = len("".join(text.split()))
+            parts = text.split()
+            solid = sum(map(len, parts))
             share, lines = _template_share(text)
-            data = _data_share(text, solid)
-            dense = re.search(r"[0-9A-Za-z+/=]{48}|\d", text) is not None and data > DATA_SHARE and solid > 300
+            data = _data_share(text, parts, solid)
+            dense = data > DATA_SHARE and solid > 300
             tool = bool(_TOOL_PATH.search(place))
             templated = lines >= TEMPLATE_LINES and share >= (0.7 if tool else TEMPLATE_SHARE)
             folder = _VENDOR_DIR.search(place)
