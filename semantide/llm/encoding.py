@@ -12,7 +12,7 @@ are found, but not restored.
 
 Chains that start from UTF-8 prove themselves, since other text is hardly ever
 valid UTF-8. The other chains decode almost anything, so they need ``MIN_FOREIGN``
-characters and a margin of the classifier.
+characters, ``MIN_RUN`` of them in a row, and a margin of the classifier.
 
 Defined results: null, empty and ASCII texts are unharmed; a text is garbled if one line is.
 """
@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 BUCKETS = 8192
 #: Characters that aren't ASCII which a line needs for a chain that doesn't start from UTF-8.
 MIN_FOREIGN = 8
+#: Characters of the longest damaged stretch that such a chain needs.
+MIN_RUN = 5
 #: Log odds a character against "unharmed" for such a chain.
 MARGIN = 0.35
 
@@ -164,9 +166,7 @@ class Classifier:
 
     def __init__(self) -> None:
         counts = np.full((len(CHAINS + LOST) + 1, BUCKETS), 0.02)
-        for line in SEEDS + SYMBOLS:
-            np.add.at(counts[0], _features(line), 1.0)
-        for line in SYMBOLS * 3:
+        for line in SEEDS + [x.upper() for x in SEEDS] + SYMBOLS * 10:
             np.add.at(counts[0], _features(line), 1.0)
         for k, chain in enumerate(CHAINS + LOST, 1):
             for word in (w for line in SEEDS for w in (line, *line.split())):
@@ -194,7 +194,7 @@ class Classifier:
                 continue
             chain = CHAINS[k - 1]
             from_utf8 = chain[0][0] == "utf-8"
-            if not from_utf8 and (foreign < MIN_FOREIGN or s[k] - s[0] < MARGIN * foreign):
+            if not from_utf8 and (foreign < MIN_FOREIGN or max(map(len, runs)) < MIN_RUN or s[k] - s[0] < MARGIN * foreign):
                 continue
             try:
                 text = restore(line, chain)
