@@ -76,6 +76,18 @@ def words_of(text: str) -> tuple[list[str], list[int], list[int]]:
     return words, starts, stops
 
 
+_PLAIN = re.compile(r"[a-z0-9]+").findall
+_SPECIAL = re.compile(r"[<&\\]|-\r?\n|[^\x00-\x7f]").search
+_SILENT = str.maketrans("", "", "_'")
+
+
+def quick_words(text: str) -> list[str]:
+    """The words alone; texts without markup, escapes and foreign letters take a short way."""
+    if _SPECIAL(text):
+        return words_of(text)[0]
+    return _PLAIN(text.lower().translate(_SILENT))
+
+
 def _align(item: list[str], doc: list[str], lo: int, hi: int, need: int) -> tuple[int, int, int] | None:
     """First and last document word, and item words, of the best passage; None below ``need``."""
     where = defaultdict(list)
@@ -136,8 +148,7 @@ def _scan_mapper(items: list[tuple[object, list[str]]], min_words: int, id_type:
             for doc_id, text in zip(docs, batch.column(1).to_pylist()):
                 if not text or not seeds:
                     continue
-                words, starts, stops = words_of(text)
-                line = f" {' '.join(words)} "
+                line = f" {' '.join(quick_words(text))} "
                 hits: dict[int, list[int]] = defaultdict(list)
                 counted, at = 0, 0
                 for end, (_, owners) in automaton.iter(line):
@@ -145,6 +156,9 @@ def _scan_mapper(items: list[tuple[object, list[str]]], min_words: int, id_type:
                     at = end
                     for k in owners:
                         hits[k].append(counted - 1)
+                if not hits:
+                    continue
+                words, starts, stops = words_of(text)
                 for k, ends in hits.items():
                     item_id, item = items[k]
                     need = min(min_words, len(item))
