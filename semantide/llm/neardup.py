@@ -268,7 +268,7 @@ class NearDuplicates:
         left = links.join(copies.select(F.col("rep").alias("a"), F.col("id").alias("ma")), "a", "left")
         both = left.join(copies.select(F.col("rep").alias("b"), F.col("id").alias("mb")), "b", "left")
         spread = both.select(F.coalesce("ma", "a").alias("a"), F.coalesce("mb", "b").alias("b"))
-        return same.select("a", "b").union(spread).select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"))
+        return same.select("a", "b").union(spread).select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")).distinct()
 
     def partners(self) -> DataFrame:
         """``id``, ``other``: for each record the similar ones, with ``probes`` only those among them."""

@@ -24,7 +24,12 @@ REGISTRY = Registry()
 TOKENIZERS = os.environ.get("SEMANTIDE_TOKENIZERS", "/opt/tokenizers")
 
 
-@REGISTRY.query("p4_found")
+@REGISTRY.query(
+    "p4_found",
+    """WITH w AS (SELECT DISTINCT unique_id, substr(code, i, 200) AS s FROM (SELECT unique_id, code, unnest(range(1, length(code) - 198)) AS i FROM code WHERE length(code) >= 200)),
+m AS (SELECT list(unique_id) AS ids FROM w GROUP BY s HAVING count(*) > 1), u AS (SELECT DISTINCT list_sort(ids) AS ids FROM m), x AS (SELECT ids, unnest(ids) AS id_a FROM u)
+SELECT DISTINCT id_a, id_b FROM (SELECT id_a, unnest(ids) AS id_b FROM x) WHERE id_a < id_b""",
+)
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of programs with 200 or more successive code points in common."""
     return SharedSpans(table(spark, sf_dir, "code"), "unique_id", "code", 200).pairs()
@@ -46,7 +51,13 @@ def p4_shared_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@REGISTRY.query("p3_found")
+@REGISTRY.query(
+    "p3_found",
+    """WITH t AS (SELECT unique_id, regexp_extract_all(code, '[A-Za-z0-9_]+') AS t FROM code WHERE code IS NOT NULL),
+s AS (SELECT DISTINCT unique_id, t[i] || ' ' || t[i + 1] || ' ' || t[i + 2] AS run FROM (SELECT unique_id, t, unnest(range(1, len(t) - 1)) AS i FROM t WHERE len(t) >= 3)),
+n AS (SELECT unique_id, count(*) AS n FROM s GROUP BY 1), c AS (SELECT a.unique_id AS id_a, b.unique_id AS id_b, count(*) AS k FROM s a JOIN s b ON a.run = b.run AND a.unique_id < b.unique_id GROUP BY 1, 2)
+SELECT id_a, id_b FROM c JOIN n x ON x.unique_id = id_a JOIN n y ON y.unique_id = id_b WHERE k >= 0.6 * (x.n + y.n - k) - 1e-9""",
+)
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of programs whose sets of three successive tokens have a similarity of 0.6 or more."""
     return NearDuplicates(table(spark, sf_dir, "code"), "unique_id", "code", 0.6, 3).pairs()
@@ -166,3 +177,18 @@ def p2_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of invalid files by repository and language."""
     code = table(spark, sf_dir, "code")
     return rates(code, _syntax(spark, sf_dir).invalid(), "unique_id", "repo_name", "file_name", "code").withColumnRenamed("repo", "repo_name")
+
+
+@REGISTRY.query(
+    "p8_statistics",
+    r"""WITH w AS (SELECT doc_id, text, regexp_extract_all(text, '[\p{L}\p{N}_]+') AS ws, list_filter(regexp_split_to_array(text, '\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x{85}\x{2028}\x{2029}]'), lambda x: trim(x, ' ' || chr(9)) <> '') AS ls FROM documents WHERE text IS NOT NULL),
+k AS (SELECT list(DISTINCT lower(word)) AS words FROM common_words)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, round(list_avg(list_transform(ws, lambda x: length(x))), 6) AS mean_word_length,
+round(length(regexp_replace(text, '[\p{L}\p{N}\s]', '', 'g')) / nullif(length(regexp_replace(text, '\s', '', 'g')), 0)::DOUBLE, 6) AS symbol_ratio,
+round(len(list_filter(ls, lambda x: regexp_matches(rtrim(x), '([.!?\x{2026}:;]|[.!?]"|[.?!]\)|\.\x{201d}|\.\x{bb})$'))) / nullif(len(ls), 0)::DOUBLE, 6) AS closed_line_share,
+round(len(list_filter(ws, lambda x: list_contains(k.words, lower(x)))) / nullif(len(ws), 0)::DOUBLE, 6) AS common_share FROM w, k""",
+)
+def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of words, their mean length, and the shares of symbols, of lines that end in punctuation and of common words."""
+    rows = p8_quality(spark, sf_dir).where("n_words IS NOT NULL")
+    return rows.select("doc_id", "n_words", *[F.round(c, 6).alias(c) for c in ("mean_word_length", "symbol_ratio", "closed_line_share", "common_share")])

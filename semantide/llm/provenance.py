@@ -45,7 +45,7 @@ GENERATED = [
         r"@generated\b",
         r"\bcode generated (?:by|from)\b",
         r"\bmachine[- ](?:written|generated|made)\b(?! \w+ (?:are|is|go)\b)",
-        r"-\*-[^\n]*buffer-read-only:\s*t\b",
+        r"\bbuffer-read-only:\s*t\b",
         r"\b(?:this (?:file|code|module|source)|file) (?:is|was|has been) (?:auto-?|automatically |machine[- ])?(?:generated|produced|created|written|emitted) (?:automatically )?(?:by|from|with)\b",
         r"\bauto(?:matically)?[- ]?(?:generated|produced|created)\b[^\n]{0,40}(?:\b(?:by|from|with|using)\b|[-–—,;:!.]\s*(?:re-?generate|do not|don't|please|changes|edit|run|see|any)|$)",
         r"\bautogenerated \w+(?: \w+)? [-–—] regenerate\b",
