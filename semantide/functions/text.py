@@ -43,7 +43,7 @@ def strip_c_comments(text: Column) -> Column:
 
     An unfinished block comment runs to the end of the text.
     """
-    literal = r"\"(?:\\[\s\S]|[^\"\\])*+(?:\"|\z)|'(?:\\[\s\S]|[^'\\])*+(?:'|\z)"
+    literal = r"\"(?:\\[\s\S]|\\\z|[^\"\\])*+(?:\"|\z)|'(?:\\[\s\S]|\\\z|[^'\\])*+(?:'|\z)"
     no_line = F.regexp_replace(text, rf"({literal}|/\*(?:[^*]|\*(?!/))*+(?:\*/|\z))|//[^\n]*+", "$1")
     return _drop_blocks(no_line, literal)
 
@@ -141,4 +141,4 @@ def header_function(header: Column) -> Column:
 
 def error_digest(log: Column, most: int = 6) -> Column:
     """First lines of a log that aren't blank, joined by bars."""
-    return F.array_join(F.slice(F.filter(F.transform(lines(log), F.trim), lambda x: x != ""), 1, most), " | ")
+    return F.array_join(F.slice(F.filter(F.transform(lines(log), lambda x: F.trim(x)), lambda x: x != ""), 1, most), " | ")
