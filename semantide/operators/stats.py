@@ -34,9 +34,19 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     return _with_p(ranked.groupBy(*keys).agg(F.count("*").alias("n"), _corr().alias("r")))
 
 
+def correlation(x: str = "x", y: str = "y") -> Column:
+    """Aggregate: Pearson's r; null for a constant side (where the built-in raises)."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
+def slope(x: str = "x", y: str = "y") -> Column:
+    """Aggregate: slope of y on x; null for a constant x."""
+    return F.try_divide(F.covar_pop(x, y), F.var_pop(x))
+
+
 def _corr() -> Column:
-    varied = (F.min("x") < F.max("x")) & (F.min("y") < F.max("y")) & (F.count("*") >= 3)
-    return F.when(varied, F.corr("x", "y"))
+    r = correlation()
+    return F.when((F.count("*") >= 3) & r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
 
 
 def _with_p(df: DataFrame) -> DataFrame:
@@ -88,8 +98,8 @@ def linear_fit(df: DataFrame, keys: list[str], x: str, y: str, log_x: bool = Fal
         pairs = pairs.where("x > 0").withColumn("x", F.ln("x"))
     fits = pairs.groupBy(*keys).agg(
         F.count("*").alias("n"),
-        F.when((F.count("*") >= least) & (F.min("x") < F.max("x")), F.regr_slope("y", "x")).alias("slope"),
-        F.when((F.count("*") >= least) & (F.min("x") < F.max("x")), F.regr_intercept("y", "x")).alias("intercept"),
+        F.when(F.count("*") >= least, slope()).alias("slope"),
+        F.when(F.count("*") >= least, F.avg("y") - slope() * F.avg("x")).alias("intercept"),
         _corr().alias("r"),
     )
     return _with_p(fits)

@@ -255,4 +255,4 @@ def model_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 def measure_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Correlation and slope over a large table, in one aggregation."""
     rows = table(spark, sf_dir, "lineitem")
-    return rows.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.round(F.corr("l_quantity", "l_extendedprice"), 6).alias("r"), F.round(F.regr_slope("l_extendedprice", "l_quantity"), 4).alias("slope"))
+    return rows.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.round(stats.correlation("l_quantity", "l_extendedprice"), 6).alias("r"), F.round(stats.slope("l_quantity", "l_extendedprice"), 4).alias("slope"))

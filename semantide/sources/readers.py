@@ -18,6 +18,7 @@ def programs(spark: SparkSession, path: str, pattern: str = "*", recursive: bool
     """``path``, ``file_name``, ``program`` (stem), ``code``: each file whole.
 
     With ``errors`` "replace" bytes that aren't UTF-8 become U+FFFD; with "strict" such a file's code is null.
+    Files of zero bytes have no row, as in all of Spark's scans.
     """
     raw = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).load(path)
     text = F.col("content").cast("string")
