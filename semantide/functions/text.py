@@ -25,7 +25,7 @@ def _count(rows: Column, test) -> Column:
 
 
 def _blank(line: Column) -> Column:
-    return F.regexp_replace(line, r"(?U)^\s+|\s+$", "") == ""
+    return ~line.rlike(r"(?U)\S")
 
 
 def line_count(text: Column) -> Column:
@@ -63,7 +63,7 @@ def c_sloc(text: Column) -> Column:
 
 def python_comment_count(text: Column) -> Column:
     """Lines whose first visible character is a hash."""
-    return _count(lines(text), lambda x: F.regexp_replace(x, r"(?U)^\s+", "").startswith("#"))
+    return _count(lines(text), lambda x: x.rlike(r"(?U)^\s*#"))
 
 
 def python_sloc(text: Column) -> Column:

@@ -9,7 +9,7 @@ from semantide.functions import text as X
 from semantide.operators import analysis, dataflow, graph, profile
 from semantide.plans import Registry
 from semantide.sources.readers import derived_rates
-from semantide.sources.tables import table
+from semantide.sources.tables import table, text_table
 
 REGISTRY = Registry()
 
@@ -31,7 +31,7 @@ FROM lines""",
 )
 def loc_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines, lines that aren't blank and hash lines of every program."""
-    code = table(spark, sf_dir, "code").where("code IS NOT NULL")
+    code = text_table(spark, sf_dir, "code", "unique_id", "code").where("code IS NOT NULL")
     c = F.col("code")
     return code.select(
         "unique_id", X.line_count(c).cast("bigint").alias("total_lines"), X.non_blank_count(c).cast("bigint").alias("non_blank"), X.python_comment_count(c).cast("bigint").alias("hash_lines")
@@ -41,7 +41,7 @@ def loc_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.query("source_lines_of_code")
 def source_lines_of_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of code without comments: by a comment stripper for C, by line starts for Python."""
-    code = table(spark, sf_dir, "code").where("code IS NOT NULL")
+    code = text_table(spark, sf_dir, "code", "unique_id", "file_name", "code").where("code IS NOT NULL")
     lang = X.language_of(F.col("file_name"))
     return code.select("unique_id", lang.alias("language"), F.when(lang == "c", X.c_sloc(F.col("code"))).otherwise(X.python_sloc(F.col("code"))).alias("sloc"))
 
@@ -57,7 +57,7 @@ SELECT b.ordinal, b.bin, coalesce(c.n, 0) AS n, round(coalesce(c.n, 0) * 100.0 /
 )
 def loc_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Programs by size class, empty classes included."""
-    sized = table(spark, sf_dir, "code").select(X.non_blank_count(F.col("code")).alias("loc"))
+    sized = text_table(spark, sf_dir, "code", "code").select(X.non_blank_count(F.col("code")).alias("loc"))
     return profile.histogram(sized, "loc").withColumn("pct", F.round("pct", 6))
 
 
@@ -135,14 +135,14 @@ def name_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.query("ast_features")
 def ast_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts over the syntax tree of every Python program."""
-    code = table(spark, sf_dir, "code").where(F.lower("file_name").endswith(".py"))
+    code = text_table(spark, sf_dir, "code", "program", "file_name", "code").where(F.lower("file_name").endswith(".py"))
     return analysis.profile_trees(code, "program", "code")
 
 
 @REGISTRY.query("sampling_candidates")
 def sampling_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Python programs fit for sampling: they parse, have a function and a for loop; cheap tests come before the parse."""
-    code = table(spark, sf_dir, "code").where(F.lower("file_name").endswith(".py") & F.col("code").contains("for") & F.col("code").contains("def"))
+    code = text_table(spark, sf_dir, "code", "program", "file_name", "code").where(F.lower("file_name").endswith(".py") & F.col("code").contains("for") & F.col("code").contains("def"))
     sized = code.select("program", "code", X.non_blank_count(F.col("code")).alias("loc"))
     fit = analysis.profile_trees(sized.where("loc >= 10"), "program", "code").where("syntax_ok AND function_count > 0 AND has_for")
     return sized.join(fit, "program").select("program", "loc", X.loc_bin(F.col("loc")).alias("bin"), "function_count", "loop_count")
@@ -151,7 +151,7 @@ def sampling_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.query("selection_cascade")
 def selection_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many Python programs pass each stage of a selection, in one pass."""
-    code = table(spark, sf_dir, "code").where(F.lower("file_name").endswith(".py"))
+    code = text_table(spark, sf_dir, "code", "program", "file_name", "code").where(F.lower("file_name").endswith(".py"))
     loc = code.select("program", X.python_sloc(F.col("code")).alias("loc"))
     rows = analysis.profile_trees(code, "program", "code").join(loc, "program")
     base = F.col("loc").between(20, 500) & (F.col("function_count") >= 1) & (F.col("loop_count") >= 1)
@@ -161,7 +161,7 @@ def selection_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _records(spark: SparkSession, sf_dir: str, strict: bool = False) -> DataFrame:
-    code = table(spark, sf_dir, "code").where(F.lower("file_name").endswith(".py"))
+    code = text_table(spark, sf_dir, "code", "program", "file_name", "code").where(F.lower("file_name").endswith(".py"))
     return analysis.analyse(code, "program", "code", strict)
 
 

@@ -10,7 +10,7 @@ from semantide.functions.verdict import category_name
 from semantide.operators import analysis, dataflow, labels, sampling
 from semantide.plans import Registry
 from semantide.sources.shared import materialise
-from semantide.sources.tables import table
+from semantide.sources.tables import table, text_table
 
 REGISTRY = Registry()
 
@@ -106,7 +106,7 @@ def negative_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _label_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    code = table(spark, sf_dir, "code").where(F.lower("file_name").endswith(".py"))
+    code = text_table(spark, sf_dir, "code", "program", "file_name", "code").where(F.lower("file_name").endswith(".py"))
     return materialise(analysis.analyse(code, "program", "code"), "records")
 
 

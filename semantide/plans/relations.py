@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from semantide.functions.text import loc_bin, non_blank_count
 from semantide.operators import analysis, dataflow, sampling
 from semantide.plans import Registry
-from semantide.sources.tables import table
+from semantide.sources.tables import table, text_table
 
 REGISTRY = Registry()
 
@@ -154,7 +154,7 @@ def min_max_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.query("diverse_select")
 def diverse_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Diverse Python programs of each size class, chosen greedily."""
-    code = table(spark, sf_dir, "code").where(F.lower("file_name").endswith(".py"))
+    code = text_table(spark, sf_dir, "code", "program", "repo_name", "file_name", "code").where(F.lower("file_name").endswith(".py"))
     features = ["function_count", "class_count", "loop_count", "if_count", "return_count", "assign_count", "call_count", "max_ast_depth"]
     rows = analysis.profile_trees(code, "program", "code").where("syntax_ok").join(code.select("program", "repo_name", loc_bin(non_blank_count(F.col("code"))).alias("bin")), "program")
     return sampling.diverse_sample(rows, "bin", features, "program", "repo_name", "node_count", 20)

@@ -8,3 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read table ``name`` of folder ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def text_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table for work that takes long on each row: at least one partition with rows a core.
+
+    Rows are only moved where the table has fewer files than there are cores (splits of one file may be
+    empty, as a row group is read in one); a large table keeps the splits of its scan.
+    """
+    df = table(spark, sf_dir, name).select(*columns)
+    cores = spark.sparkContext.defaultParallelism
+    splits = df._jdf.queryExecution().executedPlan().execute().getNumPartitions()
+    few = splits <= 4 * cores and len(df.inputFiles()) < cores
+    return df.repartition(cores) if few else df
