@@ -16,7 +16,7 @@ from semantide.llm.quality import quality
 from semantide.llm.syntax import Syntax, rates
 from semantide.llm.spans import SharedSpans
 from semantide.plans import Registry
-from semantide.sources.tables import table
+from semantide.sources.tables import table, text_table
 
 REGISTRY = Registry()
 
@@ -32,7 +32,7 @@ SELECT DISTINCT id_a, id_b FROM (SELECT id_a, unnest(ids) AS id_b FROM x) WHERE
 )
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of programs with 200 or more successive code points in common."""
-    return SharedSpans(table(spark, sf_dir, "code"), "unique_id", "code", 200).pairs()
+    return SharedSpans(text_table(spark, sf_dir, "code", "unique_id", "code"), "unique_id", "code", 200).pairs()
 
 
 @REGISTRY.query("p4_shared_part")
@@ -60,32 +60,32 @@ SELECT id_a, id_b FROM c JOIN n x ON x.unique_id = id_a JOIN n y ON y.unique_id
 )
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of programs whose sets of three successive tokens have a similarity of 0.6 or more."""
-    return NearDuplicates(table(spark, sf_dir, "code"), "unique_id", "code", 0.6, 3).pairs()
+    return NearDuplicates(text_table(spark, sf_dir, "code", "unique_id", "code"), "unique_id", "code", 0.6, 3).pairs()
 
 
 @REGISTRY.query("p3_groups")
 def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of programs that are mostly the same, a row for each program in one."""
-    return NearDuplicates(table(spark, sf_dir, "code"), "unique_id", "code", 0.6, 3).groups().withColumnRenamed("id", "unique_id")
+    return NearDuplicates(text_table(spark, sf_dir, "code", "unique_id", "code"), "unique_id", "code", 0.6, 3).groups().withColumnRenamed("id", "unique_id")
 
 
 @REGISTRY.query("p5_found")
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Programs with a comment or string that was decoded with a wrong character set."""
-    return garbled(table(spark, sf_dir, "code"), "unique_id", "code", restored=False).select(F.col("id").alias("unique_id"))
+    return garbled(text_table(spark, sf_dir, "code", "unique_id", "code"), "unique_id", "code", restored=False).select(F.col("id").alias("unique_id"))
 
 
 @REGISTRY.query("p5_restored")
 def p5_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Garbled programs with the chain of character sets and, where nothing was lost, the original text."""
-    found = garbled(table(spark, sf_dir, "code"), "unique_id", "code")
+    found = garbled(text_table(spark, sf_dir, "code", "unique_id", "code"), "unique_id", "code")
     return found.select(
         F.col("id").alias("unique_id"), "chain", "garbled_lines", "lost_lines", F.when(F.col("lost_lines") == 0, F.col("restored")).alias("restored")
     )
 
 
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text", "answer")
+    return leaks(text_table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text", "answer")
 
 
 @REGISTRY.query("p6_found")
@@ -117,24 +117,24 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mix(spark: SparkSession, sf_dir: str) -> Mix:
-    return Mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), table(spark, sf_dir, "common_words"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+    return Mix(text_table(spark, sf_dir, "documents", "doc_id", "text", "source"), table(spark, sf_dir, "mix_targets"), table(spark, sf_dir, "common_words"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
 
 
 @REGISTRY.query("p8_found")
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that are a list, a table or junk as a whole."""
-    rows = quality(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "common_words"))
+    rows = quality(text_table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text", table(spark, sf_dir, "common_words"))
     return rows.where("NOT prose").select(F.col("id").alias("doc_id"))
 
 
 @REGISTRY.query("p8_quality")
 def p8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All statistics and the verdict of every document."""
-    return quality(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "common_words")).withColumnRenamed("id", "doc_id")
+    return quality(text_table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text", table(spark, sf_dir, "common_words")).withColumnRenamed("id", "doc_id")
 
 
 def _not_hand_written(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return not_hand_written(table(spark, sf_dir, "code"), "unique_id", "code", "repo_name", "path", "file_name")
+    return not_hand_written(text_table(spark, sf_dir, "code", "unique_id", "code", "repo_name", "path", "file_name"), "unique_id", "code", "repo_name", "path", "file_name")
 
 
 @REGISTRY.query("p1_found")
@@ -150,7 +150,7 @@ def p1_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _syntax(spark: SparkSession, sf_dir: str) -> Syntax:
-    return Syntax(table(spark, sf_dir, "code"), "unique_id", "code", "file_name")
+    return Syntax(text_table(spark, sf_dir, "code", "unique_id", "code", "file_name"), "unique_id", "code", "file_name")
 
 
 @REGISTRY.query("p2_found")
