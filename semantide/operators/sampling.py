@@ -32,13 +32,14 @@ def largest_remainder(counts: DataFrame, seats: int, label: str = "bin", n: str
 def stratified_sample(df: DataFrame, bin_column: str, quotas: DataFrame, id_column: str, seed: int = 42) -> DataFrame:
     """The first rows of each bin in hash order, as many as ``quotas`` (``bin_column``, ``quota``) say.
 
-    A bin that is large against its quota is thinned first: with rows in random order only the rows among the
-    least hashes can be chosen, so a bound on the hash, wide enough for the quota, is pushed below the sort.
+    The rank limit is pushed below the exchange as a group limit, so a task sends no more of a bin than the
+    largest quota.
     """
-    # The rank is the feature here; WindowGroupLimit keeps it from sorting whole bins.
+    # One row a bin, so the quotas fit everywhere; the greatest of them bounds every rank.
+    most = quotas.agg(F.max("quota")).first()[0] or 0
     ranked = df.join(F.broadcast(quotas.select(bin_column, "quota")), bin_column).withColumn("_h", hash_order(seed, id_column))
     place = F.row_number().over(Window.partitionBy(bin_column).orderBy("_h", id_column))
-    return ranked.withColumn("_place", place).where(F.col("_place") <= F.col("quota")).drop("_h", "_place", "quota")
+    return ranked.withColumn("_place", place).where(F.col("_place") <= most).where(F.col("_place") <= F.col("quota")).drop("_h", "_place", "quota")
 
 
 def balanced_cap(df: DataFrame, keys: list[str], label: str, cap: int, order: list[str], seed: int = 42) -> DataFrame:
@@ -150,3 +151,27 @@ def shard(df: DataFrame, key: str, shards: int) -> DataFrame:
 def micro_batches(df: DataFrame, keys: list[str], order: list[str], size: int) -> DataFrame:
     """``df`` with ``batch``: successive slices of ``size`` rows within ``keys``."""
     return df.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1) / size).cast("int"))
+
+
+def keep_long_then_fill(df: DataFrame, stratum: str, long: Column, shares: dict[str, float], features: list[str], id_column: str, group: str, complexity: str, seats: int, seed: int = 42) -> DataFrame:
+    """``id_column``, ``stratum``: all long rows, the rest of the seats shared out among the other strata and filled diversely.
+
+    Where the long rows alone exceed the seats, they are chosen diversely. A stratum that can't fill its quota passes its
+    seats on. ``shares`` names a handful of strata.
+    """
+    marked = df.withColumn("_long", F.coalesce(long, F.lit(False)))
+    counts = {(r["_long"], r[stratum]): r["n"] for r in marked.where(F.col("_long") | F.col(stratum).isin(*shares)).groupBy("_long", stratum).agg(F.count("*").alias("n")).collect()}
+    n_long = sum(n for (is_long, _), n in counts.items() if is_long)
+    if n_long >= seats:
+        pool = marked.where("_long").withColumn("_all", F.lit("long"))
+        chosen = diverse_sample(pool, "_all", features, id_column, group, complexity, seats, seed=seed).select(id_column)
+        return marked.join(chosen, id_column, "left_semi").select(id_column, stratum)
+    left, weight = seats - n_long, sum(shares.values())
+    ideal = {s: w / weight * left for s, w in shares.items()}
+    quotas = redistribute(ideal, {s: counts.get((False, s), 0) for s in shares}, left)
+    out = marked.where("_long").select(id_column, stratum)
+    rest = marked.where("NOT _long")
+    for s, quota in quotas.items():
+        if quota:
+            out = out.unionByName(diverse_sample(rest.where(F.col(stratum) == s), stratum, features, id_column, group, complexity, quota, seed=seed).select(id_column, stratum))
+    return out

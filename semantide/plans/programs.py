@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from semantide.functions import ctext
 from semantide.functions import text as X
 from semantide.operators import analysis, dataflow, graph, profile
 from semantide.plans import Registry
@@ -132,6 +133,19 @@ def name_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@REGISTRY.query("c_functions")
+def c_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions of the C programs and what they call, by patterns."""
+    return ctext.c_functions(text_table(spark, sf_dir, "code", "program", "file_name", "code").where(F.lower("file_name").endswith(".c")))
+
+
+@REGISTRY.query("c_loops")
+def c_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loops of the C programs, by patterns."""
+    code = text_table(spark, sf_dir, "code", "program", "file_name", "code").where(F.lower("file_name").endswith(".c"))
+    return code.select("program", F.inline(ctext.c_loops(F.col("code"))))
+
+
 @REGISTRY.query("ast_features")
 def ast_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts over the syntax tree of every Python program."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from semantide.functions.text import collapse, line_count
 from semantide.functions.verdict import category_name
-from semantide.operators import analysis, dataflow, labels, sampling
+from semantide.operators import analysis, answering, dataflow, labels, sampling
 from semantide.plans import Registry
 from semantide.sources.shared import materialise
 from semantide.sources.tables import table, text_table
@@ -139,6 +139,17 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.prompts(tasks, table(spark, sf_dir, "code"), background, "Answer the question about the program with yes or no.")
 
 
+@REGISTRY.query("replayed_answers")
+def replayed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions of the log answered again from its own first answers, and scored."""
+    log = table(spark, sf_dir, "result_log").where("model IS NOT NULL AND program IS NOT NULL AND prompt IS NOT NULL")
+    answer = F.try_element_at(F.try_element_at("conversation", F.lit(1))["response"]["generated_texts"], F.lit(1))
+    keys = ["model", "program", "prompt"]
+    recorded = log.where("error IS NULL").groupBy(*keys).agg(F.min_by(answer, F.struct("log_id", "received_at")).alias("answer"))
+    tasks = log.groupBy(*keys).agg(F.max("ground_truth").alias("ground_truth"))
+    return answering.replay(tasks, recorded, keys)
+
+
 @REGISTRY.query(
     "toy_statements",
     r"""SELECT program, CAST(i AS BIGINT) AS line, trim(regexp_replace(ls[i], '\s+', ' ', 'g')) AS statement FROM (SELECT program, ls, unnest(range(1, len(ls) + 1)) AS i FROM
