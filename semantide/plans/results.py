@@ -14,7 +14,7 @@ REGISTRY = Registry()
 
 _CAT = "CASE WHEN lower(trim(category)) = 'deadcode' THEN 'dead_code' ELSE lower(trim(category)) END"
 #: Rows that were delivered twice collapse to the one received last.
-_LOG = "log AS (SELECT * FROM result_log QUALIFY row_number() OVER (PARTITION BY log_id ORDER BY received_at DESC, logged_at DESC, model DESC, program DESC, prompt DESC) = 1)"
+_LOG = "log AS (SELECT * FROM result_log QUALIFY row_number() OVER (PARTITION BY log_id ORDER BY received_at DESC, logged_at DESC, model DESC, program DESC) = 1)"
 _SP = r"\s\x0B\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _V = f"(?i)(?:final[{_SP}]*)?answer[{_SP}]*:[{_SP}]*(yes|no)"
 _VERDICT = rf"""answers AS (SELECT log_id, ground_truth, conversation[1].response.generated_texts[1] AS answer FROM log),
@@ -25,9 +25,10 @@ deciding AS (SELECT log_id, ground_truth, list_filter(ls, lambda x: contains(low
 verdicts AS (SELECT log_id, ground_truth, CASE WHEN len(ds) > 0 THEN lower(regexp_extract(ds[1], '{_V}', 1)) = 'yes' END AS verdict FROM deciding)"""
 
 
-def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recorded answers, each delivered once."""
-    return scoring.latest_rows(table(spark, sf_dir, "result_log"), "log_id", ["received_at", "logged_at", "model", "program", "prompt"])
+def _log(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Recorded answers, each delivered once: the key, what orders deliveries, and ``columns``; the rest isn't read."""
+    order = ["received_at", "logged_at", "model", "program"]
+    return scoring.latest_rows(table(spark, sf_dir, "result_log").select("log_id", *order, *columns), "log_id", order)
 
 
 def _answer() -> Column:
@@ -41,7 +42,7 @@ verdict IS NOT DISTINCT FROM ground_truth AS correct, verdict = ground_truth AS
 )
 def verdict_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict of every answer, what it counts as, and whether it is right."""
-    rows = _log(spark, sf_dir).select("log_id", "ground_truth", verdict(_answer()).alias("verdict"))
+    rows = _log(spark, sf_dir, "ground_truth", "conversation").select("log_id", "ground_truth", verdict(_answer()).alias("verdict"))
     v, t = F.col("verdict"), F.col("ground_truth")
     return rows.select("log_id", "verdict", final_answer(v).alias("final_answer"), is_correct(v, t).alias("correct"), first_response_correct(v, t).alias("first_response_correct"))
 
@@ -53,7 +54,7 @@ count(DISTINCT program) AS n_programs, round(count(*) FILTER (WHERE first_respon
 )
 def accuracy_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accuracy of each model in each category; rows without verdict count as wrong."""
-    log = _log(spark, sf_dir).withColumn("category", category_name(F.col("category")))
+    log = _log(spark, sf_dir, "category", "first_response_correct").withColumn("category", category_name(F.col("category")))
     return scoring.accuracy(log, ["model", "category"]).withColumn("accuracy", F.round("accuracy", 9))
 
 
@@ -67,7 +68,7 @@ _ACC = f"acc AS (SELECT model, {_CAT} AS category, count(*) AS n, count(*) FILTE
 @REGISTRY.query("accuracy_matrix", f"WITH {_LOG}, {_ACC} SELECT model, {_CELLS}, {_GEO} AS geo_mean, CAST(sum(n) AS BIGINT) AS n FROM acc GROUP BY model")
 def accuracy_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each model: accuracy by category and the geometric mean of those present."""
-    wide = scoring.accuracy_matrix(_log(spark, sf_dir))
+    wide = scoring.accuracy_matrix(_log(spark, sf_dir, "category", "first_response_correct"))
     return wide.withColumns({c: F.round(c, 9) for c in (*CATEGORIES, "geo_mean")})
 
 
@@ -77,7 +78,7 @@ def accuracy_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def complete_programs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Programs asked in every category."""
-    return scoring.complete_programs(_log(spark, sf_dir))
+    return scoring.complete_programs(_log(spark, sf_dir, "category"))
 
 
 @REGISTRY.query(
@@ -87,7 +88,7 @@ SELECT model, count(*) AS n, count(*) FILTER (WHERE first_response_correct) AS n
 )
 def accuracy_of_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accuracy over the programs asked in every category."""
-    log = _log(spark, sf_dir)
+    log = _log(spark, sf_dir, "category", "first_response_correct")
     kept = log.join(scoring.complete_programs(log), "program", "left_semi")
     return scoring.accuracy(kept, ["model"]).select("model", "n", "n_correct", "n_programs")
 
@@ -100,7 +101,7 @@ SELECT model, CAST(sum(greatest(i - c, 0)) AS BIGINT) AS fresh_input, CAST(sum(c
 )
 def token_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens by model; fresh input is clamped before it is summed."""
-    return scoring.token_usage(_log(spark, sf_dir), ["model"])
+    return scoring.token_usage(_log(spark, sf_dir, "_usage_list"), ["model"])
 
 
 @REGISTRY.query(
@@ -118,7 +119,7 @@ def rate_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.query("error_rows", f"WITH {_LOG} SELECT coalesce(error, 'none') AS error, count(*) AS n, count(*) FILTER (WHERE final_answer IS NULL) AS unanswered FROM log GROUP BY 1")
 def error_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers by error."""
-    return _log(spark, sf_dir).groupBy(F.coalesce("error", F.lit("none")).alias("error")).agg(F.count("*").alias("n"), F.count_if(F.col("final_answer").isNull()).alias("unanswered"))
+    return _log(spark, sf_dir, "error", "final_answer").groupBy(F.coalesce("error", F.lit("none")).alias("error")).agg(F.count("*").alias("n"), F.count_if(F.col("final_answer").isNull()).alias("unanswered"))
 
 
 @REGISTRY.query(
