@@ -87,23 +87,25 @@ def layout(lines: list[str]) -> tuple[list[bool], str, float, float]:
             part[i] = True
     # Lists: markers or indentation that come back with a short period.
     marked = [bool(_MARKER.match(x)) for x in lines]
-    short = [len(_WORD.findall(x)) <= 9 for x in lines]
+    def short(i: int) -> bool:
+        return len(_WORD.findall(lines[i])) <= 9
+
     indents = np.array([len(x) - len(x.lstrip()) for x in lines], float)
     periodic = len(set(indents.tolist())) > 1 and autocorrelation(indents) > 0.35
-    items = [i for i in range(n) if (marked[i] or (periodic and indents[i] > 0)) and short[i]]
+    items = [i for i in range(n) if (marked[i] or (periodic and indents[i] > 0)) and short(i)]
     if len(items) >= 3 and len(items) >= 0.3 * n:
         if len(items) / n > agreement:
             agreement, kind = len(items) / n, "list"
         for i in items:
             part[i] = True
     # Entries of one shape: "name: words", short lines of like length without a sentence.
-    shapes = Counter(_shape(x) for x in lines)
-    shape, times = shapes.most_common(1)[0]
+    each = [_shape(x) for x in lines]
+    shape, times = Counter(each).most_common(1)[0]
     if times >= 4 and times >= 0.5 * n and shape[0] != "w":
         if times / n > agreement:
             agreement, kind = times / n, "list"
-        for i, x in enumerate(lines):
-            if _shape(x) == shape and short[i]:
+        for i in range(n):
+            if each[i] == shape and short(i):
                 part[i] = True
     return part, kind, agreement, echo
 
@@ -127,17 +129,22 @@ class Judge:
 
     def __init__(self, common: dict[str, set[str]]):
         self.common = common
-        self.any = set().union(*common.values()) if common else set()
+        #: For each common word a bit for each language that has it.
+        self.bits: dict[str, int] = {}
+        for k, words in enumerate(common.values()):
+            for w in words:
+                self.bits[w] = self.bits.get(w, 0) | 1 << k
 
     def __call__(self, text: str) -> tuple:
         words = _WORD.findall(text)
         n = len(words)
-        bare = len(text) - sum(c.isspace() for c in text)
-        symbols = sum(not (c.isalnum() or c.isspace()) for c in text)
+        bare = sum(map(len, text.split()))
+        # A word's characters are letters, digits and underscores; of these the last are symbols.
+        symbols = bare - sum(map(len, words)) + text.count("_")
         lines = [x for x in text.splitlines() if x.strip()]
         closed = sum(x.rstrip().endswith(_SENTENCE_END) for x in lines)
         lower = [w.lower() for w in words]
-        known = sum(w in self.any for w in lower)
+        known = sum(map(self.bits.__contains__, lower))
         part, kind, agreement, echo = layout(lines)
         share = self._prose(lines, part)
         prose = share > PROSE_SHARE
@@ -173,8 +180,9 @@ class Judge:
         for start in range(0, len(block), 6):
             chunk = [x for x in block[start : start + 6]]
             size = sum(len(x.strip()) for x in chunk)
-            words = [w.lower() for x in chunk for w in _WORD.findall(x)]
-            best = max((sum(w in c for w in words) for c in self.common.values()), default=0)
+            words = _WORD.findall("\n".join(chunk).lower())
+            hits = [b for b in map(self.bits.get, words) if b]
+            best = max((sum(b >> k & 1 for b in hits) for k in range(len(self.common))), default=0)
             letters = sum(map(len, words))
             if len(words) >= 3 and best >= COMMON_SHARE * len(words) and letters >= 0.6 * size:
                 good, total = good + size, total + size
