@@ -134,6 +134,18 @@ def _set_mapper(pattern: str, n: int, prepare: Callable[[str], str]):
     return run
 
 
+def _run_mapper(pattern: str, n: int, prepare: Callable[[str], str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, known = re.compile(pattern).findall, _Hashes()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                h = run_hashes(find(prepare(text)), n, known)
+                if len(h):
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["run"])
+
+    return run
+
+
 def _unpack(b: bytes) -> np.ndarray:
     full = np.zeros((len(b) // WIDTH, 8), np.uint8)
     full[:, :WIDTH] = np.frombuffer(b, np.uint8).reshape(-1, WIDTH)
@@ -194,11 +206,11 @@ class NearDuplicates:
 
     def _order(self) -> tuple[np.ndarray, np.ndarray]:
         """Frequent runs of the sample and how many of its records have them."""
-        sample = self.texts.where(F.length("text") <= ORDER_CHARS).limit(ORDER_SAMPLE).select("text").toPandas()["text"]
-        find, known = re.compile(self.token).findall, _Hashes()
-        sets = [run_hashes(find(self.prepare(t)), self.n, known) for t in sample]
-        runs, seen = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_counts=True)
-        return runs[seen > 1], seen[seen > 1].astype(np.int32)
+        sample = self.texts.where(F.length("text") <= ORDER_CHARS).limit(ORDER_SAMPLE).select("text")
+        counts = sample.mapInArrow(_run_mapper(self.token, self.n, self.prepare), "run long").groupBy("run").count().where("count > 1").toPandas()
+        runs = counts["run"].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(runs)
+        return runs[order], counts["count"].to_numpy(np.int32)[order]
 
     def links(self) -> DataFrame:
         """``a``, ``b``, ``common``, ``total``: similar pairs of representatives, a before b."""
