@@ -221,9 +221,8 @@ class NearDuplicates:
     def _candidates(self) -> DataFrame:
         spare = F.lit(1) + F.floor(F.col("n") / 32).cast("int")
         sketches = self.sketches
-        crowded = (
-            sketches.groupBy("g").agg(F.count("*").alias("size")).where(F.col("size") > GROUP_SIZE)
-        )
+        # As a table its size is known when the join is planned, so a short list doesn't make the sketches travel.
+        crowded = materialise(sketches.groupBy("g").agg(F.count("*").alias("size")).where(F.col("size") > GROUP_SIZE), "crowded")
         placed = sketches.join(crowded, "g", "left").select(
             "id",
             "n",
@@ -259,7 +258,7 @@ class NearDuplicates:
 
     def _compare(self, candidates: DataFrame) -> DataFrame:
         pairs = materialise(candidates, "candidates")
-        involved = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        involved = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "involved")
         sets = self.texts.join(involved, "id", "left_semi").mapInArrow(_set_mapper(self.token, self.n, self.prepare), f"id {self.id_type}, runs binary")
         sets = materialise(sets, "sets")
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("runs").alias("x")), "a").join(
