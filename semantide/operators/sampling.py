@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from semantide.sources.shared import materialise
+
+#: Rows of a stratum that one task compares in a round; the number of rounds depends on it, the choice doesn't.
+CANDIDATES = 500
+
 
 def hash_order(seed: int, *columns: str) -> Column:
     """A reproducible random order: SHA-256 of the seed and the columns."""
@@ -89,52 +98,112 @@ def min_max(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     return joined.select(*[c for c in df.columns if c not in columns], *scaled)
 
 
-def greedy_diverse(pdf: pd.DataFrame, features: list[str], id_column: str, group: str, complexity: str, seats: int) -> pd.DataFrame:
-    """Rows chosen one by one: farthest from what is chosen, with a bonus for a new ``group`` and for complexity.
-
-    Sequential by definition, so it is meant for one stratum of bounded size. Ties go to the smaller id.
+def _score(x: np.ndarray, weight: np.ndarray, groups: np.ndarray, chosen: list[dict]) -> np.ndarray:
+    """Distance to the nearest chosen row, with a bonus for a new group and for complexity; complexity alone before the first choice."""
+    if not chosen:
+        return weight
+    near = np.full(len(x), np.inf)
+    for c in chosen:
+        near = np.minimum(near, np.sqrt(((x - np.array(c["x"])) ** 2).sum(axis=1)))
+    return near + 0.12 * ~np.isin(groups, [c["grp"] for c in chosen]) + 0.03 * weight
+
+
+def _best_of_batch(bounds: dict[object, dict], chosen: dict[object, list[dict]], seats: int):
+    """Of each batch and open stratum the ``CANDIDATES`` + 1 best rows, and those that tie with the last."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            strata = batch.column(1).dictionary_encode(null_encoding="encode")
+            codes = strata.indices.to_numpy(zero_copy_only=False)
+            groups = np.array(batch.column(2).to_pylist(), dtype=object).astype(str)
+            weight = batch.column(3).to_numpy(zero_copy_only=False)
+            x = np.column_stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(4, batch.num_columns)])
+            for code, stratum in enumerate(strata.dictionary.to_pylist()):
+                done, bound = chosen.get(stratum, []), bounds[stratum]
+                if len(done) >= seats:
+                    continue
+                open_rows = pc.invert(pc.is_in(batch.column(0), value_set=pa.array([c["id"] for c in done], batch.column(0).type))).to_numpy(zero_copy_only=False)
+                at = np.flatnonzero((codes == code) & open_rows)
+                if not len(at):
+                    continue
+                span = bound["hi"] - bound["lo"]
+                scaled = np.where(span > 0, (x[at] - bound["lo"]) / np.where(span > 0, span, 1), 0.0)
+                share = weight[at] / bound["top"] if bound["top"] > 0 else weight[at]
+                score = _score(scaled, share, groups[at], done)
+                if len(at) > CANDIDATES + 1:
+                    keep = score >= np.partition(score, -(CANDIDATES + 1))[-(CANDIDATES + 1)]
+                    at, scaled, share, score = at[keep], scaled[keep], share[keep], score[keep]
+                rows = pa.array(at)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(groups[at].tolist(), pa.string()), pa.array(share), pa.array(scaled.tolist(), pa.list_(pa.float64())), pa.array(score)],
+                    ["id", "stratum", "grp", "weight", "x", "score"],
+                )
+
+    return run
+
+
+def _choose(chosen: dict[object, list[dict]], seats: int):
+    """The next rows of a stratum, as far as no row outside the candidates can come first."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        stratum = None if pd.isna(key[0]) else key[0]
+        done, before = list(chosen.get(stratum, [])), len(chosen.get(stratum, []))
+        pdf = pdf.sort_values(["score", "id"], ascending=[False, True])
+        # Scores never rise from one choice to the next, so rows left out stay at or below this one.
+        limit = pdf["score"].iloc[-1] if len(pdf) > CANDIDATES else -np.inf
+        pool = pdf.head(CANDIDATES).sort_values("id").reset_index(drop=True)
+        x, weight, groups = np.array(pool["x"].tolist()), pool["weight"].to_numpy(), pool["grp"].to_numpy().astype(str)
+        picks: list[int] = []
+        while len(done) < seats and len(picks) < len(pool):
+            score = _score(x, weight, groups, done)
+            score[picks] = -np.inf
+            best = int(score.argmax())
+            if picks and score[best] <= limit:
+                break
+            picks.append(best)
+            done.append({"x": x[best], "grp": groups[best]})
+            if len(done) == 1:  # from here on scores are of another kind
+                break
+        return pool.iloc[picks][["id", "stratum", "grp", "x"]].assign(step=range(before + 1, before + len(picks) + 1))
+
+    return run
+
+
+def diverse_sample(df: DataFrame, stratum: str, features: list[str], id_column: str, group: str, complexity: str, seats: int) -> DataFrame:
+    """``id_column``, ``stratum``, ``step``: up to ``seats`` diverse rows of each stratum, chosen one by one from all its rows.
+
+    First the most complex row, then the one farthest from what is chosen (features scaled to 0..1 within the
+    stratum), with a bonus for a new ``group`` and for complexity. Ties go to the smaller id; ids are unique. Nulls count as 0.
+
+    A round scores all rows of a written table against the chosen ones and hands the ``CANDIDATES`` best of each
+    stratum to one task, which goes on choosing while its best is above the best row left out. As scores never rise,
+    the choice is that of one step a round. The driver keeps the chosen rows: ``seats`` for each stratum.
     """
-    pool = pdf.sort_values(id_column).reset_index(drop=True)
-    if not len(pool) or seats <= 0:
-        return pool.iloc[:0].assign(step=pd.Series(dtype="int64"))
-    x = pool[features].astype(float).fillna(0.0).to_numpy()
-    span = x.max(axis=0) - x.min(axis=0)
-    x = np.where(span > 0, (x - x.min(axis=0)) / np.where(span > 0, span, 1), 0.0)
-    weight = pool[complexity].astype(float).fillna(0.0).to_numpy()
-    top = weight.max()
-    weight = weight / top if top > 0 else weight
-    groups = pool[group].astype(str).to_numpy()
-    chosen = [int(weight.argmax())]
-    near = np.sqrt(((x - x[chosen[0]]) ** 2).sum(axis=1))
-    used = {groups[chosen[0]]}
-    taken = np.zeros(len(pool), bool)
-    taken[chosen[0]] = True
-    while len(chosen) < min(seats, len(pool)):
-        fresh = ~np.isin(groups, list(used))
-        score = np.where(taken, -np.inf, near + 0.12 * fresh + 0.03 * weight)
-        best = int(score.argmax())
-        chosen.append(best)
-        taken[best] = True
-        used.add(groups[best])
-        near = np.minimum(near, np.sqrt(((x - x[best]) ** 2).sum(axis=1)))
-    return pool.iloc[chosen].assign(step=range(1, len(chosen) + 1))
-
-
-def diverse_sample(df: DataFrame, stratum: str, features: list[str], id_column: str, group: str, complexity: str, seats: int, pool: int = 2000, seed: int = 42) -> DataFrame:
-    """``id_column``, ``stratum``, ``step``: up to ``seats`` diverse rows of each stratum.
-
-    A stratum larger than ``pool`` rows is first drawn down to that many in hash order: the greedy choice
-    compares every candidate with every chosen row, and is a sampling operator.
-    """
-    w = Window.partitionBy(stratum).orderBy(hash_order(seed, id_column), id_column)
-    candidates = df.withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= pool)
-    types = dict(df.dtypes)
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        return greedy_diverse(pdf, features, id_column, group, complexity, seats)[[id_column, stratum, "step"]]
-
-    names = list(dict.fromkeys([id_column, stratum, group, complexity, *features]))
-    return candidates.select(*names).groupBy(stratum).applyInPandas(choose, f"{id_column} {types[id_column]}, {stratum} {types[stratum]}, step long")
+    spark, types = df.sparkSession, dict(df.dtypes)
+    schema = f"{id_column} {types[id_column]}, {stratum} {types[stratum]}, step long"
+    if seats <= 0:
+        return spark.createDataFrame([], schema)
+    filled = lambda c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0))
+    xs = [f"x{k}" for k in range(len(features))]
+    rows = materialise(
+        df.select(F.col(id_column).alias("id"), F.col(stratum).alias("stratum"), F.col(group).cast("string").alias("grp"), filled(complexity).alias("c"), *[filled(f).alias(x) for f, x in zip(features, xs)]),
+        "diverse",
+    )
+    found = rows.groupBy("stratum").agg(F.count("*").alias("n"), F.max("c").alias("top"), F.array(*[F.min(x) for x in xs]).alias("lo"), F.array(*[F.max(x) for x in xs]).alias("hi")).collect()
+    bounds = {r["stratum"]: {"top": r["top"], "lo": np.array(r["lo"]), "hi": np.array(r["hi"])} for r in found}
+    size = {r["stratum"]: r["n"] for r in found}
+    chosen: dict[object, list[dict]] = {s: [] for s in size}
+    place = F.row_number().over(Window.partitionBy("stratum").orderBy(F.col("score").desc(), "id"))
+    kept = f"id {types[id_column]}, stratum {types[stratum]}, grp string"
+    while any(len(chosen[s]) < min(seats, n) for s, n in size.items()):
+        best = rows.mapInArrow(_best_of_batch(bounds, chosen, seats), f"{kept}, weight double, x array<double>, score double")
+        best = best.withColumn("place", place).where(F.col("place") <= CANDIDATES + 1).drop("place")
+        picks = best.groupBy("stratum").applyInPandas(_choose(chosen, seats), f"{kept}, x array<double>, step long").collect()
+        if not picks:
+            break
+        for r in sorted(picks, key=lambda r: r["step"]):
+            chosen[r["stratum"]].append(r.asDict())
+    return spark.createDataFrame([(c["id"], s, c["step"]) for s, picked in chosen.items() for c in picked], schema)
 
 
 def priority_select(df: DataFrame, group: str, order: list[Column], seats: int) -> DataFrame:
@@ -153,7 +222,7 @@ def micro_batches(df: DataFrame, keys: list[str], order: list[str], size: int) -
     return df.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1) / size).cast("int"))
 
 
-def keep_long_then_fill(df: DataFrame, stratum: str, long: Column, shares: dict[str, float], features: list[str], id_column: str, group: str, complexity: str, seats: int, seed: int = 42) -> DataFrame:
+def keep_long_then_fill(df: DataFrame, stratum: str, long: Column, shares: dict[str, float], features: list[str], id_column: str, group: str, complexity: str, seats: int) -> DataFrame:
     """``id_column``, ``stratum``: all long rows, the rest of the seats shared out among the other strata and filled diversely.
 
     Where the long rows alone exceed the seats, they are chosen diversely. A stratum that can't fill its quota passes its
@@ -164,7 +233,7 @@ def keep_long_then_fill(df: DataFrame, stratum: str, long: Column, shares: dict[
     n_long = sum(n for (is_long, _), n in counts.items() if is_long)
     if n_long >= seats:
         pool = marked.where("_long").withColumn("_all", F.lit("long"))
-        chosen = diverse_sample(pool, "_all", features, id_column, group, complexity, seats, seed=seed).select(id_column)
+        chosen = diverse_sample(pool, "_all", features, id_column, group, complexity, seats).select(id_column)
         return marked.join(chosen, id_column, "left_semi").select(id_column, stratum)
     left, weight = seats - n_long, sum(shares.values())
     ideal = {s: w / weight * left for s, w in shares.items()}
@@ -173,5 +242,5 @@ def keep_long_then_fill(df: DataFrame, stratum: str, long: Column, shares: dict[
     rest = marked.where("NOT _long")
     for s, quota in quotas.items():
         if quota:
-            out = out.unionByName(diverse_sample(rest.where(F.col(stratum) == s), stratum, features, id_column, group, complexity, quota, seed=seed).select(id_column, stratum))
+            out = out.unionByName(diverse_sample(rest.where(F.col(stratum) == s), stratum, features, id_column, group, complexity, quota).select(id_column, stratum))
     return out

@@ -74,6 +74,33 @@ def test_diverse_selection_spreads_out(spark):
     assert sampling.diverse_sample(df.where("x < 0"), "bin", ["x", "y"], "id", "grp", "x", 6).count() == 0
 
 
+def plain_diverse(rows, seats):
+    """The greedy choice by its definition, over all rows (id, group, complexity, x, y) of one stratum."""
+    rows = sorted(rows)
+    lo, hi = [min(r[k] for r in rows) for k in (3, 4)], [max(r[k] for r in rows) for k in (3, 4)]
+    at = {r[0]: [(r[3 + k] - lo[k]) / (hi[k] - lo[k]) for k in (0, 1)] for r in rows}
+    top = max(r[2] for r in rows)
+    chosen = [max(rows, key=lambda r: r[2])]
+    while len(chosen) < min(seats, len(rows)):
+        used, ids = {r[1] for r in chosen}, {r[0] for r in chosen}
+        near = lambda r: min(sum((a - b) ** 2 for a, b in zip(at[r[0]], at[c[0]])) ** 0.5 for c in chosen)
+        chosen.append(max((r for r in rows if r[0] not in ids), key=lambda r: near(r) + 0.12 * (r[1] not in used) + 0.03 * (r[2] / top)))
+    return [r[0] for r in chosen]
+
+
+def test_diverse_selection_looks_at_every_row_of_a_large_stratum(spark):
+    rng = random.Random(3)
+    rows = {s: [(f"{s}{k:04}", f"g{rng.randrange(9)}", rng.random(), rng.random(), rng.random()) for k in range(n)] for s, n in (("a", 2600), ("b", 700), ("c", 9))}
+    far = [("a9000", "g1", 2.0, 0.5, 0.5), ("a9001", "g1", 0.1, 7.0, 0.5), ("a9002", "g1", 0.1, 0.5, 7.0), ("a9003", "g1", 0.1, -7.0, -7.0)]
+    rows["a"] += far
+    df = spark.createDataFrame([(s, *r) for s, part in rows.items() for r in part], "bin string, id string, grp string, c double, x double, y double")
+    got = {}
+    for r in sampling.diverse_sample(df.repartition(5), "bin", ["x", "y"], "id", "grp", "c", 15).orderBy("step").collect():
+        got.setdefault(r["bin"], []).append(r["id"])
+    assert got["a"][0] == "a9000" and {r[0] for r in far} <= set(got["a"])
+    assert got == {s: plain_diverse(part, 15) for s, part in rows.items()}
+
+
 def test_priority_takes_the_best_of_each_group_first(spark):
     df = spark.createDataFrame([("a", 9), ("a", 8), ("a", 7), ("b", 1), (None, 3)], "g string, v int")
     got = [(r["g"], r["v"]) for r in sampling.priority_select(df, "g", [F.col("v").desc()], 4).collect()]
