@@ -4,13 +4,13 @@ Every question, followed by its answer, is normalised to words, and every run of
 successive words goes into one Aho-Corasick automaton. A document is normalised
 the same way and scanned once; where a seed of an item ends, the item's words are
 aligned with the document's around it. An item leaks where ``min_words`` successive
-words of it follow each other in the document with at most one word in
-``min_words`` replaced and at most one inserted aside. Offsets of the normalised
-words are kept, so each leak is reported with its place in the original text.
+words of it follow each other in the document with single words replaced, at most one
+in ten over the passage's whole length (one in a passage below 20 words), and at most one inserted aside.
+Offsets of the normalised words are kept, so each leak is reported with its place in the original text.
 
-Any such passage holds ``SEED`` words in a row: a replaced word and an aside cut
-``min_words`` words into three parts at most, of which one has five words or more
-when ``min_words`` is 15.
+Any such passage holds ``SEED`` words in a row: r replaced words and an aside leave r + 2
+parts at most, of which one has five words or more when ``min_words`` is 15 (14 words in
+three parts, 18 in four, 27 in five and so on).
 
 The automaton is built for blocks of items of at most ``BLOCK_WORDS`` words, and the
 documents are scanned once for each block, so what is sent to a task is bounded
@@ -93,40 +93,41 @@ def _align(item: list[str], doc: list[str], lo: int, hi: int, need: int) -> tupl
     where = defaultdict(list)
     for j, w in enumerate(item):
         where[w].append(j)
-    # best[(j, d)]: for no aside and one aside, (first item word, last replaced item word, first document word)
-    best: dict[tuple[int, int], list[tuple[int, int, int] | None]] = {}
+    most = max(1, len(item) // 10)
+    # best[(j, d)]: for no aside and one aside, by the number of replaced words the earliest (first item word, first document word)
+    best: dict[tuple[int, int], list[tuple[tuple[int, int], ...] | None]] = {}
     by_j: dict[int, list[int]] = defaultdict(list)
     found = None
     for d in range(lo, hi):
         for j in where.get(doc[d], ()):
-            states: list[tuple[int, int, int] | None] = [(j, -1, d), None]
+            states: list[tuple[tuple[int, int], ...] | None] = [((j, d),), None]
             before = best.get((j - 1, d - 1))
             if before:
-                states = [_longer(a, b) for a, b in zip(states, before)]
-            skipped = best.get((j - 2, d - 2))
-            if skipped and doc[d - 1] != item[j - 1]:
-                for k, s in enumerate(skipped):
-                    if s:
-                        start = s[1] + 1 if s[1] >= s[0] else s[0]
-                        states[k] = _longer(states[k], (start, j - 1, s[2]))
+                states = list(before)
+            else:
+                skipped = best.get((j - 2, d - 2))
+                if skipped:
+                    states = [((j, d), *s[:most]) if s else None for s in skipped]
             for d0 in reversed(by_j.get(j - 1, ())):
                 if d - d0 > ASIDE:
                     break
-                s = best[(j - 1, d0)][0]
-                if d0 < d - 1 and s:
-                    states[1] = _longer(states[1], s)
+                if d0 < d - 1:
+                    states[1] = _longer(states[1], best[(j - 1, d0)][0])
             best[(j, d)] = states
             by_j[j].append(d)
             for s in states:
-                if s and j - s[0] + 1 >= need and (found is None or j - s[0] + 1 > found[2]):
-                    found = (s[2], d, j - s[0] + 1)
+                for replaced, (start, first) in enumerate(s or ()):
+                    n = j - start + 1
+                    if n >= need and (replaced < 2 or replaced * 10 <= n) and (found is None or n > found[2]):
+                        found = (first, d, n)
     return found
 
 
-def _longer(a: tuple[int, int, int] | None, b: tuple[int, int, int] | None) -> tuple[int, int, int] | None:
+def _longer(a: tuple[tuple[int, int], ...] | None, b: tuple[tuple[int, int], ...] | None) -> tuple[tuple[int, int], ...] | None:
+    """For each number of replaced words the earlier start."""
     if a is None or b is None:
         return a or b
-    return min(a, b, key=lambda s: (s[0], s[1]))
+    return tuple(map(min, a, b)) + (a[len(b) :] or b[len(a) :])
 
 
 def _scan_mapper(items: list[tuple[object, list[str]]], min_words: int, id_type: pa.DataType):

@@ -37,6 +37,22 @@ def test_parts_changes_and_asides(spark):
     assert {d for d, _ in run(spark, docs)} == {1, 3, 4, 5, 6, 11}
 
 
+def test_replaced_words_count_over_the_whole_passage(spark):
+    def swapped(a, b, *at):
+        return " ".join("other" if k in at else w for k, w in enumerate(ITEM.split()[a:b], 0))
+
+    docs = [
+        (1, swapped(0, 20, 7, 13)),  # two in twenty
+        (2, swapped(0, 19, 5, 13)),  # two in nineteen
+        (3, swapped(0, 30, 7, 14, 22)),  # three in thirty
+        (4, swapped(0, 29, 7, 14, 21)),  # three in twenty-nine; words 8 to 29 have two
+        (5, swapped(0, 21, 5, 10, 15)),  # three in twenty-one
+        (6, "some words (" + swapped(0, 20, 4, 15).replace("word9", "word9 by the way") + ") after"),  # and an aside
+    ]
+    got = {d: r["words"] for (d, _), r in run(spark, docs).items()}
+    assert got == {1: 20, 3: 30, 4: 21, 6: 20}
+
+
 def test_offsets_point_into_the_original(spark):
     text = f"Ça va? <p>{part(0, 30)}</p> end"
     row = run(spark, [(1, text)])[(1, 7)]
