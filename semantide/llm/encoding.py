@@ -11,8 +11,9 @@ letter, or a chain that inverts for most but not all of the damaged stretches)
 are found, but not restored.
 
 Chains that start from UTF-8 prove themselves, since other text is hardly ever
-valid UTF-8. The other chains decode almost anything, so they need ``MIN_FOREIGN``
-characters, ``MIN_RUN`` of them in a row, and a margin of the classifier.
+valid UTF-8. The other chains decode almost anything, so a line by itself needs ``MIN_FOREIGN``
+characters, ``MIN_RUN`` of them in a row, and a margin of the classifier. Lines with the margin alone, as Western
+text sent through a one-byte table, are judged together, record by record (``pooled``).
 
 Defined results: null, empty and ASCII texts are unharmed; a text is garbled if one line is.
 """
@@ -20,7 +21,9 @@ Defined results: null, empty and ASCII texts are unharmed; a text is garbled if
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,6 +39,8 @@ MIN_FOREIGN = 8
 MIN_RUN = 5
 #: Log odds a character against "unharmed" for such a chain.
 MARGIN = 0.35
+#: Log odds, and letters in torn words, that the shorter lines of a record need together.
+POOLED, MIN_TORN = 20.0, 8
 
 # Sentences of the training set, by language; all are garbled by every chain that can express them.
 SEEDS = """
@@ -182,9 +187,14 @@ class Classifier:
 
     def diagnose(self, line: str) -> tuple[str, int, str | None]:
         """("" or "garbled", number of the chain or 0, restored line or None)."""
+        return self.examine(line)[0]
+
+    def examine(self, line: str) -> tuple[tuple[str, int, str | None], dict[int, tuple[float, str]]]:
+        """The line's diagnosis, and for a line too short for one, log odds and restored line of each chain that explains it."""
         s = self.scores(line)
+        weak: dict[int, tuple[float, str]] = {}
         if "�" in line and re.search(r"[^\W\d_]�|�[^\W\d_]", line):
-            return "garbled", int(s[1:].argmax()) + 1, None
+            return ("garbled", int(s[1:].argmax()) + 1, None), weak
         runs = re.findall(r"[^\x00-\x7f]+", line)
         foreign = sum(map(len, runs))
         for k in np.argsort(-s):
@@ -194,15 +204,20 @@ class Classifier:
                 continue
             chain = CHAINS[k - 1]
             from_utf8 = chain[0][0] == "utf-8"
-            if not from_utf8 and (foreign < MIN_FOREIGN or max(map(len, runs)) < MIN_RUN or s[k] - s[0] < MARGIN * foreign):
+            if not from_utf8 and s[k] - s[0] < MARGIN * foreign:
                 continue
             try:
                 text = restore(line, chain)
             except UnicodeError:
                 continue
             again = self.scores(text)
-            if text != line and (from_utf8 or again.argmax() == 0 or again[0] > again.max() - 1.0):
-                return "garbled", int(k), text
+            if text == line:
+                continue
+            sound = from_utf8 or again.argmax() == 0 or again[0] > again.max() - 1.0
+            if sound and (from_utf8 or foreign >= MIN_FOREIGN and max(map(len, runs)) >= MIN_RUN):
+                return ("garbled", int(k), text), weak
+            if again[0] > again.max() - max(1.0, 0.25 * (s[k] - s[0])):
+                weak[int(k)] = float(s[k] - s[0]), text
         # Damage that isn't whole any more: most stretches still invert.
         best = int(s[1 : len(CHAINS) + 1].argmax()) + 1
         if s[best] > s[0] and CHAINS[best - 1][0][0] == "utf-8":
@@ -213,31 +228,62 @@ class Classifier:
                 except UnicodeError:
                     pass
             if good and good * 2 >= len(runs):
-                return "garbled", best, None
-        return "", 0, None
+                return ("garbled", best, None), {}
+        return ("", 0, None), weak
 
 
 _LINE = re.compile(r"[^\n\r]*[^\x00-\x7f\n\r][^\n\r]*")
+# A letter or sign inside a word that can't stand there, as in "fьr", "f³r" or "f‰r".
+_TORN = re.compile(r"[A-Za-z]*[a-z][^\x00-\x7f]+[a-z][A-Za-z]*")
+
+
+def _torn_words(line: str) -> set[str]:
+    return {w for w in _TORN.findall(line) if any(not (c.islower() and unicodedata.name(c, "").startswith("LATIN")) for c in w if not c.isascii())}
+
+
+def pooled(lines: dict[str, dict[int, tuple[float, str]]]) -> int:
+    """The chain that the short lines of one record prove together, or 0.
+
+    Its log odds over the different lines reach ``POOLED``, and a line has a stretch of ``MIN_RUN`` characters, or two
+    different words of ``MIN_TORN`` letters or more in sum are torn by something that can't stand inside a word.
+    """
+    odds: dict[int, float] = defaultdict(float)
+    for weak in lines.values():
+        for k, (gain, _) in weak.items():
+            odds[k] += gain
+    for k in sorted(odds, key=lambda k: (-odds[k], k)):
+        if odds[k] < POOLED:
+            break
+        own = [line for line, weak in lines.items() if k in weak]
+        torn = set().union(*map(_torn_words, own))
+        if len(torn) > 1 and sum(map(len, torn)) >= MIN_TORN or any(len(run) >= MIN_RUN for line in own for run in re.findall(r"[^\x00-\x7f]+", line)):
+            return k
+    return 0
 
 
 def _mapper(model: Classifier, whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, tuple[str, int, str | None]] = {}
+        seen: dict[str, tuple[tuple[str, int, str | None], dict[int, tuple[float, str]]]] = {}
         for batch in batches:
             rows, chains, lines, lost, texts = [], [], [], [], []
             for row, text in enumerate(batch.column(1).to_pylist()):
                 if not text or text.isascii():
                     continue
-                found = []
+                found, short = [], []
                 for m in _LINE.finditer(text):
                     line = m.group()
-                    verdict = seen.get(line)
-                    if verdict is None:
+                    both = seen.get(line)
+                    if both is None:
                         if len(seen) > 50_000:
                             seen.clear()
-                        verdict = seen[line] = model.diagnose(line)
+                        both = seen[line] = model.examine(line)
+                    verdict, weak = both
                     if verdict[0]:
                         found.append((m.span(), verdict))
+                    elif weak:
+                        short.append((m.span(), line, weak))
+                if short and (k := pooled({line: weak for _, line, weak in short})):
+                    found = sorted([*found, *((span, ("garbled", k, weak[k][1])) for span, _, weak in short if k in weak)], key=lambda x: x[0])
                 if not found:
                     continue
                 gone = sum(v[2] is None for _, v in found)

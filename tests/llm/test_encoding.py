@@ -59,6 +59,19 @@ def test_unharmed_text_is_left_alone(model):
         assert model.diagnose(line)[0] == "", line
 
 
+WESTERN = [c for c in CHAINS if c[0][0] in ("cp1252", "mac-roman", "cp437", "cp850")]
+
+
+def test_short_damage_is_judged_over_the_record(spark):
+    german = "# für die Prüfung\nx = 1\n# größere Werte zurückgeben, möglichst früh\ny = 2  # é\n"
+    spanish = "// validación según el índice\nint x;\n// tamaño máximo también\n"
+    bad = [garble(t, c) for c in WESTERN for t in (german, spanish)]
+    bad += [garble("# проверка\nx = 1\n", (p,)) for p in (("cp1251", "latin-1"), ("koi8-r", "cp1251"))] + [garble("x = 1\n# ошибка\n# строка\n", (("cp1251", "latin-1"),))]
+    good = [german, spanish, "# café Škoda Žižek\n# Šimon\n", "# n×m, 10³ km², a÷b → c\n# Θ(n) and Ω(n), x‰y\n", "# õhtu, või, müük\n# naïve façade\n", "# ошибка\n", "# ÄÖÜ ÃÕ Å ÉÈÊ\n"]
+    out = {r["id"] for r in garbled(spark.createDataFrame(list(enumerate(bad + good)), "k long, code string"), "k", "code").collect()}
+    assert out == set(range(len(bad))), (sorted(set(range(len(bad))) - out), [(bad + good)[k] for k in sorted(out) if k >= len(bad)])
+
+
 def test_table_form_and_edge_cases(spark):
     good, bad = "x = 1  # größe", "x = 1  # " + garble("größere Schlüssel", (("utf-8", "cp1252"),)) + "\ny = 2\r\n"
     rows = [(1, good, "a"), (2, bad, "b"), (3, None, "c"), (4, "", "d"), (5, "# L��cke schlie��en", "e"), (6, bad * 2000, "f")]
