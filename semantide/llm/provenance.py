@@ -25,19 +25,6 @@ from pyspark.sql import functions as F
 from semantide.llm.neardup import NearDuplicates
 from semantide.sources.shared import materialise
 
-# Cues of notices, in lower case. A cue only says where to look.
-GENERATED_CUES = """
-@generated; generated by; generated from; auto-generated; autogenerated; auto generated; automatically generated; automatically produced;
-automatically created; produced by; created by; written by; emitted by; output of; machine written; machine generated; machine-generated; do not edit;
-do not modify; don't edit; hands off; will be lost; overwritten; regenerate; buffer-read-only; automatisch erzeugt; automatisch generiert;
-automatisch erstellt; nicht bearbeiten; généré automatiquement; ne pas modifier; ne pas éditer; generado automáticamente; no editar;
-gerado automaticamente; não editar; generato automaticamente; сгенерировано автоматически; не редактировать; 自动生成; 請勿編輯; 请勿修改; 自動生成; 編集しないで
-""".replace("\n", " ").strip().split("; ")
-ORIGIN_CUES = """
-is part of; upstream; bundled copy; vendored; imported from; copied from; taken from; adapted from; derived from; borrowed from; developers; contributors; authors;
-project; foundation; @license; license see; free software; , version; redistribut; third-party; third party; version_string; _api extern; handling for; toolkit; homepage; source:
-""".replace("\n", " ").strip().split("; ")
-
 # Patterns of generation notices; each is enough by itself.
 GENERATED = [
     re.compile(p, re.I | re.S)
@@ -78,6 +65,24 @@ ORIGIN = [
 ]
 _BUNDLED = re.compile(r"\bbundled copy\b(?:, | )(?:of|from|snapshot|version|rev)", re.I)
 
+# Cues, in lower case: every match of a pattern holds one of its cues, in one line, so a text without them needs no patterns.
+_MADE = ("generated", "produced", "created", "written", "emitted")
+GENERATED_CUES = [
+    "@generated", "code generated ", "buffer-read-only", "made by", "lost", "overwritten", "discarded", "undone",
+    *(f"machine{gap}{verb}" for gap in "- " for verb in ("written", "generated", "made")),
+    *(f"{verb} {how}" for verb in _MADE for how in ("by", "from", "with", "automatically ")),
+    *(f"{auto}{gap}{verb}" for auto in ("auto", "automatically") for gap in ("", "-", " ") for verb in ("generated", "produced", "created")),
+    *(f"{never} {verb}" for never in ("do not", "don't", "never") for verb in ("edit", "modify", "change", "touch")),
+    *(f"automatisch {verb}" for verb in ("erzeugt", "generiert", "erstellt")),
+    "généré", "generado automáticamente", "generada automáticamente", "gerado automaticamente", "gerada automaticamente", "generato automaticamente",
+    "сгенерировано автоматически", "создано автоматически", "автоматически сгенерирован", "автоматически создан",
+    "自动生成", "自動生成", "请勿修改", "请勿编辑", "不要修改", "不要编辑",
+]
+ORIGIN_CUES = [
+    "is part of", "part of the ", "developers", "contributors", "authors", "project", "foundation", "imported", "copied", "taken", "adapted", "vendored", "borrowed",
+    "derived", "synced", "pulled", "unchanged from", "@license see ", ", version ", " for everyone", " is free software", "upstream", "_version_string", "bundled copy",
+]
+
 #: Directories for outside projects, one level above the project's own name; suffixes and names of tool output.
 _VENDOR_DIR = re.compile(r"(?:^|/)(?:vendor|vendored|third_party|third-party|thirdparty|external|extern|contrib|deps|node_modules|site-packages|submodules)/([\w.+-]+)/")
 _STRONG_PATH = re.compile(r"\.min\.(?:py|c|js|css)$|(?:^|/)(?:package-lock\.json|yarn\.lock|poetry\.lock|Pipfile\.lock|Cargo\.lock|go\.sum)$|(?:^|/)node_modules/", re.I)
@@ -110,6 +115,16 @@ def _automaton() -> ahocorasick.Automaton:
     return a
 
 
+def _kinds(cues: ahocorasick.Automaton, text: str) -> int:
+    """1 for cues of generation notices, 2 for cues of origin notices, 3 for both."""
+    kinds = 0
+    for _, kind in cues.iter(text.lower()):
+        kinds |= kind
+        if kinds == 3:
+            break
+    return kinds
+
+
 def _comment_blocks(text: str, trailing: bool) -> list[str]:
     """Stretches of successive comment or docstring lines; with ``trailing`` also lines that end in a comment or define a version.
 
@@ -223,11 +238,7 @@ def _mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for repo, path, name, text in zip(repos, paths, names, texts):
             text = text or ""
             place = path or name or ""
-            kinds = 0
-            for _, kind in cues.iter(text.lower()):
-                kinds |= kind
-                if kinds == 3:
-                    break
+            kinds = _kinds(cues, text)
             notice = bool(kinds & 1) and generated_notice(text)
             project = origin(text, repo) if kinds & 2 else None
             words = _WORDS.findall(text)

@@ -1,6 +1,6 @@
 import random
 
-from semantide.llm.provenance import generated_notice, not_hand_written, origin
+from semantide.llm.provenance import GENERATED, ORIGIN, _automaton, _kinds, generated_notice, not_hand_written, origin
 
 HAND = "\n".join(f"def step_{k}(a, b):\n    total = a * {k} + b\n    if total > {k * 7}:\n        return helper_{k}(total)\n    return [x for x in range(total) if x % {k + 2}]\n" for k in range(12))
 
@@ -35,6 +35,29 @@ def test_origin_names_an_outside_project_only():
     assert origin("# third party prices are billed by order\n", None) is None
 
 
+def test_every_pattern_has_its_cues():
+    generated = """@generated; Code generated from a.x; machine-made; machine written; buffer-read-only: t; This file was generated with protoc; file is emitted by x; this module has been produced from y
+this code was created automatically with z; auto-produced by x; automatically created, do not; autogenerated table - regenerate; written by x, edits lost; made by x, hands off; Manual changes are discarded
+changes will be undone; edits get lost; local modifications will be overwritten; Never touch this file.; do not change this file.; don't modify; automatisch erstellt; générée automatiquement; generada automáticamente
+gerada automaticamente; generato automaticamente; сгенерировано автоматически; создано автоматически; автоматически создан; автоматически сгенерирован; 自动生成 请勿; 自動生成 編集; 不要编辑""".replace("\n", "; ").split("; ")
+    origins = """this file is part of foo; copyright 2019 the foo foundation; (c) 2001 foo contributors; copied verbatim from zlib v1.2; Synced from libfoo at 3f2a; pulled from foo, revision 1; derived from foo commit 1
+taken from foo 12; unchanged from foo; @license see foo/x; part of the foo toolkit; libfoo, version 1; foo 1.2 - lists for everyone; foo is free software; __version__ = '1'  # foo upstream; #define FOO_VERSION_STRING""".replace("\n", "; ").split("; ")
+    for patterns, texts, kind in ((GENERATED, generated, 1), (ORIGIN, origins, 2)):
+        for p in patterns:
+            assert any(p.search(t) for t in texts), p.pattern
+        for t in texts:
+            assert any(p.search(t) for p in patterns), t
+            assert _kinds(_automaton(), f"# {t}\n") & kind, t
+
+
+def test_notices_without_the_usual_words_are_found_in_tables(spark):
+    notices = ["This file was generated with protoc", "Manual changes are discarded", "Never touch this file.", "Synced from libfoo at 3f2a", "copied verbatim from zlib v1.2", "plain remark"]
+    rows = [(k, f"# {t}\nx = {k}\n", "r", f"{k}.py", f"{k}.py") for k, t in enumerate(notices)]
+    df = spark.createDataFrame(rows, "k long, code string, repo string, path string, name string")
+    out = {r["id"]: r["reason"] for r in not_hand_written(df, "k", "code", "repo", "path", "name").collect()}
+    assert out == {0: "generated", 1: "generated", 2: "generated", 3: "vendored", 4: "vendored"}
+
+
 def test_table_form_with_copies_and_edge_cases(spark):
     rng = random.Random(3)
     notice = "# Imported unchanged from upstream foo, revision 12ab.\n\n"
