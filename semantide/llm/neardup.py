@@ -288,7 +288,12 @@ class NearDuplicates:
         return rows if self.probes is None else rows.join(self.probes.select(F.col("id").alias("other")), "other", "left_semi").select("id", "other")
 
     def groups(self) -> DataFrame:
-        """``id``, ``group_id`` (its least id), ``n_links``: one row for each record with a partner."""
-        edges = self.links().select(F.col("a").alias("src"), F.col("b").alias("dst")).union(self.copies.select("rep", "id"))
-        degree = edges.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
-        return connected_components(edges).join(degree, "id").select("id", F.col("component").alias("group_id"), "n_links")
+        """``id``, ``group_id`` (its least id), ``n_links`` (its partners): one row for each record with a partner."""
+        links = materialise(self.links().select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct(), "links")
+        edges = links.union(self.copies.select("rep", "id"))
+        sizes = self.copies.groupBy("rep").agg((F.count("*") + 1).alias("size"))
+        both = links.union(links.select("dst", "src"))
+        linked = both.join(sizes.withColumnRenamed("rep", "dst"), "dst", "left").groupBy(F.col("src").alias("rep")).agg(F.sum(F.coalesce("size", F.lit(1))).alias("linked"))
+        members = connected_components(edges).join(self.copies.select("id", "rep"), "id", "left").withColumn("rep", F.coalesce("rep", "id"))
+        partners = F.coalesce("size", F.lit(1)) - 1 + F.coalesce("linked", F.lit(0))
+        return members.join(sizes, "rep", "left").join(linked, "rep", "left").select("id", F.col("component").alias("group_id"), partners.alias("n_links"))

@@ -65,8 +65,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REGISTRY.query("p3_groups")
 def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups of programs that are mostly the same, a row for each program in one."""
-    return NearDuplicates(text_table(spark, sf_dir, "code", "unique_id", "code"), "unique_id", "code", 0.6, 3).groups().withColumnRenamed("id", "unique_id")
+    """Groups of programs that are mostly the same, a row for each program; one without a partner is its own group."""
+    found = NearDuplicates(text_table(spark, sf_dir, "code", "unique_id", "code"), "unique_id", "code", 0.6, 3).groups().withColumnRenamed("id", "unique_id")
+    return table(spark, sf_dir, "code").select("unique_id").join(found, "unique_id", "left").select(
+        "unique_id", F.coalesce("group_id", "unique_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
+    )
 
 
 @REGISTRY.query("p5_found")

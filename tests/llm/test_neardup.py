@@ -1,5 +1,7 @@
 import random
+from collections import Counter
 
+from semantide.llm.plans import p3_groups
 from semantide.llm.neardup import NearDuplicates
 
 
@@ -54,6 +56,17 @@ def test_groups_have_one_row_a_record(spark):
     assert found == {1: 1, 2: 1, 3: 1}
 
 
+def test_links_of_a_group_count_every_partner(spark, tmp_path):
+    rows = [(1, "a b c d e f"), (2, "a b c d e f"), (3, "a b c d e g"), (4, "a b c d e g"), (5, "a b c d e g"), (9, "z y x w v"), (10, None)]
+    rows += [(20, "m n o p q r s"), (21, "m n o p q r t")]
+    near = NearDuplicates(spark.createDataFrame(rows, "k long, t string"), "k", "t", 0.6, 3)
+    want = Counter(i for pair in near.pairs().collect() for i in pair)
+    assert want[1] == 4 and {r["id"]: r["n_links"] for r in near.groups().collect()} == want
+    spark.createDataFrame(rows, "unique_id long, code string").write.parquet(f"{tmp_path}/code.parquet")
+    out = {r["unique_id"]: (r["group_id"], r["n_links"]) for r in p3_groups(spark, str(tmp_path)).collect()}
+    assert out == {i: (1, 4) for i in range(1, 6)} | {9: (9, 0), 10: (10, 0), 20: (20, 1), 21: (20, 1)}
+
+
 def test_probes_restrict_the_pairs(spark):
     rows = corpus(8)
     df = spark.createDataFrame(rows, "k long, t string")
