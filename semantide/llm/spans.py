@@ -282,7 +282,11 @@ class SharedSpans:
         return same.unionByName(across).unionByName(many).distinct()
 
     def coverage(self) -> DataFrame:
-        """``id``, ``n_spans``, ``shared_chars``, ``longest_span``: how much of a record is found elsewhere."""
+        """``id``, ``n_spans``, ``shared_chars``, ``longest_span``: how much of a record is found elsewhere.
+
+        Spans are unions of overlapping shared stretches, whoever shares them: ``n_spans`` counts the unions and
+        ``longest_span`` is the longest union, not the longest stretch shared with one other record.
+        """
         w = Window.partitionBy("id").orderBy("start", "stop")
         before = F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1))
         fresh = self.intervals().withColumn("before", F.coalesce(before, F.lit(-1)))
