@@ -51,3 +51,10 @@ def test_empty_corpus(spark, corpus):
     m = mix(spark, corpus.where("doc_id < 0"))
     assert m.chosen().count() == 0
     assert {r["actual_share"] for r in m.shares().collect()} == {0.0}
+
+
+def test_too_many_common_words_are_refused(spark, corpus):
+    targets = spark.createDataFrame([("big", 1.0, 1)], "source string, target_share double, max_repeats int")
+    words = spark.range(100_001).selectExpr("'en' AS lang", "concat('w', id) AS word")
+    with pytest.raises(ValueError):
+        Mix(corpus, targets, words, VOCABULARY)
