@@ -24,11 +24,27 @@ def brute(rows, n):
     return pairs, covered
 
 
+def longest(rows, n):
+    """The longest stretch of each text that another record has, by trying all lengths."""
+    out = {}
+    for i, t in rows:
+        others = [u for j, u in rows if j != i and u]
+        best = 0
+        for k in range(len(t or "")):
+            while k + best < len(t) and any(t[k : k + best + 1] in u for u in others):
+                best += 1
+        if best >= n:
+            out[i] = best
+    return out
+
+
 def check(spark, rows, n, schema="doc long, text string"):
     found = SharedSpans(spark.createDataFrame(rows, schema), "doc", "text", n)
     pairs, covered = brute(rows, n)
     assert {tuple(r) for r in found.pairs().collect()} == pairs
-    assert {r["id"]: r["shared_chars"] for r in found.coverage().collect()} == covered
+    parts = found.coverage().collect()
+    assert {r["id"]: r["shared_chars"] for r in parts} == covered
+    assert {r["id"]: r["longest_span"] for r in parts} == longest(rows, n)
 
 
 def test_random_texts_agree_with_brute_force(spark):
@@ -69,6 +85,26 @@ def test_empty_table_extra_columns_and_repeated_rows(spark):
     assert SharedSpans(df.where("doc < 0"), "doc", "body", 40).coverage().count() == 0
 
 
+def test_stretches_of_two_partners_that_touch_are_two_spans(spark):
+    rng = random.Random(4)
+    x, y = ("".join(rng.choice("abcdefgh") for _ in range(300)) for _ in range(2))
+    rows = [(1, x + y), (2, "." + x + ","), (3, ";" + y)]
+    got = {r["id"]: tuple(r)[1:] for r in SharedSpans(spark.createDataFrame(rows, "d long, t string"), "d", "t", 200).coverage().collect()}
+    assert got == {1: (2, 600, 300), 2: (1, 300, 300), 3: (1, 300, 300)}
+
+
+def test_long_near_copies_write_a_pair_where_it_begins_only(spark):
+    rng = random.Random(6)
+    body = "".join(rng.choice("abcdefgh") for _ in range(20_000))
+    rows = [(i, body[: 300 * i] + "#" * i + body[300 * i :]) for i in range(1, 31)] + [(100 + i, body) for i in range(20)]
+    found = SharedSpans(spark.createDataFrame(rows, "d long, t string"), "d", "t", 200)
+    assert found.pairs().count() == 50 * 49 // 2
+    # One of the equal texts stands for all; the rows before the last step are at most twice the pairs.
+    assert found.links().count() == 31 * 30 // 2
+    copies = {r["id"]: r["rep"] for r in found.classes_of_texts().collect()}
+    assert copies == {100 + i: 100 for i in range(20)}
+
+
 def test_odd_lengths_are_refused(spark):
     with pytest.raises(ValueError):
         SharedSpans(spark.range(1).select("id", F.lit("a").alias("t")), "id", "t", 41)
