@@ -9,9 +9,10 @@ each record's rarest ``n - ceil(t n) + k`` runs: two records of similarity
 matrix bounds what any query of the one can share with a member of the other; only
 pairs of groups that reach the bound are opened, and their members compared exactly.
 
-Which runs are rare is only an order: it is read from a sample of at most
-``ORDER_SAMPLE`` records, and the result doesn't depend on it. Records with equal sets
-form one class from the start, so copies are compared once. No pair is lost.
+Which runs are rare is only an order: it is read from about
+``ORDER_SAMPLE`` records, chosen by a hash from all of them, and the result doesn't depend on it. Records with equal sets
+form one class from the start, so copies are compared once. A group holds records of like size, and only groups
+whose sizes can reach the threshold meet. No pair is lost.
 
 Defined results: null texts and texts with fewer than ``n`` tokens have no partner.
 """
@@ -31,12 +32,10 @@ from pyspark.sql import functions as F
 from semantide.operators.graph import connected_components
 from semantide.sources.shared import materialise
 
-#: Records from which the order of runs is read, and the longest text among them.
-ORDER_SAMPLE, ORDER_CHARS = 2000, 50_000
+#: Records from which the order of runs is read, on average, and the commonest runs of theirs that it tells apart.
+ORDER_SAMPLE, ORDER_RUNS = 2000, 200_000
 #: Records a group of the matrix holds at most, on average after a split.
 GROUP_SIZE = 16
-#: Bytes kept of each run's hash when two sets are compared.
-WIDTH = 5
 
 TOKEN = r"[A-Za-z0-9_]+"
 
@@ -127,8 +126,7 @@ def _set_mapper(pattern: str, n: int, prepare: Callable[[str], str]):
         for batch in batches:
             sets = []
             for text in batch.column(1).to_pylist():
-                h = run_hashes(find(prepare(text)), n, known)
-                sets.append(h.view(np.uint8).reshape(-1, 8)[:, :WIDTH].tobytes())
+                sets.append(run_hashes(find(prepare(text)), n, known).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "runs"])
 
     return run
@@ -146,18 +144,12 @@ def _run_mapper(pattern: str, n: int, prepare: Callable[[str], str]):
     return run
 
 
-def _unpack(b: bytes) -> np.ndarray:
-    full = np.zeros((len(b) // WIDTH, 8), np.uint8)
-    full[:, :WIDTH] = np.frombuffer(b, np.uint8).reshape(-1, WIDTH)
-    return full.view(np.uint64).ravel()
-
-
 def _compare_mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         common, union = [], []
         for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            x, y = _unpack(a), _unpack(b)
-            shared = len(np.intersect1d(x, y, assume_unique=False))
+            x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+            shared = len(np.intersect1d(x, y, assume_unique=True))
             common.append(shared)
             union.append(len(x) + len(y) - shared)
         yield pa.RecordBatch.from_arrays(
@@ -187,6 +179,7 @@ class NearDuplicates:
         self.prepare, self.probes = prepare, probes
         self.texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
         self.threshold, self.n, self.token = threshold, n, token
+        self.total = df.count()
         self.id_type = self.texts.schema["id"].dataType.simpleString()
         common, weight = self._order()
         sketches = materialise(
@@ -206,8 +199,10 @@ class NearDuplicates:
 
     def _order(self) -> tuple[np.ndarray, np.ndarray]:
         """Frequent runs of the sample and how many of its records have them."""
-        sample = self.texts.where(F.length("text") <= ORDER_CHARS).limit(ORDER_SAMPLE).select("text")
-        counts = sample.mapInArrow(_run_mapper(self.token, self.n, self.prepare), "run long").groupBy("run").count().where("count > 1").toPandas()
+        every = max(1, self.total // ORDER_SAMPLE)
+        sample = self.texts.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select("text")
+        counted = sample.mapInArrow(_run_mapper(self.token, self.n, self.prepare), "run long").groupBy("run").count().where("count > 1")
+        counts = counted.orderBy(F.desc("count"), "run").limit(ORDER_RUNS).toPandas()
         runs = counts["run"].to_numpy(np.int64).view(np.uint64)
         order = np.argsort(runs)
         return runs[order], counts["count"].to_numpy(np.int32)[order]
@@ -220,6 +215,8 @@ class NearDuplicates:
 
     def _candidates(self) -> DataFrame:
         spare = F.lit(1) + F.floor(F.col("n") / 32).cast("int")
+        # Sizes of similar records differ by the threshold at most, so their levels by one.
+        level = F.floor(F.log(F.col("n")) / F.log(F.lit(1 / self.threshold + 1e-9))).cast("int")
         sketches = self.sketches
         # As a table its size is known when the join is planned, so a short list doesn't make the sketches travel.
         crowded = materialise(sketches.groupBy("g").agg(F.count("*").alias("size")).where(F.col("size") > GROUP_SIZE), "crowded")
@@ -228,16 +225,18 @@ class NearDuplicates:
             "n",
             "prefix",
             spare.alias("k"),
-            F.when(F.col("size").isNull(), F.col("g"))
-            .otherwise(F.xxhash64("g", F.expr(f"pmod(xxhash64(id), cast(ceil(size / {GROUP_SIZE}) as int))")))
+            level.alias("level"),
+            F.when(F.col("size").isNull(), F.xxhash64("g", level))
+            .otherwise(F.xxhash64("g", level, F.expr(f"pmod(xxhash64(id), cast(ceil(size / {GROUP_SIZE}) as int))")))
             .alias("grp"),
         )
-        matrix = placed.select(F.explode("prefix").alias("run"), "grp", "k").repartition("run").groupBy("run", "grp").agg(F.min("k").alias("k"))
-        left = matrix.select("run", F.col("grp").alias("ga"), F.col("k").alias("ka"))
+        # All members of a group have its level, so it is any of theirs.
+        matrix = placed.select(F.explode("prefix").alias("run"), "grp", "k", "level").repartition("run").groupBy("run", "grp").agg(F.min("k").alias("k"), F.min("level").alias("level"))
+        left = matrix.select("run", F.col("grp").alias("ga"), F.col("k").alias("ka"), F.col("level").alias("va"))
         if self.probes is not None:
             left = left.join(self._probed(placed).select(F.col("grp").alias("ga")), "ga", "left_semi")
-        right = matrix.select("run", F.col("grp").alias("gb"), F.col("k").alias("kb"))
-        order = "ga < gb" if self.probes is None else "ga <> gb"
+        right = matrix.select("run", F.col("grp").alias("gb"), F.col("k").alias("kb"), F.col("level").alias("vb"))
+        order = ("ga < gb" if self.probes is None else "ga <> gb") + " AND abs(va - vb) <= 1"
         bound = left.join(right, "run").where(order).groupBy("ga", "gb").agg(
             F.count("*").alias("shared"), F.min(F.least("ka", "kb")).alias("least")
         )
