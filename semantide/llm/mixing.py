@@ -6,8 +6,9 @@ every text has an exponential key divided by its quality weight, and the texts w
 least keys are taken while they fit. No text is used more than ``max_repeats`` times;
 copies of a text count as one text, whatever their ids.
 
-The prefix sums run over a histogram: keys are mapped to ``BUCKETS`` buckets of about equal
-mass, the sums of the buckets (a table of at most sources times ``BUCKETS`` rows) give the
+The prefix sums run over a histogram: a key k is in bucket ``BUCKETS * (1 - exp(-k * LEAST_WEIGHT))``. A text of weight
+w falls into a given bucket with a probability of w / ``LEAST_WEIGHT`` / ``BUCKETS`` at most, so whatever the weights no bucket has more than
+about one in 10,000 of a source's texts. The sums of the buckets (a table of at most sources times ``BUCKETS`` rows) give the
 bucket in which a budget ends, and only inside that bucket texts are put in order. So no
 task ever sees a whole source.
 
@@ -29,7 +30,9 @@ from pyspark.sql import functions as F
 from semantide.llm.quality import Judge
 from semantide.sources.shared import materialise
 
-BUCKETS = 10_000
+BUCKETS = 100_000
+#: Quality weight of a text without prose; with nothing but prose it is 1.
+LEAST_WEIGHT = 0.1
 #: Split pattern of the byte-level vocabulary; a fixed value that goes with its file.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 
@@ -44,7 +47,7 @@ def _sizer(vocabulary: bytes, common: dict[str, set[str]]):
         for batch in batches:
             texts = batch.column(2).to_pylist()
             tokens = [len(encoding.encode_ordinary(t)) for t in texts]
-            weights = [0.1 + 0.9 * judge(t)[8] for t in texts]
+            weights = [LEAST_WEIGHT + (1 - LEAST_WEIGHT) * judge(t)[8] for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(tokens, pa.int64()), pa.array(weights, pa.float64())], ["id", "source", "tokens", "weight"]
             )
@@ -83,15 +86,15 @@ class Mix:
         self.targets = targets.select(source_name("source").alias("source"), "target_share", "max_repeats").where("target_share > 0")
         named = documents.select(F.col(id_col).alias("id"), source_name(source_col).alias("source"), F.col(text_col).alias("text"))
         wanted = named.where("text IS NOT NULL AND length(text) > 0").join(self.targets.select("source"), "source", "left_semi")
-        first = wanted.select("id", "source", F.unhex(F.md5("text")).alias("digest")).groupBy("digest").agg(F.min(F.struct("id", "source")).alias("first"))
-        chosen = first.select("first.id", "first.source")
+        keys = wanted.select("id", "source", F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"))
+        first = keys.groupBy("digest").agg(F.min(F.struct("id", "source")).alias("first"), F.count("*").alias("n")).where("n > 1")
+        # Copies are dropped before anything is counted; a table, so that its size is known when the join is planned.
+        copies = materialise(keys.join(first, "digest").where("first.id <> id OR first.source <> source").select("id", "source"), "mix-copies")
         kind = wanted.schema["id"].dataType.simpleString()
-        sized = wanted.select("id", "source", "text").mapInArrow(_sizer(vocabulary, common), f"id {kind}, source string, tokens long, weight double")
+        sized = wanted.join(copies, ["id", "source"], "left_anti").select("id", "source", "text").mapInArrow(_sizer(vocabulary, common), f"id {kind}, source string, tokens long, weight double")
         drawn = -F.log((F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 52)) + 0.5) / float(1 << 52)) / F.col("weight")
         self.texts = materialise(
-            sized.join(chosen, ["id", "source"], "left_semi").where("tokens > 0").withColumn("key", drawn).withColumn(
-                "bucket", F.floor((1 - F.exp(-F.col("key"))) * BUCKETS).cast("int")
-            ),
+            sized.where("tokens > 0").withColumn("key", drawn).withColumn("bucket", F.floor((1 - F.exp(-F.col("key") * LEAST_WEIGHT)) * BUCKETS).cast("int")),
             "mix-texts",
         )
         sums = self.texts.groupBy("source").agg(F.sum("tokens").alias("available"), F.count("*").alias("n_texts"))
@@ -113,8 +116,11 @@ class Mix:
         hist = self.texts.groupBy("source", "bucket").agg(F.sum("tokens").alias("tokens"))
         w = Window.partitionBy("source").orderBy("bucket")
         ends = hist.select("source", "bucket", F.sum("tokens").over(w).alias("upto"), "tokens").join(self.plan.select("source", "rest"), "source")
-        edge = ends.where("upto > rest AND upto - tokens <= rest").select("source", F.col("bucket").alias("edge"), (F.col("rest") - (F.col("upto") - F.col("tokens"))).alias("room"))
-        placed = self.texts.join(F.broadcast(self.plan.select("source", "epochs", "max_repeats")), "source").join(F.broadcast(edge), "source", "left")
+        # A row a source, like the plan; as a table its size is known, and the planner decides how to join.
+        edge = materialise(
+            ends.where("upto > rest AND upto - tokens <= rest").select("source", F.col("bucket").alias("edge"), (F.col("rest") - (F.col("upto") - F.col("tokens"))).alias("room")), "mix-edge"
+        )
+        placed = self.texts.join(self.plan.select("source", "epochs", "max_repeats"), "source").join(edge, "source", "left")
         whole = placed.where("edge IS NULL OR bucket <> edge").select(
             "id", "source", "tokens", (F.col("epochs") + F.when(F.col("edge").isNull() | (F.col("bucket") > F.col("edge")), 0).otherwise(1)).alias("repeats")
         )
