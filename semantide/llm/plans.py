@@ -35,22 +35,45 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SharedSpans(text_table(spark, sf_dir, "code", "unique_id", "code"), "unique_id", "code", 200).pairs()
 
 
-@REGISTRY.query("p4_shared_part")
+@REGISTRY.query(
+    "p4_shared_part",
+    """WITH x AS (SELECT unique_id, unnest(range(1, length(code) - 198)) AS i, code FROM code WHERE length(code) >= 200), w AS (SELECT unique_id, i, substr(code, i, 200) AS s FROM x),
+r AS (SELECT s FROM w GROUP BY s HAVING count(DISTINCT unique_id) > 1), k AS (SELECT * FROM w SEMI JOIN r USING (s)),
+g AS (SELECT unique_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY unique_id ORDER BY i) < 200 THEN 0 ELSE 1 END AS fresh FROM k),
+n AS (SELECT unique_id, i, sum(fresh) OVER (PARTITION BY unique_id ORDER BY i) AS span FROM g), m AS (SELECT unique_id, span, max(i) + 200 - min(i) AS size FROM n GROUP BY ALL),
+c AS (SELECT unique_id, count(*) AS n_spans, sum(size) AS shared_chars FROM m GROUP BY ALL),
+p AS (SELECT a.unique_id, a.i, b.unique_id AS other, a.i - b.i AS d FROM k a JOIN k b ON a.s = b.s AND a.unique_id <> b.unique_id),
+q AS (SELECT unique_id, other, d, i - row_number() OVER (PARTITION BY unique_id, other, d ORDER BY i) AS run FROM p), t AS (SELECT unique_id, count(*) + 199 AS size FROM q GROUP BY unique_id, other, d, run),
+l AS (SELECT unique_id, max(size) AS longest_span FROM t GROUP BY ALL)
+SELECT unique_id, length(code)::BIGINT AS n_chars, coalesce(n_spans, 0)::BIGINT AS n_spans, coalesce(shared_chars, 0)::BIGINT AS shared_chars, coalesce(longest_span, 0)::BIGINT AS longest_span,
+coalesce(shared_chars / nullif(length(code), 0)::DOUBLE, 0) AS shared_part FROM code LEFT JOIN c USING (unique_id) LEFT JOIN l USING (unique_id) WHERE code IS NOT NULL""",
+)
 def p4_shared_part(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each program the part of its text that other programs have too."""
+    """For each program the part of its text that other programs have too, and the longest stretch shared with one of them."""
     code = table(spark, sf_dir, "code").where(F.col("code").isNotNull())
-    shared = SharedSpans(code, "unique_id", "code", 200).coverage().withColumnRenamed("id", "unique_id")
-    n = F.length("code")
-    return code.join(shared, "unique_id", "left").select(
+    shared = SharedSpans(text_table(spark, sf_dir, "code", "unique_id", "code"), "unique_id", "code", 200).coverage().withColumnRenamed("id", "unique_id")
+    n = F.length("code").cast("long")
+    return code.select("unique_id", n.alias("n_chars")).join(shared, "unique_id", "left").select(
         "unique_id",
-        n.alias("n_chars"),
+        "n_chars",
         F.coalesce("n_spans", F.lit(0)).alias("n_spans"),
         F.coalesce("shared_chars", F.lit(0)).alias("shared_chars"),
         F.coalesce("longest_span", F.lit(0)).alias("longest_span"),
-        F.coalesce(F.try_divide("shared_chars", n), F.lit(0.0)).alias("shared_part"),
+        F.coalesce(F.try_divide("shared_chars", "n_chars"), F.lit(0.0)).alias("shared_part"),
     )
 
 
+@REGISTRY.query("p4_links")
+def p4_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a program: the program that stands for its class of equal texts, and how many unlike texts share a stretch with it."""
+    spans = SharedSpans(text_table(spark, sf_dir, "code", "unique_id", "code"), "unique_id", "code", 200)
+    links = spans.links()
+    counts = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
+    programs = table(spark, sf_dir, "code").select(F.col("unique_id").alias("id"))
+    rows = programs.join(spans.classes_of_texts(), "id", "left").select("id", F.coalesce("rep", "id").alias("rep")).join(counts, "rep", "left")
+    return rows.select(F.col("id").alias("unique_id"), F.col("rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 @REGISTRY.query(
     "p3_found",
     """WITH t AS (SELECT unique_id, regexp_extract_all(code, '[A-Za-z0-9_]+') AS t FROM code WHERE code IS NOT NULL),
@@ -164,14 +187,14 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REGISTRY.query("p2_flags")
 def p2_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A flag for each file, and what the semantic record of the program says: without functions it bears no witness."""
+    """A flag for each file, why, and what the semantic record of the program says: without functions it bears no witness."""
     code = table(spark, sf_dir, "code").where("code IS NOT NULL").select("unique_id", "program", "repo_name")
-    bad = _syntax(spark, sf_dir).invalid().select(F.col("id").alias("unique_id"), F.lit(True).alias("bad"))
+    bad = _syntax(spark, sf_dir).findings().withColumnRenamed("id", "unique_id")
     witness = table(spark, sf_dir, "parsed_code").groupBy("program").agg(F.max(F.coalesce(F.size("functions"), F.lit(0))).alias("functions_seen"))
     return (
         code.join(bad, "unique_id", "left")
         .join(witness, "program", "left")
-        .select("unique_id", "repo_name", F.coalesce("bad", F.lit(False)).alias("invalid"), F.coalesce("functions_seen", F.lit(0)).alias("functions_seen"))
+        .select("unique_id", "repo_name", F.col("reason").isNotNull().alias("invalid"), "reason", F.coalesce("functions_seen", F.lit(0)).alias("functions_seen"))
     )
 
 
