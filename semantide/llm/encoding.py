@@ -1,18 +1,21 @@
 """Text garbled by decoding with the wrong character set: find it, name the chain, undo it.
 
-A multinomial classifier over hashed bigrams of UTF-8 bytes is trained on
-sentences of many languages that are garbled here by every chain of ``CHAINS`` (the
+A multinomial classifier over hashed bigrams of UTF-8 bytes is trained on clean lines of the records
+that are garbled here by every chain of ``CHAINS`` (the
 character set the text was in, the one it was read with, once or twice over) and on
-the same sentences unharmed. Each line that isn't ASCII is classified. If a chain
+the same lines unharmed. The lines are a sample of at most ``SAMPLE_LINES`` different ones, chosen by a hash from all rows;
+which of them are clean is told by a first classifier of the same kind, trained on fixed sentences of many languages.
+Each line that isn't ASCII is classified. If a chain
 beats "unharmed", it is inverted: the line is encoded with the wrong
 set and decoded with the right one, strictly, and the outcome must itself be
-classified as unharmed. Lines that lost characters on the way (U+FFFD beside a
+classified as unharmed, or be made of the frequent characters of an East Asian set. Lines that lost characters on the way (U+FFFD beside a
 letter, or a chain that inverts for most but not all of the damaged stretches)
-are found, but not restored.
+are found, but not restored; nor are lines that two chains explain about equally well by different texts, or whose only
+explanation mixes scripts or cases within a word, tears words, or gives kana in a set for another language.
 
 Chains that start from UTF-8 prove themselves, since other text is hardly ever
-valid UTF-8. The other chains decode almost anything, so a line by itself needs ``MIN_FOREIGN``
-characters, ``MIN_RUN`` of them in a row, and a margin of the classifier. Lines with the margin alone, as Western
+valid UTF-8. The other chains decode almost anything, so they need log odds of ``EVIDENCE`` in a line and of ``MARGIN``
+a character, and a stretch of ``MIN_RUN`` characters or words torn by what can't stand in one. Lines with less, as Western
 text sent through a one-byte table, are judged together, record by record (``pooled``).
 
 Defined results: null, empty and ASCII texts are unharmed; a text is garbled if one line is.
@@ -24,7 +27,7 @@ import re
 import unicodedata
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -33,9 +36,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 8192
-#: Characters that aren't ASCII which a line needs for a chain that doesn't start from UTF-8.
-MIN_FOREIGN = 8
-#: Characters of the longest damaged stretch that such a chain needs.
+#: Lines of the records from which the classifier is trained, at most; longer ones aren't among them.
+SAMPLE_LINES, SAMPLE_CHARS = 1000, 400
+#: Log odds against "unharmed" that a line needs for a chain that doesn't start from UTF-8.
+EVIDENCE = 12.0
+#: Log odds within which another chain makes a restored text doubtful.
+DOUBT = 3.0
+#: Characters of a damaged stretch that the lines of a record need between them.
 MIN_RUN = 5
 #: Log odds a character against "unharmed" for such a chain.
 MARGIN = 0.35
@@ -45,14 +52,14 @@ POOLED, MIN_TORN = 20.0, 8
 # Sentences of the training set, by language; all are garbled by every chain that can express them.
 SEEDS = """
 Über die Größe der Lücke müssen wir später noch einmal ausführlich sprechen, schöne Grüße
-Äpfel, Öl und Übung: für fünf Wörter genügt ein kürzerer Schlüssel während der Prüfung
-Außerdem könnten ungültige Einträge gelöscht werden, bevor Änderungen möglich wären
-Não há exceção à regra: a função só é válida até a próxima versão, então começa já
-A posição três não está disponível; você também precisa de atenção e memória
-El niño pequeño añadió según él una señal más en la última sección del año después
-¿Qué página está vacía? También hay un índice único y un día de revisión
+Äpfel, Öl und Übung: für fünf Wörter genügt ein kürzerer Brief während der Prüfung
+Außerdem könnten süße Brötchen übrig bleiben, bevor die Gäste aus München möglichst früh zurückkehren
+Não há exceção à regra: a estação só é bonita até a próxima manhã, então começa já
+A posição três não está disponível; você também precisa de atenção, pão e um coração
+El niño pequeño añadió según él una canción más en la última página del año después
+¿Qué página está vacía? También hay un café único y un día de corazón
 Où est passé l'élève français ? Déjà à la fête, il préfère la crème brûlée naïve de sa sœur
-Vérifier l'état avant d'écrire les données libérées ; même si la clé a été répétée, gêner la tâche
+Près de la forêt, un écureuil âgé a été réveillé par la lumière ; même gêné, il répétait sa leçon
 Il caffè è più forte perché così è la città; però già lunedì c'è un'attività nuova
 Zażółć gęślą jaźń, święty źrebak wśród łąk i pól, dlaczego jeszcze późno
 Příliš žluťoučký kůň úpěl ďábelské ódy během dlouhého večera u řeky
@@ -61,25 +68,34 @@ Ağaç gölgesinde üç çocuk şarkı söylüyor, ıslak çimenlerde güneş do
 Räksmörgås på en ö är gott för både små och stora, säger hon över älven
 Smørrebrød på en ø, få år før blåbærgrød, nærmere æblerne
 Árvíztűrő tükörfúrógép működik a tűzoltók öt órája óta
-Проверить размер очереди и записать результат после цикла, если буфер ещё не пуст
-Удалить старые строки из файла перед началом; счётчик шагов не менять до конца таблицы
+Бабушка испекла пирог с яблоками и пригласила соседей на ужин, а дедушка играл с внуками во дворе
 Сегодня хорошая погода, мы идём гулять в парк вместе с друзьями и их детьми
-Внешний объект является первым элементом списка, который возвращает эта функция
-Не забудьте сохранить порядок ключей каждой записи при выходе и чтении
+Зимой реки замерзают, снег лежит на крышах, а вечером в окнах горит тёплый свет
+Учитель спросил, почему птицы улетают на юг; ученики ответили, что там теплее и больше пищи
+Эта книга рассказывает об истории города, его площадях, церквях и шумных ярмарках прошлого века
+Ошибки в диктанте учитель подчеркнул красным, и каждый исправил их дома; Опасно ходить по тонкому льду
 Привіт, як справи? Їжак і ґава живуть у лісі біля річки, є ще й ведмідь
-Ο γρήγορος έλεγχος της ουράς γίνεται πριν από την εγγραφή στο αρχείο
-检查文件的大小 然后返回结果 如果列表为空就跳过
-初始化所有的变量 外层循环结束之后再处理下一行数据
-删除旧的记录 避免重复计算 直到表格末尾 写入缓冲区
-这个函数计算最大值和最小值 并且更新计数器 队列的长度不变
-我们今天要学习如何使用新的编程语言 请注意安全 谢谢大家
-ファイルの大きさを確認してから次の行へ進む 空のときは飛ばす
-最大値を返す 古い行を削除する 順番を変えないでください
-外側のループが終わったら その後にバッファへ書き込む
+Η γιαγιά έψησε ψωμί και το σπίτι μύριζε όμορφα, ενώ έξω έπεφτε ήσυχα το χιόνι
+Ο γρήγορος σκύλος πήδηξε πάνω από τον φράχτη και έτρεξε προς τη θάλασσα με τα παιδιά
+Σήμερα το πρωί αγοράσαμε φρούτα στην αγορά, αύριο θα πάμε εκδρομή στο νησί
+הסבתא אפתה לחם והבית התמלא בריח טוב, בחוץ ירד גשם חזק כל הלילה
+הילדים הלכו לטייל ביער ליד הנהר עם הכלב שלהם, ואחר כך חזרו הביתה לאכול
+خبزت الجدة الخبز وامتلأ البيت برائحة طيبة بينما كان المطر يهطل في الخارج
+ذهب الأطفال إلى الحديقة مع أصدقائهم ولعبوا بالكرة حتى غروب الشمس
+奶奶烤了面包 整个屋子都很香 外面的雪下得很大
+春天来了 花园里的花都开了 孩子们在河边放风筝
+我们今天要去山上看日出 请注意安全 谢谢大家
+昨天晚上他给远方的朋友写了一封很长的信 说这里的冬天非常冷
+老师问学生为什么鸟会飞到南方 学生回答说那里更暖和
+春天的早晨 大家一起在公園散步 聽見小鳥在樹上唱歌 覺得非常開心
+おばあさんがパンを焼いて 家じゅうがいい匂いになりました
 今日は良い天気ですね 友達と一緒に公園へ行きましょう
-파일의 크기를 확인하고 다음 줄로 이동한다 비어 있으면 건너뛴다
-“Don’t panic” — it’s the reader’s turn… or isn’t it? See ‘late’ rows 3–9
-Wait… the buffer’s “outer” slot won’t match — a note on 10–12 • item
+冬の朝 山の上に白い雪が見えて とても静かでした
+先生は生徒に 鳥がなぜ南へ飛ぶのかを尋ねました
+할머니가 빵을 구워서 온 집안에 좋은 냄새가 났습니다
+오늘은 날씨가 좋아서 친구들과 함께 공원에 산책하러 갑니다
+“Don’t panic” — it’s the reader’s turn… or isn’t it? See ‘late’ pages 3–9
+Wait… the teacher’s “second” answer won’t do — a note on 10–12 • chapter
 The price is 5 € or 4 £, the angle 90° ± 2°, x ≤ y ≥ z ≠ w, µ ≈ 3 · 10²
 """.strip().split("\n")
 
@@ -88,22 +104,22 @@ SYMBOLS = """
 ½ § © ¥ ® ¶ £ ¢ ¤ ¿ ¡ « » ¼ ¾ ¹ ² ³ × ÷ ± ° µ
 ×÷±° ±°×÷ §§ ©® ½¼¾ €£¥ °C ±5 «guillemets» ·•·
 ÄÖÜ ÃÕ Å ÉÈÊ ÀÂ ÇÑ ØÆ ÁÍÓÚ ÎÔÛ
-NÃO MUDAR ATENÇÃO ÜBERGRÖSSE À FAIRE ÉTÉ SEÑAL AÑO
+ÇA VA, MÊME À NOËL: ÜBERRASCHUNG, CORAÇÃO, PIÑATA
 Ð and Ñ stay, Ã or Â too, Þ þ ð Æ æ ß ø å â ã
 ┌──┐ │ └──┘ ├─┤ ╔══╗ ║ ╚══╝ ░▒▓█ ▄▀ ■□▪
 → ← ↑ ↓ ⇒ ∀ ∃ ∈ ∑ √ ∞ ∂ ∫ ≈ ≠ ≤ ≥ √2 √x ∞ Ω π
 α β γ δ ε λ μ σ φ ω Δ Σ Ω α+β
 ✓ ✗ ★ ☆ ♥ 😀 🎉 👍 ™ † ‡ ‰ … – — “” ‘’
-“value” “key”, ‘name’ “stream mixed crate:”, {“route”: 5} “%d-%s”
+“so” “it goes”, ‘and on’ “an old house:”, {“a”: 5} “%d-%s”
 """.strip().split("\n")
 
 #: (set the bytes were in, set they were read with).
-_UTF8_READERS = "latin-1 cp1252 cp1250 iso8859-2 cp437 cp850 cp866 cp1251 koi8-r mac-roman gbk big5 shift_jis euc_kr".split()
+_UTF8_READERS = "latin-1 cp1252 cp1250 iso8859-2 cp437 cp850 cp866 cp1251 cp1253 cp1255 cp1256 koi8-r mac-roman gbk big5 shift_jis euc_kr".split()
 _OTHERS = [
     ("koi8-r", "cp1251"), ("cp1251", "koi8-r"), ("cp866", "cp1251"), ("cp1251", "cp866"), ("koi8-r", "latin-1"), ("cp1251", "latin-1"),
     ("cp1251", "cp1252"), ("koi8-r", "cp1252"), ("gbk", "latin-1"), ("gbk", "cp1252"), ("big5", "latin-1"), ("shift_jis", "latin-1"),
     ("shift_jis", "cp1252"), ("euc_jp", "latin-1"), ("euc_jp", "cp1252"), ("euc_kr", "latin-1"), ("cp1252", "cp1251"), ("cp1252", "mac-roman"),
-    ("mac-roman", "cp1252"), ("cp1252", "cp437"), ("cp1252", "cp850"), ("cp437", "cp1252"), ("cp850", "cp1252"), ("cp1252", "koi8-r"),
+    ("iso8859-7", "latin-1"), ("cp1253", "cp1252"), ("cp1255", "latin-1"), ("cp1255", "cp1252"), ("cp1256", "latin-1"), ("cp1256", "cp1252"), ("mac-roman", "cp1252"), ("cp1252", "cp437"), ("cp1252", "cp850"), ("cp437", "cp1252"), ("cp850", "cp1252"), ("cp1252", "koi8-r"),
 ]
 CHAINS: list[tuple[tuple[str, str], ...]] = (
     [(("utf-8", d),) for d in _UTF8_READERS]
@@ -115,7 +131,7 @@ LOST = [(("utf-8", "ascii"),), (("latin-1", "utf-8"),)]
 
 
 def _read(data: bytes, charset: str, errors: str = "strict") -> str:
-    """Decode; bytes a Windows code page leaves open become controls, as browsers have it."""
+    """Decode; bytes a Windows code page leaves open become the characters of that number, as browsers have it."""
     try:
         return data.decode(charset, errors)
     except UnicodeDecodeError:
@@ -139,7 +155,17 @@ def _written(text: str, charset: str) -> bytes:
     except UnicodeEncodeError:
         if not charset.startswith("cp125"):
             raise
-        return b"".join(bytes([ord(c)]) if 0x80 <= ord(c) < 0xA0 else c.encode(charset) for c in text)
+        return b"".join(_written_char(c, charset) for c in text)
+
+
+@lru_cache(50_000)
+def _written_char(c: str, charset: str) -> bytes:
+    try:
+        return c.encode(charset)
+    except UnicodeEncodeError:
+        if ord(c) < 256 and _read_byte(ord(c), charset) == c:
+            return bytes([ord(c)])
+        raise
 
 
 def garble(text: str, chain: tuple[tuple[str, str], ...], errors: str = "strict") -> str:
@@ -167,24 +193,61 @@ def _features(text: str) -> np.ndarray:
 
 
 class Classifier:
-    """Multinomial naive Bayes; class 0 is "unharmed", class k the chain ``(CHAINS + LOST)[k - 1]``."""
+    """Multinomial naive Bayes; class 0 is "unharmed", class k the chain ``(CHAINS + LOST)[k - 1]``.
+
+    ``clean`` are lines that are taken as unharmed, besides the fixed sentences; every line is also sent down every chain.
+    """
 
-    def __init__(self) -> None:
+    def __init__(self, clean: Iterable[str] = ()) -> None:
+        clean = list(clean)
         counts = np.full((len(CHAINS + LOST) + 1, BUCKETS), 0.02)
-        for line in SEEDS + [x.upper() for x in SEEDS] + SYMBOLS * 10:
+        for line in SEEDS + [x.upper() for x in SEEDS] + SYMBOLS * 10 + clean:
             np.add.at(counts[0], _features(line), 1.0)
+        whole = [w for line in SEEDS for w in (line, *line.split())] + clean
         for k, chain in enumerate(CHAINS + LOST, 1):
-            for word in (w for line in SEEDS for w in (line, *line.split())):
+            found = []
+            for text in whole:
                 try:
-                    np.add.at(counts[k], _features(garble(word, chain, "replace")), 1.0)
+                    broken = garble(text, chain, "replace")
                 except UnicodeError:  # the right set hasn't all its characters
                     continue
+                if broken != text:
+                    found.append(_features(broken))
+            counts[k] += np.bincount(np.concatenate(found), minlength=BUCKETS)
         self.logs = np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
 
+    @classmethod
+    def trained(cls, lines: Iterable[str]) -> Classifier:
+        """Trained on those of the lines that a classifier of the fixed sentences alone has nothing against."""
+        first = cls()
+        return cls([line for line in lines if first.examine(line) == (("", 0, None), {})])
+
     def scores(self, text: str) -> np.ndarray:
         """Log-likelihood of each class."""
         return self.logs[:, _features(text)].sum(axis=1)
 
+    @staticmethod
+    def _undone(line: str, k: int) -> str | None:
+        try:
+            text = restore(line, CHAINS[k - 1])
+        except UnicodeError:
+            return None
+        return text if text != line else None
+
+    def _sound(self, text: str, slack: float) -> bool:
+        """Whether a text is itself classified as unharmed, or nearly."""
+        s = self.scores(text)
+        return s[0] > s.max() - slack
+
+    def _doubtful(self, line: str, s: np.ndarray, k: int, text: str) -> bool:
+        """Whether another chain explains the line about as well, by a text that is as sound."""
+        for other in np.flatnonzero(s[: len(CHAINS) + 1] > s[k] - DOUBT):
+            if other and other != k:
+                instead = self._undone(line, int(other))
+                if instead is not None and instead != text and _plausible(instead, CHAINS[other - 1][0][0]) and (self._sound(instead, 0.01) or _frequent(instead, CHAINS[other - 1][0][0])):
+                    return True
+        return False
+
     def diagnose(self, line: str) -> tuple[str, int, str | None]:
         """("" or "garbled", number of the chain or 0, restored line or None)."""
         return self.examine(line)[0]
@@ -197,6 +260,7 @@ class Classifier:
             return ("garbled", int(s[1:].argmax()) + 1, None), weak
         runs = re.findall(r"[^\x00-\x7f]+", line)
         foreign = sum(map(len, runs))
+        doubtful = 0
         for k in np.argsort(-s):
             if k == 0:
                 break
@@ -206,18 +270,18 @@ class Classifier:
             from_utf8 = chain[0][0] == "utf-8"
             if not from_utf8 and s[k] - s[0] < MARGIN * foreign:
                 continue
-            try:
-                text = restore(line, chain)
-            except UnicodeError:
+            text = self._undone(line, int(k))
+            if text is None:
                 continue
-            again = self.scores(text)
-            if text == line:
-                continue
-            sound = from_utf8 or again.argmax() == 0 or again[0] > again.max() - 1.0
-            if sound and (from_utf8 or foreign >= MIN_FOREIGN and max(map(len, runs)) >= MIN_RUN):
-                return ("garbled", int(k), text), weak
-            if again[0] > again.max() - max(1.0, 0.25 * (s[k] - s[0])):
+            if from_utf8 or s[k] - s[0] >= EVIDENCE and _shaped([line]) and (self._sound(text, 1.0) or _frequent(text, chain[0][0])):
+                if not from_utf8 and not _plausible(text, chain[0][0]):
+                    doubtful = doubtful or int(k)
+                    continue
+                return ("garbled", int(k), text if from_utf8 or not self._doubtful(line, s, int(k), text) else None), weak
+            if self._sound(text, max(1.0, 0.25 * (s[k] - s[0]))):
                 weak[int(k)] = float(s[k] - s[0]), text
+        if doubtful:
+            return ("garbled", doubtful, None), weak
         # Damage that isn't whole any more: most stretches still invert.
         best = int(s[1 : len(CHAINS) + 1].argmax()) + 1
         if s[best] > s[0] and CHAINS[best - 1][0][0] == "utf-8":
@@ -232,6 +296,47 @@ class Classifier:
         return ("", 0, None), weak
 
 
+def _plausible(text: str, charset: str) -> bool:
+    """Whether no word mixes scripts, is torn, or has a capital after a small letter that isn't ASCII, and no kana come from a set for another language."""
+    if _HALF_WIDTH.search(text) or charset in ("gbk", "big5", "euc_kr") and _KANA.search(text) or _torn_words(text):
+        return False
+    for word in _LETTERS.findall(text):
+        if not word.isascii():
+            if len({_script(c) for c in word} - {""}) > 1 or _humped(word):
+                return False
+    return True
+
+
+_KANA, _HALF_WIDTH = re.compile("[\u3041-\u30ff]"), re.compile("[\uff61-\uff9f]")
+
+
+# Lead bytes of the frequent characters (level 1, syllables) of East Asian sets.
+_FREQUENT = {"gbk": (0xB0, 0xD7), "big5": (0xA4, 0xC6), "euc_jp": (0xA4, 0xCF), "shift_jis": (0x82, 0x97), "euc_kr": (0xB0, 0xC8)}
+
+
+def _frequent(text: str, charset: str) -> bool:
+    """Whether nearly all characters are frequent ones of an East Asian character set."""
+    if charset not in _FREQUENT:
+        return False
+    low, high = _FREQUENT[charset]
+    leads = [c.encode(charset, "replace")[0] for c in text if c > "\u2e7f" and c < "\uff00"]
+    return len(leads) >= 4 and sum(low <= x <= high for x in leads) >= 0.95 * len(leads)
+
+
+_LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def _humped(word: str) -> bool:
+    return any(a.islower() and b.isupper() and not (a.isascii() and b.isascii()) for a, b in zip(word, word[1:]))
+
+
+@lru_cache(100_000)
+def _script(c: str) -> str:
+    """The alphabet of a letter; "" for other scripts."""
+    name = unicodedata.name(c, "").split(" ")[0]
+    return name if name in ("LATIN", "CYRILLIC", "GREEK", "HEBREW", "ARABIC") else ""
+
+
 _LINE = re.compile(r"[^\n\r]*[^\x00-\x7f\n\r][^\n\r]*")
 # A letter or sign inside a word that can't stand there, as in "fьr", "f³r" or "f‰r".
 _TORN = re.compile(r"[A-Za-z]*[a-z][^\x00-\x7f]+[a-z][A-Za-z]*")
@@ -241,11 +346,19 @@ def _torn_words(line: str) -> set[str]:
     return {w for w in _TORN.findall(line) if any(not (c.islower() and unicodedata.name(c, "").startswith("LATIN")) for c in w if not c.isascii())}
 
 
+def _shaped(lines: list[str]) -> bool:
+    """Whether lines have a stretch of ``MIN_RUN`` characters that aren't ASCII, or two different torn words with ``MIN_TORN`` letters between them.
+
+    Single symbols and capitals, which many sets have in the same places, do not.
+    """
+    torn = set().union(*map(_torn_words, lines))
+    return len(torn) > 1 and sum(map(len, torn)) >= MIN_TORN or any(len(run) >= MIN_RUN for line in lines for run in re.findall(r"[^\x00-\x7f]+", line))
+
+
 def pooled(lines: dict[str, dict[int, tuple[float, str]]]) -> int:
     """The chain that the short lines of one record prove together, or 0.
 
-    Its log odds over the different lines reach ``POOLED``, and a line has a stretch of ``MIN_RUN`` characters, or two
-    different words of ``MIN_TORN`` letters or more in sum are torn by something that can't stand inside a word.
+    Its log odds over the different lines reach ``POOLED``, and the lines are shaped like damaged ones (``_shaped``).
     """
     odds: dict[int, float] = defaultdict(float)
     for weak in lines.values():
@@ -254,9 +367,7 @@ def pooled(lines: dict[str, dict[int, tuple[float, str]]]) -> int:
     for k in sorted(odds, key=lambda k: (-odds[k], k)):
         if odds[k] < POOLED:
             break
-        own = [line for line, weak in lines.items() if k in weak]
-        torn = set().union(*map(_torn_words, own))
-        if len(torn) > 1 and sum(map(len, torn)) >= MIN_TORN or any(len(run) >= MIN_RUN for line in own for run in re.findall(r"[^\x00-\x7f]+", line)):
+        if _shaped([line for line, weak in lines.items() if k in weak]):
             return k
     return 0
 
@@ -317,4 +428,35 @@ def garbled(df: DataFrame, id_col: str, text_col: str, restored: bool = True) ->
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(_mapper(Classifier(), restored), f"id {kind}, chain string, garbled_lines int, lost_lines int, restored string")
+    model = Classifier.trained(sample_lines(rows, "text"))
+    return rows.mapInArrow(_mapper(model, restored), f"id {kind}, chain string, garbled_lines int, lost_lines int, restored string")
+
+
+def sample_lines(df: DataFrame, text_col: str) -> list[str]:
+    """At most ``SAMPLE_LINES`` different lines that aren't ASCII, by a hash over all rows."""
+    lines = df.select(F.explode(F.filter(F.split(text_col, "[\\r\\n]+"), lambda x: x.rlike("[^\\x00-\\x7F]") & (F.length(x) <= SAMPLE_CHARS))).alias("line"))
+    return [r["line"] for r in lines.groupBy("line").agg(F.lit(1)).orderBy(F.xxhash64("line"), "line").limit(SAMPLE_LINES).select("line").collect()]
+
+
+def held_out(lines: list[str], part: int = 4) -> list[tuple[str, str, int, int, int, int]]:
+    """Train on all but every ``part``-th line and garble those: (chain, length class, tried, found, restored, restored to something else)."""
+    first = Classifier()
+    clean = [x for x in lines if first.examine(x) == (("", 0, None), {})]
+    model = Classifier(x for i, x in enumerate(clean) if i % part)
+    out: dict[tuple[str, str], list[int]] = defaultdict(lambda: [0] * 4)
+    for line in clean[::part]:
+        for chain in CHAINS:
+            try:
+                broken = garble(line, chain)
+            except UnicodeError:
+                continue
+            if broken == line:
+                continue
+            n = sum(not c.isascii() for c in line)
+            verdict = model.diagnose(broken)
+            row = out[" then ".join("/".join(p) for p in chain), "1-4" if n < 5 else "5-9" if n < 10 else "10+"]
+            row[0] += 1
+            row[1] += verdict[0] == "garbled"
+            row[2] += verdict[2] == line
+            row[3] += verdict[2] not in (None, line)
+    return [(*k, *v) for k, v in sorted(out.items())]

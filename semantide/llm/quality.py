@@ -2,8 +2,9 @@
 
 Layout is read from three signals over the lines of a text: delimiters that stand in
 as many places on every line or under each other (tables), a marker or an
-indentation that returns with a short period (lists), and line lengths that repeat
-or hardly vary (autocorrelation). Lines that take part in such a layout aren't prose.
+indentation that returns with a short period (lists), and the lengths of lines: where they repeat with a short period or don't
+vary (autocorrelation above ``ECHO``) and the lines are short and hardly ever end a sentence, they are the entries of a list, whatever
+words they are made of. Lines that take part in such a layout aren't prose.
 Of the rest, stretches of lines count as prose where enough words are common
 words of one language and letters, not symbols, make up the text. A document is prose
 if more than half of its characters, headings and code left out, are.
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 
 #: Share of common words above which a stretch of lines reads as a language, and the share of a text such stretches need.
 COMMON_SHARE, PROSE_SHARE = 0.2, 0.5
+#: Autocorrelation of line lengths from which short lines count as entries, the words of a short line, and the share of lines that may end a sentence.
+ECHO, ENTRY_WORDS, CLOSED_SHARE = 0.5, 7, 0.3
 
 _WORD = re.compile(r"\w+")
 _DELIMITERS = ("\t", "|", ";", ",", ":", "=", "»", ">", "/")
@@ -107,6 +110,15 @@ def layout(lines: list[str]) -> tuple[list[bool], str, float, float]:
         for i in range(n):
             if each[i] == shape and short(i):
                 part[i] = True
+    # Lengths that come back: records of a few lines each, or entries of one length.
+    if n >= 6 and echo > ECHO:
+        entries = [i for i in range(n) if lines[i].count(" ") < ENTRY_WORDS and len(_WORD.findall(lines[i])) <= ENTRY_WORDS]
+        closed = sum(x.rstrip().endswith(_SENTENCE_END) for x in lines)
+        if len(entries) >= 0.8 * n and closed <= CLOSED_SHARE * n:
+            if len(entries) / n > agreement:
+                agreement, kind = len(entries) / n, "list"
+            for i in entries:
+                part[i] = True
     return part, kind, agreement, echo
 
 

@@ -81,3 +81,34 @@ def test_table_form_and_edge_cases(spark):
     assert out[5]["lost_lines"] == 1 and out[5]["restored"] == "# L��cke schlie��en"
     assert out[6]["garbled_lines"] == 2000
     assert garbled(spark.createDataFrame([], "k long, code string"), "k", "code").count() == 0
+
+
+SHORT = [
+    ("Привет", (("cp1251", "latin-1"),)), ("Ошибка", (("koi8-r", "cp1251"),)), ("Größe prüfen", (("cp1252", "cp437"),)), ("Ελληνικό κείμενο ελέγχου", (("iso8859-7", "latin-1"),)),
+    ("בדיקה של הטקסט", (("utf-8", "cp1255"),)), ("فحص النص العربي", (("cp1256", "latin-1"),)), ("für die Prüfung", (("cp1252", "cp1251"),)), ("más según", (("cp1252", "mac-roman"),)),
+]
+
+
+@pytest.mark.parametrize("text, chain", SHORT)
+def test_short_lines_of_many_scripts_are_restored(model, text, chain):
+    assert model.diagnose("# " + garble(text, chain))[2] == "# " + text
+
+
+def test_chains_that_are_not_known_are_never_restored_to_something_else(model):
+    for text, chain in (("проверка текста", ("iso8859-5", "latin-1")), ("Ελληνικό κείμενο ελέγχου", ("iso8859-7", "cp1251")), ("проверка завершена", ("mac-cyrillic", "cp1252")), ("בדיקה של הטקסט", ("iso8859-8", "cp1251"))):
+        try:
+            broken = "# " + garble(text, (chain,))
+        except UnicodeError:
+            continue
+        assert model.diagnose(broken)[2] in (None, "# " + text), (text, chain, model.diagnose(broken))
+
+
+def test_training_on_the_records_own_lines(spark):
+    lines = [f"# {w} und größere Übung {k}" for k, w in enumerate("süße Bäume für grüne Hügel schöne Flüsse".split() * 8)] + [f"# 记录{k}号 已经删除 队列为空" for k in range(40)]
+    df = spark.createDataFrame([(k, x + "\r\nx = 1\n" + x) for k, x in enumerate(lines)] + [(900, None), (901, "plain"), (902, "é" * 500)], "k long, code string")
+    from semantide.llm import encoding
+
+    sample = encoding.sample_lines(df, "code")
+    assert sorted(sample) == sorted(set(lines))
+    shares = encoding.held_out(sample)
+    assert sum(r[3] for r in shares) >= 0.95 * sum(r[2] for r in shares) and sum(r[5] for r in shares) <= 0.01 * sum(r[2] for r in shares)

@@ -40,3 +40,20 @@ def test_statistics(spark):
 
 def test_empty_table(spark):
     assert run(spark, []) == {}
+
+
+def test_line_lengths_that_come_back_are_a_list_by_themselves():
+    from semantide.llm import quality as q
+
+    judge = q.Judge({"en": {"the", "of", "in", "and", "to", "a"}})
+    records = "\n".join(f"the house of {x} in the {y}\nto {z}" for x, y, z in zip("stone wood glass brick straw clay marble".split(), "north south east west hills fields woods".split(), "ann bob cid dan eve fay gus".split()))
+    assert judge(records)[9] is False and judge(records)[7] == "list"
+    assert judge(records)[6] > q.ECHO
+    # The same words without the rhythm, and with sentences that end, are prose.
+    words = records.split()
+    uneven, at = [], 0
+    for n in (7, 2, 5, 3, 7, 6, 1, 4, 7, 5, 2, 6, 4, 3):
+        uneven.append(" ".join(words[at : at + n]))
+        at += n
+    assert judge("\n".join(uneven))[6] < q.ECHO and judge("\n".join(uneven))[9] is True
+    assert judge(records.replace("\n", ".\n"))[9] is True
