@@ -1,9 +1,11 @@
 """Source files nobody wrote by hand: tool output, minified programs, data, copies of outside projects.
 
 One Aho-Corasick automaton holds all cues of generation and origin notices; a text is
-scanned once, and a comment in which a cue is found is held against the notice's
-pattern, so that prose that uses the same words ("do not edit the pool by hand while ...") doesn't
-count. To that come path rules (vendored directories, lock files, minified suffixes), the
+scanned once. Where a cue of generation is found, the comments are weighed: each cue has a kind and a weight, the kinds found in a comment add up
+(the heaviest cue of each kind counts), a comment at the head of the file counts one more, and ``NOTICE`` is enough for a notice. What
+stands before "generated by" and after "auto-generated" tells whether the file is meant or something
+it deals with, so that prose that uses the same words ("tokens generated by the lexer", "do not edit the pool by hand while ...") doesn't
+count. Where a cue of origin is found, patterns read the project's name. To that come path rules (vendored directories, lock files, minified suffixes), the
 share of characters in numbers and encoded strings, the shape of minified code, and the
 share of lines that follow a handful of templates. Copies of outside files whose notice was
 cut off are found by similarity to the files that still have one, leading comments left out.
@@ -25,26 +27,43 @@ from pyspark.sql import functions as F
 from semantide.llm.neardup import NearDuplicates
 from semantide.sources.shared import materialise
 
-# Patterns of generation notices; each is enough by itself.
-GENERATED = [
-    re.compile(p, re.I | re.S)
-    for p in (
-        r"@generated\b",
-        r"\bcode generated (?:by|from)\b",
-        r"\bmachine[- ](?:written|generated|made)\b(?! \w+ (?:are|is|go)\b)",
-        r"\bbuffer-read-only:\s*t\b",
-        r"\b(?:this (?:file|code|module|source)|file) (?:is|was|has been) (?:auto-?|automatically |machine[- ])?(?:generated|produced|created|written|emitted) (?:automatically )?(?:by|from|with)\b",
-        r"\bauto(?:matically)?[- ]?(?:generated|produced|created)\b[^\n]{0,40}(?:\b(?:by|from|with|using)\b|[-–—,;:!.]\s*(?:re-?generate|do not|don't|please|changes|edit|run|see|any)|$)",
-        r"\bautogenerated \w+(?: \w+)? [-–—] regenerate\b",
-        r"\b(?:generated|produced|created|written|emitted|made) by [\w./+-]+[^\n]{0,40}?(?:hands off|do not|don't|changes|edits|overwritten|lost|regenerate)",
-        r"\b(?:any |all )?(?:manual |local |hand )?(?:changes?|edits?|modifications?)\b[^\n.]{0,40}\b(?:will|are|get|is|be)\b[^\n.]{0,20}\b(?:lost|overwritten|discarded|undone)",
-        r"\b(?:do not|don't|never) (?:edit|modify|change|touch)(?: (?:this file|it|by hand|manually|directly|this|the generated file))?\s*(?:[.!;,:*/\"'-]|$)",
-        r"\bautomatisch (?:erzeugt|generiert|erstellt)\b(?! (?:\w+ )?(?:werte|zeilen)\b)",
-        r"\b(?:généré(?:e|es|s)? automatiquement|generad[oa] automáticamente|gerad[oa] automaticamente|generato automaticamente)\b",
-        r"(?:сгенерировано|создано) автоматически|автоматически (?:сгенерирован|создан)",
-        r"自动生成[^\n]{0,10}(?:请勿|不要|勿)|自動生成[^\n]{0,12}(?:編集|変更)|(?:请勿|不要)(?:修改|编辑)",
-    )
-]
+#: Weight of a comment that makes it a notice of generation.
+NOTICE = 4
+
+_WEAK, _STRONG = ("created", "made", "written", "compiled", "built"), ("generated", "produced", "emitted", "output")
+# Cues of generation notices in lower case, by kind, with their weights.
+CUES: dict[str, tuple[str, int]] = (
+    {f"{verb} {how}": ("agent", 3) for verb in _STRONG for how in ("by", "from", "with", "using", "via")}
+    | {f"{verb} automatically {how}": ("agent", 3) for verb in _STRONG + _WEAK for how in ("by", "from", "with", "using")}
+    | {f"{verb} {how}": ("weak", 1) for verb in _WEAK for how in ("by", "from", "with", "using")}
+    | {f"{auto}{gap}{verb}": ("auto", 2) for auto in ("auto", "automatically", "machine") for gap in ("", "-", " ") for verb in ("generated", "produced", "created", "written", "made")}
+    | dict.fromkeys((
+        "automatisch erzeugt", "automatisch generiert", "automatisch erstellt", "généré automatiquement", "générée automatiquement", "généré par", "generado automáticamente", "generada automáticamente",
+        "generado por", "gerado automaticamente", "gerada automaticamente", "gerado por", "generato automaticamente", "generato da", "сгенерировано автоматически", "создано автоматически",
+        "автоматически сгенерирован", "автоматически создан", "自动生成", "自動生成",
+    ), ("auto", 3))
+    | {"@generated": ("mark", 4), "buffer-read-only": ("mark", 3), "generated file": ("mark", 3), "code generated": ("mark", 2), "generated code": ("mark", 2), "generated source": ("mark", 2)}
+    | {f"{never} {verb}": ("hands", 2) for never in ("do not", "don't", "never", "not be", "not to be") for verb in ("edit", "edited", "modify", "modified", "change", "changed", "touch", "hand-edit")}
+    | dict.fromkeys((
+        "hands off", "manual change", "manual edit", "manual modification", "hand edit", "changes to this", "edits to this", "changes made to this", "nicht bearbeiten", "nicht ändern", "nicht von hand", "ne pas modifier", "ne pas éditer", "no editar", "no modificar", "não editar", "não modificar", "non modificare",
+        "не редактировать", "не изменять", "请勿", "不要修改", "不要编辑", "編集しない", "変更しない", "编辑无效",
+    ), ("hands", 2))
+    | {f"{what} {how}": ("weak hands", 1) for what in ("changes", "edits", "modifications") for how in ("will", "are", "get", "may", "lost", "made")}
+    | dict.fromkeys((" lost", "overwritten", "discarded", "undone", "regenerate", "re-generate", "regenerated"), ("loss", 2))
+    | dict.fromkeys(("this file", "this code", "this module", "this source", "this header", "this program", "file is", "file was", "parser", "scanner", "lexer", "bindings", "stubs", "wrapper", "migration"), ("subject", 1))
+    | {" instead": ("instead", 1), " output": ("instead", 1)}
+)
+# Public programs that write source files.
+TOOLS = (
+    "bison yacc byacc flex lex cython swig protoc protobuf grpc thrift flatc flatbuffers capnp antlr antlr4 javacc re2c ragel lemon gperf pyuic pyuic4 pyuic5 pyuic6 pyrcc pyrcc5 uic moc rcc "
+    "django alembic flask-migrate openapi openapi-generator swagger autorest asn1c asn1scc rpcgen gsoap wsdl2py f2c f2py sip pybind11 shiboken boost.python ctypesgen bindgen cbindgen cffi "
+    "autoconf automake autogen m4 cmake meson vala valac nim haxe transcrypt emscripten matlab simulink stateflow scade ecl webpack babel terser uglifyjs xxd bin2c sqlc sqlalchemy sqlacodegen "
+    "datamodel-codegen xsdata pyxb generateds nanopb glade wxglade wxformbuilder qt designer unicode tablegen"
+).split()
+CUES |= {tool: ("tool", 2) for tool in TOOLS}
+#: Words before "generated by" that mean the file itself.
+_ITSELF = frozenset("file code module source header program script is was been are be automatically parser scanner lexer implementation bindings stub stubs wrapper wrappers migration class document and c python output ui".split())
+
 # Patterns of origin notices; the group names the project.
 ORIGIN = [
     re.compile(p, re.I)
@@ -57,7 +76,10 @@ ORIGIN = [
         r"@license see ([\w.+-]+)/",
         r"\bpart of the ([\w.+-]+)(?: \w+)? (?:toolkit|library|suite|framework|distribution)\b",
         r"^\W*lib([\w+-]+), version \d",
-        r"^\W*([\w.+-]+) v?\d+\.\d+(?:\.\d+)? - [^\n]{0,60} for everyone",
+        r"(?:copyright|\(c\)|©)[^\n]{0,80}?\band ([A-Za-z][\w.+-]*) (?:developers|authors|contributors|project)\b",
+        r"\b(?:originally|imported|copied|taken|adapted|vendored|borrowed|derived|ported|downloaded|forked|based) (?:from|on) https?://[^\s/]+/(?:[^\s/]+/)*?([\w.+-]+?)(?:\.git)?(?:/(?:blob|tree|raw|archive|releases|commit)\b|[#?\s,;)]|/?$)",
+        r"^\W*(?:[\w.+-]+ (?:-+ )?)?(?:the )?(?:public )?interface (?:of|to) the [\'\"`]([\w+.-]+)[\'\"`]",
+        r"^\W*([A-Za-z][\w.+-]*)(?: -)? v?\d+(?:\.\d+)?\.\d\d? - [A-Za-z]",
         r"^\W*([\w.+-]+) is free software\b",
         r"__version__\s*=[^\n]*#\s*([\w.+-]+) upstream\b",
         r"^\s*#\s*define\s+(\w+)_VERSION_STRING\b",
@@ -65,22 +87,10 @@ ORIGIN = [
 ]
 _BUNDLED = re.compile(r"\bbundled copy\b(?:, | )(?:of|from|snapshot|version|rev)", re.I)
 
-# Cues, in lower case: every match of a pattern holds one of its cues, in one line, so a text without them needs no patterns.
-_MADE = ("generated", "produced", "created", "written", "emitted")
-GENERATED_CUES = [
-    "@generated", "code generated ", "buffer-read-only", "made by", "lost", "overwritten", "discarded", "undone",
-    *(f"machine{gap}{verb}" for gap in "- " for verb in ("written", "generated", "made")),
-    *(f"{verb} {how}" for verb in _MADE for how in ("by", "from", "with", "automatically ")),
-    *(f"{auto}{gap}{verb}" for auto in ("auto", "automatically") for gap in ("", "-", " ") for verb in ("generated", "produced", "created")),
-    *(f"{never} {verb}" for never in ("do not", "don't", "never") for verb in ("edit", "modify", "change", "touch")),
-    *(f"automatisch {verb}" for verb in ("erzeugt", "generiert", "erstellt")),
-    "généré", "generado automáticamente", "generada automáticamente", "gerado automaticamente", "gerada automaticamente", "generato automaticamente",
-    "сгенерировано автоматически", "создано автоматически", "автоматически сгенерирован", "автоматически создан",
-    "自动生成", "自動生成", "请勿修改", "请勿编辑", "不要修改", "不要编辑",
-]
+# Cues of origin, in lower case: every match of a pattern holds one of them, in one line, so a text without them needs no patterns.
 ORIGIN_CUES = [
     "is part of", "part of the ", "developers", "contributors", "authors", "project", "foundation", "imported", "copied", "taken", "adapted", "vendored", "borrowed",
-    "derived", "synced", "pulled", "unchanged from", "@license see ", ", version ", " for everyone", " is free software", "upstream", "_version_string", "bundled copy",
+    "derived", "synced", "pulled", "unchanged from", "@license see ", ", version ", *(f".{k} - " for k in range(100)), "from http", "on http", "interface of the", "interface to the", " is free software", "upstream", "_version_string", "bundled copy",
 ]
 
 #: Directories for outside projects, one level above the project's own name; suffixes and names of tool output.
@@ -88,15 +98,16 @@ _VENDOR_DIR = re.compile(r"(?:^|/)(?:vendor|vendored|third_party|third-party|thi
 _STRONG_PATH = re.compile(r"\.min\.(?:py|c|js|css)$|(?:^|/)(?:package-lock\.json|yarn\.lock|poetry\.lock|Pipfile\.lock|Cargo\.lock|go\.sum)$|(?:^|/)node_modules/", re.I)
 _TOOL_PATH = re.compile(r"(?:_pb2?|_pb2_grpc|_gen|_generated|_autogen|_tab|_lex|\.gen|\.auto|\.generated|\.yy|\.tab|\.pb)\.(?:py|c|h)$|(?:^|/)(?:gen|generated|autogen|build|out|dist)/", re.I)
 
-# Templates: share of lines in the four commonest, and lines needed. Data: share of the characters. Minified: see _minified.
-TEMPLATE_SHARE, TEMPLATE_LINES, DATA_SHARE = 0.9, 15, 0.6
+# Templates: share of lines in the four commonest, the same where the path names tool output, and lines below which four templates mean nothing.
+TEMPLATE_SHARE, TOOL_TEMPLATE_SHARE, TEMPLATE_LINES = 0.9, 0.7, 15
+# Data: share of the visible characters, and characters below which a list is no payload. Minified: see _minified.
+DATA_SHARE, DATA_CHARS = 0.6, 300
 
 _NUMBERS = re.compile(r"(?:[-+]?(?:0[xX][0-9a-fA-F]+|\d+\.?\d*(?:[eE][-+]?\d+)?)[uUlLfF]*[\s,;:|{}\[\]()]*){4,}")
 _ENCODED = re.compile(r"[A-Za-z0-9+/=_-]{48,}|(?:\\x[0-9a-fA-F]{2}){8,}|(?:\\[0-7]{3}){8,}")
 _WORDS = re.compile(r"[A-Za-z_]\w*")
 _COMMENT = re.compile(r"\s*(?://|/\*|\*|#(?!\s*(?:define|include|if|ifdef|ifndef|endif|else|elif|undef|pragma)\b))")
 _NUM = re.compile(r"0[xX][0-9a-fA-F]+|\d+")
-_NO_DIGITS = str.maketrans("", "", "0123456789")
 _HEADER = re.compile(r"\s*(?:(?:#(?!\s*(?:define|include|if|ifdef|ifndef|endif|else|elif|undef|pragma)\b)[^\n]*\n|//[^\n]*\n|/\*.*?\*/|\"\"\".*?\"\"\"|'''.*?''')\s*)+", re.S)
 
 
@@ -106,13 +117,22 @@ def without_header(text: str) -> str:
     return text[m.end() :] if m else text
 
 
-def _automaton() -> ahocorasick.Automaton:
-    a = ahocorasick.Automaton()
-    for kind, cues in ((1, GENERATED_CUES), (2, ORIGIN_CUES)):
-        for cue in cues:
-            a.add_word(cue, a.get(cue, 0) | kind)
-    a.make_automaton()
-    return a
+#: Kinds that can begin a notice; the others only add to it.
+_LEADING = frozenset(("agent", "weak", "auto", "mark", "hands", "weak hands"))
+
+
+def _automaton() -> tuple[ahocorasick.Automaton, ahocorasick.Automaton]:
+    """For texts: 1 for cues of generation, 2 for cues of origin. For comments: a cue, its kind and its weight."""
+    quick, full = ahocorasick.Automaton(), ahocorasick.Automaton()
+    for cue, (kind, weight) in CUES.items():
+        full.add_word(cue, (cue, kind, weight))
+        if kind in _LEADING:
+            quick.add_word(cue, quick.get(cue, 0) | 1)
+    for cue in ORIGIN_CUES:
+        quick.add_word(cue, quick.get(cue, 0) | 2)
+    quick.make_automaton()
+    full.make_automaton()
+    return quick, full
 
 
 def _kinds(cues: ahocorasick.Automaton, text: str) -> int:
@@ -125,6 +145,33 @@ def _kinds(cues: ahocorasick.Automaton, text: str) -> int:
     return kinds
 
 
+def weigh(comment: str, head: bool, cues: ahocorasick.Automaton) -> int:
+    """Weight of a comment as a notice of generation; ``head`` if nothing but comments stands before it."""
+    low = comment.lower()
+    weights: dict[str, int] = {}
+    for end, (cue, kind, weight) in cues.iter(low):
+        start = end - len(cue) + 1
+        if cue[0].isalnum() and start and (low[start - 1].isalnum() or low[start - 1] == "_") or cue[-1].isalnum() and cue.isascii() and end + 1 < len(low) and (low[end + 1].isalnum() or low[end + 1] == "_"):
+            continue
+        if kind == "agent":
+            # "Tokens generated by the lexer" is about tokens.
+            line = low[low.rfind("\n", 0, start) + 1 : start]
+            before = _LAST_WORD.search(line)
+            if before and before.group(1) not in _ITSELF and not line.rstrip().endswith((".", ":", ";", ",", "-", "#", "(")):
+                weight = 1
+        elif kind in ("auto", "hands") and weight == 2 and _STATED.match(low, end + 1):
+            weight = 3
+        weights[kind] = max(weights.get(kind, 0), weight)
+    if not _LEADING & weights.keys():
+        return 0
+    return sum(weights.values()) + head
+
+
+_LAST_WORD = re.compile(r"([\w]+)\W*$")
+# After "auto-generated" or "do not edit": who did it, or the end of a clause, rather than the noun it goes with.
+_STATED = re.compile(r"\s*(?:(?:by|from|with|using|via|durch|mit|von|aus|par|por|da)\b|[-–—,;:!.)]|$)", re.M)
+
+
 def _comment_blocks(text: str, trailing: bool) -> list[str]:
     """Stretches of successive comment or docstring lines; with ``trailing`` also lines that end in a comment or define a version.
 
@@ -163,21 +210,19 @@ def _bare(line: str) -> str:
     return re.sub(r"^[\s#/*!\"'-]+|[\s#/*!\"']+$", "", line)
 
 
-def generated_notice(text: str) -> bool:
+def generated_notice(text: str, cues: ahocorasick.Automaton | None = None) -> bool:
     """Whether a comment says that a program made the file."""
+    cues = cues or _automaton()[1]
+    first = text.lstrip("\ufeff \t\r\n")[:3]
+    head = first[:1] == "#" and not _DIRECTIVE.match(first) or first[:2] in ("//", "/*") or first in ('"""', "'''")
     for block in _comment_blocks(text, False):
-        flat = "\n".join(_bare(x) for x in block.split("\n"))
-        if any(p.search(flat) for p in GENERATED):
-            if not _about_something_else(flat):
-                return True
+        if weigh("\n".join(_bare(x) for x in block.split("\n")), head, cues) >= NOTICE:
+            return True
+        head = False
     return False
 
 
-def _about_something_else(flat: str) -> bool:
-    """A remark on some values ("auto-generated x values are checked in y"), not on the file."""
-    return "\n" not in flat and bool(
-        re.search(r"\bauto-?generated \w+ (?:values|lines|names|rows|entries)\b|\bdo not (?:edit|modify) the \w+ by hand while\b|\bthat \w+ generated\b", flat, re.I)
-    )
+_DIRECTIVE = re.compile(r"#\s*(?:de|in|if|pr|un|er|el|en)")
 
 
 def origin(text: str, repo: str | None) -> str | None:
@@ -199,29 +244,44 @@ def origin(text: str, repo: str | None) -> str | None:
 
 def _minified(text: str, words: list[str]) -> bool:
     n = len(text)
-    if n < 200:
+    if len(words) <= 40:
         return False
     lines = text.count("\n") + 1
     blanks = sum(map(text.count, " \t\n\r"))
+    if blanks >= 0.12 * n:
+        return False
     longest = max(map(len, text.split("\n")))
-    short = sum(map(len, words)) / max(1, len(words))
-    return (n / lines > 100 or longest > 400) and blanks < 0.12 * n and short < 3.4 and len(words) > 40
+    return (n / lines > 100 or longest > 400) and sum(map(len, words)) / len(words) < 3.4
 
 
-def _data_share(text: str, parts: list[str], solid: int) -> float:
-    """Share of the visible characters in lists of numbers and in encoded strings.
+def _data_share(text: str, raw: bytes, parts: list[str], solid: int) -> float:
+    """Share of the visible characters in lists of numbers and in encoded strings; 0 where a bound shows that it isn't above ``DATA_SHARE``.
 
-    Regular expressions run only where there can be any: numbers need a digit in twelve characters, an
-    encoded string a stretch of 32 characters without blanks.
+    Numbers need a digit in twelve characters and consist of what ``_NUMERIC`` has; an
+    encoded string is in a stretch of 32 characters without blanks.
     """
+    digits = len(raw) - len(raw.translate(None, b"0123456789"))
+    numeric = len(raw) - len(raw.translate(None, _NUMERIC)) if digits * 12 >= solid else 0
+    encoded = sum(n for n in map(len, parts) if n >= 32)
+    if numeric + encoded <= DATA_SHARE * solid:
+        return 0.0
     data = 0
-    if (len(text) - len(text.translate(_NO_DIGITS))) * 12 >= solid:
+    if numeric:
         data += sum(len("".join(m.group().split())) for m in _NUMBERS.finditer(text))
-    if max(map(len, parts), default=0) >= 32:
+    if encoded:
         data += sum(len(m.group()) for m in _ENCODED.finditer(text))
     return data / solid if solid else 0.0
 
 
+def _template_bound(raw: bytes) -> float:
+    """At least the share of the code lines in their four commonest templates: punctuation alone makes fewer templates."""
+    lines = [x for x in map(bytes.strip, raw.translate(None, _WORD_BYTES).splitlines())]
+    shapes = Counter(lines)
+    shapes.pop(b"", None)
+    n = sum(k for x, k in shapes.items() if not x.startswith((b"#", b"/", b"*")))
+    return sum(k for _, k in shapes.most_common(4)) / n if n else 1.0
+
+
 def _template_share(text: str) -> tuple[float, int]:
     """Share of the code lines in their four commonest templates, words and numbers left open, and their number."""
     flat = _WORDS.sub("x", _NUM.sub("0", text)).splitlines()
@@ -230,25 +290,32 @@ def _template_share(text: str) -> tuple[float, int]:
     return (sum(k for _, k in shapes.most_common(4)) / n if n else 0.0), n
 
 
+_NUMERIC = b"0123456789abcdefABCDEFxXuUlL,;:|{}[]()-+."
+_WORD_BYTES = bytes(range(0x80, 0x100)) + b"0123456789_abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
 def _mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cues = _automaton()
+    quick, cues = _automaton()
     for batch in batches:
         repos, paths, names, texts = (batch.column(i).to_pylist() for i in range(1, 5))
         out: list[list] = [[] for _ in range(7)]
         for repo, path, name, text in zip(repos, paths, names, texts):
             text = text or ""
             place = path or name or ""
-            kinds = _kinds(cues, text)
-            notice = bool(kinds & 1) and generated_notice(text)
+            kinds = _kinds(quick, text)
+            notice = bool(kinds & 1) and generated_notice(text, cues)
             project = origin(text, repo) if kinds & 2 else None
             words = _WORDS.findall(text)
             parts = text.split()
             solid = sum(map(len, parts))
-            share, lines = _template_share(text)
-            data = _data_share(text, parts, solid)
-            dense = data > DATA_SHARE and solid > 300
-            tool = bool(_TOOL_PATH.search(place))
-            templated = lines >= TEMPLATE_LINES and share >= (0.7 if tool else TEMPLATE_SHARE)
+            raw = text.encode("utf-8", "surrogatepass")
+            data = _data_share(text, raw, parts, solid)
+            dense = data > DATA_SHARE and solid > DATA_CHARS
+            wanted = TOOL_TEMPLATE_SHARE if _TOOL_PATH.search(place) else TEMPLATE_SHARE
+            templated = False
+            if _template_bound(raw) >= wanted:
+                share, lines = _template_share(text)
+                templated = lines >= TEMPLATE_LINES and share >= wanted
             folder = _VENDOR_DIR.search(place)
             in_folder = folder.group(1).lower() if folder else None
             if project is None and in_folder and re.search(rf"(?<![a-z]){re.escape(in_folder)}(?![a-z])", text.lower()):

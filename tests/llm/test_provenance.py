@@ -1,6 +1,6 @@
 import random
 
-from semantide.llm.provenance import GENERATED, ORIGIN, _automaton, _kinds, generated_notice, not_hand_written, origin
+from semantide.llm.provenance import NOTICE, ORIGIN, _automaton, _kinds, generated_notice, not_hand_written, origin, weigh
 
 HAND = "\n".join(f"def step_{k}(a, b):\n    total = a * {k} + b\n    if total > {k * 7}:\n        return helper_{k}(total)\n    return [x for x in range(total) if x % {k + 2}]\n" for k in range(12))
 
@@ -41,13 +41,40 @@ this code was created automatically with z; auto-produced by x; automatically cr
 changes will be undone; edits get lost; local modifications will be overwritten; Never touch this file.; do not change this file.; don't modify; automatisch erstellt; générée automatiquement; generada automáticamente
 gerada automaticamente; generato automaticamente; сгенерировано автоматически; создано автоматически; автоматически создан; автоматически сгенерирован; 自动生成 请勿; 自動生成 編集; 不要编辑""".replace("\n", "; ").split("; ")
     origins = """this file is part of foo; copyright 2019 the foo foundation; (c) 2001 foo contributors; copied verbatim from zlib v1.2; Synced from libfoo at 3f2a; pulled from foo, revision 1; derived from foo commit 1
-taken from foo 12; unchanged from foo; @license see foo/x; part of the foo toolkit; libfoo, version 1; foo 1.2 - lists for everyone; foo is free software; __version__ = '1'  # foo upstream; #define FOO_VERSION_STRING""".replace("\n", "; ").split("; ")
-    for patterns, texts, kind in ((GENERATED, generated, 1), (ORIGIN, origins, 2)):
-        for p in patterns:
-            assert any(p.search(t) for t in texts), p.pattern
-        for t in texts:
-            assert any(p.search(t) for p in patterns), t
-            assert _kinds(_automaton(), f"# {t}\n") & kind, t
+taken from foo 12; unchanged from foo; @license see foo/x; part of the foo toolkit; libfoo, version 1; copyright 2019 jane and foo contributors; originally from https://example.org/jane/foo; interface of the "foo" library; foo 1.2 - lists for everyone; foo is free software; __version__ = '1'  # foo upstream; #define FOO_VERSION_STRING""".replace("\n", "; ").split("; ")
+    quick, cues = _automaton()
+    for p in ORIGIN:
+        assert any(p.search(t) for t in origins), p.pattern
+    for t in origins:
+        assert any(p.search(t) for p in ORIGIN), t
+        assert _kinds(quick, f"# {t}\n") & 2, t
+    for t in generated:
+        assert _kinds(quick, f"# {t}\n") & 1, t
+        assert weigh(t, True, cues) >= NOTICE, t
+
+
+def test_notices_of_public_tools():
+    # As these tools write them.
+    notices = [
+        "/* A Bison parser, made by GNU Bison 3.0.4.  */\n", "/* Generated by Cython 0.29.21 */\n", "# Generated by Django 4.2 on 2023-05-01 10:00\n", "# Form implementation generated from reading ui file 'main.ui'\n#\n# Created by: PyQt5 UI code generator 5.15\n",
+        "/* Generated by re2c 1.0.3 on Mon Jan 1 00:00:00 2018 */\n", "/* C code produced by gperf version 3.1 */\n/* Command-line: gperf x.gperf  */\n", "import x\n\ndef upgrade():\n    # ### commands auto generated by Alembic - please adjust! ###\n    pass\n",
+        "/* This file was automatically generated by SWIG (http://www.swig.org).\n * Version 3.0.12\n * Do not make changes to this file unless you know what you are doing */\n", "# -*- coding: utf-8 -*-\n# Generated by the protocol buffer compiler.  DO NOT EDIT!\n# source: a.proto\n",
+        "/* A lexical scanner generated by flex */\n", "# parsetab.py\n# This file is automatically generated. Do not edit.\n_tabversion = '3.10'\n", "# Autogenerated by Thrift Compiler (0.13.0)\n#\n# DO NOT EDIT UNLESS YOU ARE SURE THAT YOU KNOW WHAT YOU ARE DOING\n",
+        "// Generated from Expr.g4 by ANTLR 4.9\n", "/* Meta object code from reading C++ file 'a.h'\n** Created by: The Qt Meta Object Compiler version 67\n** WARNING! All changes made in this file will be lost! */\n", "/* DO NOT EDIT THIS FILE - it is machine generated */\n",
+    ]
+    for text in notices:
+        assert generated_notice(text), text
+    remarks = [
+        "# Reads the tokens generated by the lexer.\nx = 1\n", "# Written by Jane Doe, 2019\nx = 1\n", "/* Created by J. Doe on 3/4/2020. */\nint x;\n", "x = 1\n# ids are generated by the server\n", "# The auto-generated keys are sorted before use\n", "// Original by X. Do not modify the returned list\nint x;\n",
+        "x = 1  # do not change the order of these\n", "def f():\n    # machine-made parts are skipped\n    pass\n", "# unsaved changes: ask the user\nx = 1\n", "x = 1\n# pending changes will be lost on exit\n", "# This module generates code for the parser\nx = 1\n",
+    ]
+    for text in remarks:
+        assert not generated_notice(text), text
+    for text, name in (
+        ("/* zlib.h -- interface of the 'zlib' general purpose compression library\n  version 1.2.11, January 15th, 2017 */\n", "zlib"), ("/*\n  Copyright (c) 2009-2017 Dave Gamble and cJSON contributors\n*/\n", "cjson"),
+        ("// Originally from https://github.com/someone/tinyexpr\n", "tinyexpr"), ("/* stb_image - v2.27 - public domain image loader */\n", "stb_image"), ("# Taken from https://example.org/a/b/blob/main/x.py\n", "b"),
+    ):
+        assert origin(text, "mine-kit") == name, text
 
 
 def test_notices_without_the_usual_words_are_found_in_tables(spark):
