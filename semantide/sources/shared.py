@@ -6,7 +6,9 @@ the tasks it was running, not the stages before.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -25,17 +27,40 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def own_dir(spark: SparkSession) -> str:
+    """The folder of this application within the shared one."""
+    return f"{shared_dir(spark)}/semantide/{spark.sparkContext.applicationId}"
+
+
+_at_exit: set[str] = set()
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table into the shared folder and read it again."""
+    """Write ``df`` as a table into the application's folder and read it again; it is deleted when the application ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/semantide/{uuid.uuid4().hex}-{name}"
+    folder = own_dir(spark)
+    if folder not in _at_exit:
+        _at_exit.add(folder)
+        atexit.register(_drop_at_exit, spark, folder)
+    path = f"{folder}/{uuid.uuid4().hex}-{name}"
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
 def drop_intermediates(spark: SparkSession) -> None:
-    """Delete every intermediate table; call it once the results are written."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/semantide")
+    """Delete this application's intermediate tables; call it once the results are written."""
+    _delete(spark, own_dir(spark))
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _drop_at_exit(spark: SparkSession, folder: str) -> None:
+    try:
+        _delete(spark, folder)
+    except Exception:  # the context was stopped before; a local folder can still go
+        if folder.startswith(tempfile.gettempdir()):
+            shutil.rmtree(folder, ignore_errors=True)

@@ -10,14 +10,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """Columns of a table for work that takes long on each row: at least one partition with rows a core.
+def text_table(spark: SparkSession, sf_dir: str, name: str, *columns: str, spread: int | None = None) -> DataFrame:
+    """Columns of a table for work that takes long on each row, in ``spread`` partitions.
 
-    Rows are only moved where the table has fewer files than there are cores (splits of one file may be
-    empty, as a row group is read in one); a large table keeps the splits of its scan.
+    Without ``spread`` a table of fewer files than there are cores is spread over all cores, as a file of one row group
+    is one task however it is split; a table of more files keeps the splits of its scan and nothing is moved.
     """
     df = table(spark, sf_dir, name).select(*columns)
     cores = spark.sparkContext.defaultParallelism
-    splits = df._jdf.queryExecution().executedPlan().execute().getNumPartitions()
-    few = splits <= 4 * cores and len(df.inputFiles()) < cores
-    return df.repartition(cores) if few else df
+    if spread is None and len(df.inputFiles()) < cores:
+        spread = cores
+    return df.repartition(spread) if spread else df
