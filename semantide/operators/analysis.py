@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from semantide.operators.graph import paths_of
+
 # Names whose calls are known to be harmless, and those that make a program unsupported.
 SAFE_CALLS = """
 abs all any bool callable chr dict divmod enumerate filter float hash int isinstance iter len list map max min next ord print range reversed
@@ -626,8 +628,13 @@ def _locals(source: str) -> dict[str, set[str]]:
     return {t.get_name(): {s.get_name() for s in t.get_symbols() if s.is_local() or s.is_parameter()} for t in table.get_children() if t.get_type() == "function"}
 
 
-def facts(source: str, strict: bool = False) -> dict:
-    """All facts of one program, in the shape of ``RECORD``."""
+#: Families of facts, each with what it is made of.
+FAMILIES = ("functions", "call_paths", "loops", "cfg_statements", "cfg_edges", "strict_dominators", "var_dependencies", "steps", "liveness")
+
+
+def facts(source: str, strict: bool = False, fields: Iterable[str] | None = None) -> dict:
+    """The facts of one program in the families ``fields`` (all of them by default), in the shape of ``RECORD``."""
+    wanted = frozenset(FAMILIES if fields is None else fields)
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
         tree = ast.parse(source)
@@ -635,7 +642,7 @@ def facts(source: str, strict: bool = False) -> dict:
     screen = Screen(scopes)
     screen.look(tree, None, None)
     local = {} if strict else _locals(source)
-    record: dict = {k: [] for k in ("functions", "loops", "cfg_statements", "cfg_edges", "strict_dominators", "var_dependencies", "steps", "liveness")}
+    record: dict = {k: [] for k in FAMILIES}
     bodies: list[tuple[str, list[ast.stmt], list[str], int, str, set[str]]] = []
     module = [s for s in tree.body if not isinstance(s, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef))]
     if module:
@@ -648,28 +655,41 @@ def facts(source: str, strict: bool = False) -> dict:
             {"name": name, "lineno": fn.lineno, "end_lineno": fn.end_lineno, "calls": sorted({c for call in _own_calls(fn) if (c := scopes.callee(name, call))}), "variables": sorted(variables)}
         )
         bodies.append((name, fn.body, [x.arg for x in a.args], fn.lineno, text.head(fn) + ":", variables))
+    if "call_paths" in wanted:
+        names = [f["name"] for f in record["functions"]]
+        calls = [(f["name"], c) for f in record["functions"] for c in f["calls"] if c in set(names)]
+        record["call_paths"] = [{"src": a, "dst": b} for a, b in paths_of(names, calls, None)]
     for name, body, arguments, line, code, variables in bodies:
+        if wanted & {"loops", "cfg_statements", "cfg_edges", "strict_dominators"}:
+            flow = Flow(text, strict)
+            flow.block(body, [0], {})
+            at = [0] + [s.lineno for s in flow.statements[1:]]
+            record["loops"] += [{"function": name, **loop} for loop in flow.loops]
+            quotes = [""] + [text.quote(s) for s in flow.statements[1:]] if wanted & {"cfg_statements", "strict_dominators"} else []
+            if "cfg_statements" in wanted:
+                live = flow.reached()
+                record["cfg_statements"] += [
+                    {"function": name, "node_id": i, "line": at[i], "code": quotes[i], "kind": type(flow.statements[i]).__name__, "dead": i not in live} for i in range(1, len(at))
+                ]
+            if "cfg_edges" in wanted:
+                record["cfg_edges"] += [{"function": name, "src_id": i, "dst_id": j} for i, after in enumerate(flow.after) for j in sorted(after)]
+            if "strict_dominators" in wanted:
+                record["strict_dominators"] += [{"function": name, "a_line": at[a], "a_code": quotes[a], "b_line": at[b], "b_code": quotes[b]} for a, b in flow.dominators()]
+        if not wanted & {"var_dependencies", "steps", "liveness"}:
+            continue
         steps = in_order(body)
         moves = [effects(s, strict) for s in steps]
         variables = variables | set(arguments) | set().union(*(d | u for d, u in moves))
-        flow = Flow(text, strict)
-        flow.block(body, [0], {})
-        live = flow.reached()
-        quotes = [""] + [text.quote(s) for s in flow.statements[1:]]
-        at = [0] + [s.lineno for s in flow.statements[1:]]
-        record["loops"] += [{"function": name, **loop} for loop in flow.loops]
-        record["cfg_statements"] += [
-            {"function": name, "node_id": i, "line": at[i], "code": quotes[i], "kind": type(flow.statements[i]).__name__, "dead": i not in live} for i in range(1, len(at))
-        ]
-        record["cfg_edges"] += [{"function": name, "src_id": i, "dst_id": j} for i, after in enumerate(flow.after) for j in sorted(after)]
-        record["strict_dominators"] += [{"function": name, "a_line": at[a], "a_code": quotes[a], "b_line": at[b], "b_code": quotes[b]} for a, b in flow.dominators()]
-        record["var_dependencies"] += dependencies(steps, text, variables, arguments, line, code, strict)
-        record["steps"] += [
-            {"function": name, "pos": i, "line": s.lineno, "code": text.quote(s), "defs": sorted(d), "uses": sorted(u), "returns": isinstance(s, ast.Return) and s.value is not None}
-            for i, (s, (d, u)) in enumerate(zip(steps, moves))
-        ]
-        back = set().union(*(u for s, (_, u) in zip(steps, moves) if isinstance(s, ast.Return)))
-        record["liveness"] += [{"function": name, "var": v, "liveout": v in back} for v in sorted(variables)]
+        if "var_dependencies" in wanted:
+            record["var_dependencies"] += dependencies(steps, text, variables, arguments, line, code, strict)
+        if "steps" in wanted:
+            record["steps"] += [
+                {"function": name, "pos": i, "line": s.lineno, "code": text.quote(s), "defs": sorted(d), "uses": sorted(u), "returns": isinstance(s, ast.Return) and s.value is not None}
+                for i, (s, (d, u)) in enumerate(zip(steps, moves))
+            ]
+        if "liveness" in wanted:
+            back = set().union(*(u for s, (_, u) in zip(steps, moves) if isinstance(s, ast.Return)))
+            record["liveness"] += [{"function": name, "var": v, "liveout": v in back} for v in sorted(variables)]
     record["loops"].sort(key=lambda x: (x["function"], x["line"], x["header_id"]))
     reasons = screen.notes | screen.fatal | set().union(*screen.by_category.values())
     return record | {
@@ -680,23 +700,33 @@ def facts(source: str, strict: bool = False) -> dict:
     }
 
 
-RECORD_FIELDS = """
-unsupported boolean, status string, unsupported_reasons array<string>, unsupported_categories map<string, array<string>>,
-functions array<struct<name string, lineno int, end_lineno int, calls array<string>, variables array<string>>>,
-loops array<struct<function string, header_id int, line int, cond string, code string, reachable boolean, certainty string>>,
-cfg_statements array<struct<function string, node_id int, line int, code string, kind string, dead boolean>>,
-cfg_edges array<struct<function string, src_id int, dst_id int>>,
-strict_dominators array<struct<function string, a_line int, a_code string, b_line int, b_code string>>,
-var_dependencies array<struct<label string, `from` struct<var string, line int, code string>, depends_on struct<var string, line int, code string>>>,
-steps array<struct<function string, pos int, line int, code string, defs array<string>, uses array<string>, returns boolean>>,
-liveness array<struct<function string, var string, liveout boolean>>
-""".replace("\n", " ")
+STATUS_FIELDS = "unsupported boolean, status string, unsupported_reasons array<string>, unsupported_categories map<string, array<string>>"
+FAMILY_FIELDS = {
+    "functions": "array<struct<name string, lineno int, end_lineno int, calls array<string>, variables array<string>>>",
+    "call_paths": "array<struct<src string, dst string>>",
+    "loops": "array<struct<function string, header_id int, line int, cond string, code string, reachable boolean, certainty string>>",
+    "cfg_statements": "array<struct<function string, node_id int, line int, code string, kind string, dead boolean>>",
+    "cfg_edges": "array<struct<function string, src_id int, dst_id int>>",
+    "strict_dominators": "array<struct<function string, a_line int, a_code string, b_line int, b_code string>>",
+    "var_dependencies": "array<struct<label string, `from` struct<var string, line int, code string>, depends_on struct<var string, line int, code string>>>",
+    "steps": "array<struct<function string, pos int, line int, code string, defs array<string>, uses array<string>, returns boolean>>",
+    "liveness": "array<struct<function string, var string, liveout boolean>>",
+}
+
+
+def record_fields(fields: Iterable[str] | None = None) -> str:
+    """The schema of a record with some families, or all."""
+    wanted = FAMILIES if fields is None else [f for f in FAMILIES if f in set(fields)]
+    return ", ".join([STATUS_FIELDS, *(f"{f} {FAMILY_FIELDS[f]}" for f in wanted)])
+
+
+RECORD_FIELDS = record_fields()
 
 
-def safe_facts(source: str, strict: bool = False) -> dict:
+def safe_facts(source: str, strict: bool = False, fields: Iterable[str] | None = None) -> dict:
     """``facts``, or a record without them where the text can't be read."""
     try:
-        return facts(source, strict)
+        return facts(source, strict, fields)
     except (SyntaxError, ValueError) as e:
         why = f"syntax error: {type(e).__name__}"
     except (RecursionError, MemoryError) as e:
@@ -704,20 +734,21 @@ def safe_facts(source: str, strict: bool = False) -> dict:
     return {"unsupported": True, "status": "incomplete", "unsupported_reasons": [why], "unsupported_categories": {}}
 
 
-def analyse(programs: DataFrame, key: str = "program", text: str = "code", strict: bool = False) -> DataFrame:
-    """One row of facts for each Python program: ``key`` and the fields of ``RECORD_FIELDS``."""
+def analyse(programs: DataFrame, key: str = "program", text: str = "code", strict: bool = False, fields: Iterable[str] | None = None) -> DataFrame:
+    """One row of facts for each Python program: ``key`` and the fields of ``RECORD_FIELDS``, or of the families ``fields`` alone."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     rows = programs.select(key, text).where(F.col(text).isNotNull())
     kind = rows.schema[key].dataType.simpleString()
-    spec = f"{key} {kind}, {RECORD_FIELDS}"
+    spec = f"{key} {kind}, {record_fields(fields)}"
+    families = None if fields is None else tuple(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(0).to_pylist()
             texts = batch.column(1).to_pylist()
             for start in range(0, len(keys), 64):
-                out = [{key: k} | safe_facts(t, strict) for k, t in zip(keys[start : start + 64], texts[start : start + 64])]
+                out = [{key: k} | safe_facts(t, strict, families) for k, t in zip(keys[start : start + 64], texts[start : start + 64])]
                 yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
     arrow = to_arrow_schema(_schema(programs.sparkSession, spec))

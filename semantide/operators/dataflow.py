@@ -25,13 +25,14 @@ def live_before(steps: DataFrame, keys: list[str], position: str = "pos", variab
     """
     w = Window.partitionBy(*keys, variable).orderBy(position)
     rows = steps.groupBy(*keys, position, variable).agg(F.max("is_def").alias("is_def"), F.max("is_use").alias("is_use"))
+    # Positions of the whole graph come from a window, so the steps are read once.
+    rows = rows.withColumn("_places", F.array_sort(F.collect_set(position).over(Window.partitionBy(*keys))))
     last_def = F.last(F.when(F.col("is_def"), F.col(position)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     last_use = F.last(F.when(F.col("is_use"), F.col(position)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    stretches = rows.select(*keys, variable, "is_use", F.col(position).alias("_to"), last_def.alias("_def"), last_use.alias("_use")).where("is_use")
-    spans = stretches.select(*keys, variable, (F.greatest(F.coalesce("_def", F.lit(-1)), F.coalesce("_use", F.lit(-1))) + 1).alias("_from"), "_to")
-    at = steps.select(*keys, position).distinct()
-    grid = spans.withColumn(position, F.explode(F.sequence(F.col("_from").cast("int"), F.col("_to").cast("int"))))
-    return grid.join(at, [*keys, position], "left_semi").select(*keys, position, variable).distinct()
+    stretches = rows.select(*keys, variable, "is_use", "_places", F.col(position).alias("_to"), last_def.alias("_def"), last_use.alias("_use")).where("is_use")
+    spans = stretches.select(*keys, variable, "_places", (F.greatest(F.coalesce("_def", F.lit(-1)), F.coalesce("_use", F.lit(-1))) + 1).alias("_from"), "_to")
+    grid = spans.select(*keys, variable, F.explode(F.filter("_places", lambda p: (p >= F.col("_from")) & (p <= F.col("_to")))).alias(position))
+    return grid.distinct().select(*keys, position, variable)
 
 
 def live_out(variables: DataFrame, returned: DataFrame, keys: list[str], variable: str = "var") -> DataFrame:
@@ -40,6 +41,14 @@ def live_out(variables: DataFrame, returned: DataFrame, keys: list[str], variabl
     return variables.select(*keys, variable).distinct().join(used, [*keys, variable], "left").withColumn("liveout", F.coalesce("liveout", F.lit(False)))
 
 
+def live_out_rows(records: DataFrame, key: str = "program") -> DataFrame:
+    """``key``, ``function``, ``var``, ``liveout`` from records with ``steps`` and ``liveness``: all within the row of a program."""
+    returned = F.flatten(F.transform(F.filter("steps", lambda s: s["returns"]), lambda s: F.transform(s["uses"], lambda u: F.concat(s["function"], F.lit("\0"), u))))
+    rows = records.select(key, F.array_distinct(returned).alias("_back"), F.explode("liveness").alias("f"))
+    back = F.array_contains("_back", F.concat("f.function", F.lit("\0"), "f.var"))
+    return rows.select(key, "f.function", "f.var", back.alias("liveout"))
+
+
 def c_live_out(entry_live: DataFrame, returned: DataFrame, decayed: DataFrame, keys: list[str]) -> DataFrame:
     """``keys``, ``vars``: names live at the exit of the entry block or returned, less those that stand for functions."""
     names = entry_live.select(*keys, "var").union(returned.select(*keys, "var")).distinct()

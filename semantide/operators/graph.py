@@ -1,11 +1,15 @@
 """Fixpoints over edge tables: components, reachability, dead nodes, dominators.
 
 Rounds are materialised in the shared folder, so the plan of a round never
-contains the rounds before it.
+contains the rounds before it. Graphs that stand in one row each, as the call graph of a
+program does, are worked on where they are: one pass, no rounds, no exchange (``small_graphs``).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -107,3 +111,80 @@ def call_edges(functions: DataFrame, known_only: bool = True) -> DataFrame:
     if known_only:
         edges = edges.join(each.select("program", F.col("src").alias("dst")).distinct(), ["program", "dst"], "left_semi")
     return edges.select("program", "src", "dst")
+
+
+# --- graphs of one row each ------------------------------------------------------------------------------
+
+
+def call_graphs(functions: DataFrame) -> DataFrame:
+    """``program``, ``nodes``, ``edges``, ``entry`` from rows of ``program`` and ``functions``.
+
+    Calls of outside functions are left out; the entry is the last function by line, null without functions.
+    """
+    named = functions.select("program", F.filter("functions", lambda f: f["name"].isNotNull()).alias("fs")).where("fs IS NOT NULL")
+    names = F.array_distinct(F.transform("fs", lambda f: f["name"]))
+    rows = named.withColumn("nodes", names)
+    none = F.array().cast("array<string>")
+    edges = F.array_distinct(F.flatten(F.transform("fs", lambda f: F.transform(F.array_intersect(F.coalesce(f["calls"], none), F.col("nodes")), lambda c: F.struct(f["name"].alias("src"), c.alias("dst"))))))
+    last = F.array_max(F.transform("fs", lambda f: F.struct(f["lineno"].alias("line"), f["name"].alias("name"))))
+    return rows.select("program", "nodes", edges.alias("edges"), last["name"].alias("entry"))
+
+
+def small_graphs(graphs: DataFrame, work: Callable[[list[str], list[tuple[str, str]], str | None], list[tuple]], columns: list[str], key: str = "program") -> DataFrame:
+    """``key`` and ``columns``: what ``work`` finds in each graph of ``graphs`` (``key``, ``nodes``, ``edges``, ``entry``)."""
+    kind = graphs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, found = [], []
+            nodes, edges, entries = (batch.column(i).to_pylist() for i in range(1, 4))
+            for row, (ns, es, entry) in enumerate(zip(nodes, edges, entries)):
+                rows = work(ns or [], [(e["src"], e["dst"]) for e in es or []], entry)
+                at += [row] * len(rows)
+                found += rows
+            if at:
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), *[pa.array(c, pa.string()) for c in zip(*found)]], [key, *columns])
+
+    return graphs.select(key, "nodes", "edges", "entry").mapInArrow(run, f"{key} {kind}, " + ", ".join(f"{c} string" for c in columns))
+
+
+def _after(edges: list[tuple[str, str]]) -> dict[str, list[str]]:
+    after: dict[str, list[str]] = {}
+    for a, b in edges:
+        after.setdefault(a, []).append(b)
+    return after
+
+
+def _reach(after: dict[str, list[str]], starts: list[str], without: str | None = None) -> set[str]:
+    seen, todo = set(starts) - {without}, [s for s in starts if s != without]
+    while todo:
+        for n in after.get(todo.pop(), ()):
+            if n not in seen and n != without:
+                seen.add(n)
+                todo.append(n)
+    return seen
+
+
+def paths_of(nodes: list[str], edges: list[tuple[str, str]], entry: str | None) -> list[tuple[str, str]]:
+    """(src, dst) with a path of one edge or more."""
+    after = _after(edges)
+    return [(a, b) for a in after for b in _reach(after, after[a])]
+
+
+def unreached_of(nodes: list[str], edges: list[tuple[str, str]], entry: str | None) -> list[tuple[str]]:
+    """Nodes that the entry doesn't reach."""
+    live = _reach(_after(edges), [entry] if entry is not None else [])
+    return [(n,) for n in dict.fromkeys(nodes) if n not in live]
+
+
+def dominators_of(nodes: list[str], edges: list[tuple[str, str]], entry: str | None) -> list[tuple[str, str]]:
+    """(a, b): a, neither b nor the entry, is on every path from the entry to b."""
+    if entry is None:
+        return []
+    after = _after(edges)
+    live = _reach(after, [entry])
+    out = []
+    for a in live - {entry}:
+        left = _reach(after, [entry], a)
+        out += [(a, b) for b in live - {entry, a} if b not in left]
+    return out

@@ -174,9 +174,9 @@ def selection_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _records(spark: SparkSession, sf_dir: str, strict: bool = False) -> DataFrame:
+def _records(spark: SparkSession, sf_dir: str, *fields: str, strict: bool = False) -> DataFrame:
     code = text_table(spark, sf_dir, "code", "program", "file_name", "code").where(F.lower("file_name").endswith(".py"))
-    return analysis.analyse(code, "program", "code", strict)
+    return analysis.analyse(code, "program", "code", strict, fields or None)
 
 
 @REGISTRY.query("semantic_records")
@@ -188,31 +188,31 @@ def semantic_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.query("record_routing")
 def record_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Programs by status of their record."""
-    return profile.value_counts(_records(spark, sf_dir), "status")
+    return profile.value_counts(_records(spark, sf_dir, "functions"), "status")
 
 
 @REGISTRY.query("cfg_statements")
 def cfg_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statements of all programs with their place in the flow, dead ones marked."""
-    return analysis.fact_table(_records(spark, sf_dir), "cfg_statements")
+    return analysis.fact_table(_records(spark, sf_dir, "cfg_statements"), "cfg_statements")
 
 
 @REGISTRY.query("loop_certainty")
 def loop_certainty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loops and whether they surely, never or perhaps run; nested writes are taken into account."""
-    return analysis.fact_table(_records(spark, sf_dir, strict=True), "loops")
+    return analysis.fact_table(_records(spark, sf_dir, "loops", strict=True), "loops")
 
 
 @REGISTRY.query("statement_dominators")
 def statement_dominators(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strict dominator pairs between statements."""
-    return analysis.fact_table(_records(spark, sf_dir), "strict_dominators")
+    return analysis.fact_table(_records(spark, sf_dir, "strict_dominators"), "strict_dominators")
 
 
 @REGISTRY.query("variable_dependencies")
 def variable_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What assigned variables depend on, and one thing each that they don't."""
-    deps = analysis.fact_table(_records(spark, sf_dir), "var_dependencies")
+    deps = analysis.fact_table(_records(spark, sf_dir, "var_dependencies"), "var_dependencies")
     return deps.select("program", "label", F.col("from.var").alias("var"), F.col("from.line").alias("line"), F.col("depends_on.var").alias("on_var"), F.col("depends_on.line").alias("on_line"))
 
 
@@ -227,21 +227,19 @@ def dependency_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.query("live_variables")
 def live_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Variables live before each statement, by windows over each variable's own rows."""
-    return dataflow.live_before(analysis.def_use_rows(_records(spark, sf_dir)), ["program", "function"])
+    return dataflow.live_before(analysis.def_use_rows(_records(spark, sf_dir, "steps")), ["program", "function"])
 
 
 @REGISTRY.query("live_out_variables")
 def live_out_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether each variable is live at the end of its function."""
-    records = _records(spark, sf_dir)
-    returned = analysis.fact_table(records, "steps").where("returns").select("program", "function", F.explode("uses").alias("var"))
-    return dataflow.live_out(analysis.fact_table(records, "liveness"), returned, ["program", "function"])
+    return dataflow.live_out_rows(_records(spark, sf_dir, "steps", "liveness"))
 
 
 @REGISTRY.query("def_use_pairs")
 def def_use_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each use with the definition before it."""
-    return dataflow.direct_def_use(analysis.def_use_rows(_records(spark, sf_dir)), ["program", "function"])
+    return dataflow.direct_def_use(analysis.def_use_rows(_records(spark, sf_dir, "steps")), ["program", "function"])
 
 
 _ONE = """parsed AS (SELECT program, max_by(functions, struct_pack(a := analysed_at, f := file)) AS functions FROM parsed_code GROUP BY program),
@@ -263,17 +261,12 @@ SELECT * FROM paths""",
 )
 def call_reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of functions with a call path, by program."""
-    return graph.closure(graph.call_edges(parsed_functions(spark, sf_dir)), ["program"])
+    return graph.small_graphs(graph.call_graphs(parsed_functions(spark, sf_dir)), graph.paths_of, ["src", "dst"])
 
 
 _ENTRY = "entries AS (SELECT program, max_by(f.name, struct_pack(l := f.lineno, n := f.name)) AS node FROM fns GROUP BY program)"
 
 
-def _entries(functions: DataFrame) -> DataFrame:
-    each = functions.select("program", F.explode("functions").alias("f"))
-    return each.groupBy("program").agg(F.max_by("f.name", F.struct("f.lineno", "f.name")).alias("node"))
-
-
 @REGISTRY.query(
     "dead_functions",
     f"""WITH RECURSIVE {_ONE}, {_ENTRY}, live AS (SELECT program, node FROM entries UNION SELECT l.program, e.dst FROM live l JOIN edges e ON l.program = e.program AND l.node = e.src)
@@ -281,9 +274,7 @@ SELECT n.program, n.node FROM names n ANTI JOIN live l ON n.program = l.program
 )
 def dead_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Functions that the last function of their program, where it starts, never calls, directly or not."""
-    functions = parsed_functions(spark, sf_dir)
-    nodes = functions.select("program", F.explode("functions.name").alias("node"))
-    return graph.dead_nodes(nodes, graph.call_edges(functions), _entries(functions), ["program"])
+    return graph.small_graphs(graph.call_graphs(parsed_functions(spark, sf_dir)), graph.unreached_of, ["node"])
 
 
 @REGISTRY.query(
@@ -297,8 +288,7 @@ WHERE NOT EXISTS (SELECT 1 FROM around r WHERE r.program = x.program AND r.remov
 )
 def call_dominators(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Functions without which another one isn't reached from the entry."""
-    functions = parsed_functions(spark, sf_dir)
-    return graph.strict_dominators(graph.call_edges(functions), _entries(functions), ["program"])
+    return graph.small_graphs(graph.call_graphs(parsed_functions(spark, sf_dir)), graph.dominators_of, ["a", "b"])
 
 
 @REGISTRY.query(

@@ -105,22 +105,21 @@ def negative_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dataflow.smallest_missing(universe, present, ["program", "function"], "var")
 
 
-def _label_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    code = text_table(spark, sf_dir, "code", "program", "file_name", "code").where(F.lower("file_name").endswith(".py"))
-    return materialise(analysis.analyse(code, "program", "code"), "records")
+def _python_programs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_table(spark, sf_dir, "code", "program", "file_name", "code").where(F.lower("file_name").endswith(".py"))
 
 
 @REGISTRY.query("label_generation")
 def label_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Balanced questions with labels for every Python program, from its facts."""
-    return labels.balanced(labels.candidates(_label_records(spark, sf_dir)))
+    return labels.generate(_python_programs(spark, sf_dir))
 
 
 @REGISTRY.query("label_maps")
 def label_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same as aligned lists by category; programs without facts have empty lists."""
-    records = _label_records(spark, sf_dir)
-    return labels.question_maps(records, labels.balanced(labels.candidates(records)))
+    programs = _python_programs(spark, sf_dir)
+    return labels.question_maps(programs.where("code IS NOT NULL").select("program"), labels.generate(programs))
 
 
 @REGISTRY.query("label_violations")
