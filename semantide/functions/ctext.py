@@ -76,3 +76,65 @@ def dominated(text: Column) -> Column:
 def _last_of_each(entries: Column) -> Column:
     """Entries with a key of its own each: the last one given."""
     return F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["k"] == e["k"]))
+
+
+def c_steps(programs: DataFrame, key: str = "program", text: str = "code") -> DataFrame:
+    """``key``, ``function``, ``pos``, ``line``, ``var``, ``is_def``, ``is_use`` of the statements of C functions, in textual order.
+
+    A statement is what ends in a semicolon or a brace; it defines the names that are assigned, incremented or declared with a value, and uses
+    the other names in it; names of functions that are called, keywords and members after ``.`` and ``->`` are left out.
+    Comments and strings are blanked first. Null text has no steps.
+    """
+    rows = programs.select(key, text).where(F.col(text).isNotNull())
+    spec = f"{key} {rows.schema[key].dataType.simpleString()}, function string, pos int, line int, var string, is_def boolean, is_use boolean"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import re
+
+        head = re.compile(r"^[ \t]*(?:[A-Za-z_][\w \t*]*?[\s*])(\w+)[ \t]*\([^)]*\)\s*\{", re.M)
+        silent = re.compile(r'/\*.*?\*/|//[^\n]*|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])+\'', re.S)
+        name = re.compile(r"(?<![\w.])(?<!->)([A-Za-z_]\w*)\b(\s*\()?")
+        target = re.compile(r"(?<![\w.])(?<!->)([A-Za-z_]\w*)\s*(?:\[[^\]]*\]\s*)*((?:[-+*/%&|^]|<<|>>)?=(?!=)|\+\+|--)|(?:\+\+|--)\s*([A-Za-z_]\w*)")
+        words = frozenset(C_WORDS)
+        for batch in batches:
+            at, found = [], []
+            for row, code in enumerate(batch.column(1).to_pylist()):
+                code = silent.sub(lambda m: re.sub(r"[^\n]", " ", m.group()), code)
+                for m in head.finditer(code):
+                    if m.group(1) in NO_CALLS:
+                        continue
+                    start = m.end() - 1
+                    body, pos = brace_block(code, start), 0
+                    for s in re.finditer(r"[^;{}]+", body):
+                        defs, uses = set(), set()
+                        for t in target.finditer(s.group()):
+                            v = t.group(1) or t.group(3)
+                            if v in words:
+                                continue
+                            defs.add(v)
+                            if (t.group(2) or "++") != "=":
+                                uses.add(v)
+                        plain = target.sub(lambda t: " " * len(t.group()) if t.group(2) == "=" and "[" not in t.group() else t.group(), s.group())
+                        uses |= {x.group(1) for x in name.finditer(plain) if not x.group(2) and x.group(1) not in words and x.group(1) not in defs}
+                        uses |= {v for v in defs if re.search(rf"(?<![\w.])(?<!->){v}\b(?!\s*\()", plain)}
+                        if not defs | uses:
+                            continue
+                        first = start + s.start() + len(s.group()) - len(s.group().lstrip())
+                        line = code.count("\n", 0, first) + 1
+                        for v in sorted(defs | uses):
+                            at.append(row)
+                            found.append((m.group(1), pos, line, v, v in defs, v in uses))
+                        pos += 1
+            if at:
+                types = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.bool_(), pa.bool_())
+                names = ("function", "pos", "line", "var", "is_def", "is_use")
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), *[pa.array(c, t) for c, t in zip(zip(*found), types)]], [key, *names])
+
+    return rows.mapInArrow(run, spec)
+
+
+# Words of C that are no variables.
+C_WORDS = (
+    "auto break case char const continue default do double else enum extern float for goto if inline int long register restrict return short signed sizeof static struct switch typedef union "
+    "unsigned void volatile while NULL size_t bool true false uint8_t uint16_t uint32_t uint64_t int8_t int16_t int32_t int64_t"
+).split()

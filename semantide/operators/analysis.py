@@ -839,3 +839,27 @@ def profile_trees(programs: DataFrame, key: str = "program", text: str = "code")
                 yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
     return rows.mapInArrow(run, spec)
+
+
+# --- what a record has -----------------------------------------------------------------------------------
+
+
+def presence(records: DataFrame, key: str = "program") -> DataFrame:
+    """``key``, a flag for each of the six kinds of facts, ``all_six``, ``reliable_loop`` and ``score``, the number of facts.
+
+    ``records`` are those of ``analyse``; without facts all flags are false and the score is 0.
+    """
+    n = lambda c: F.coalesce(F.when(F.col(c).isNotNull(), F.size(c)), F.lit(0))
+    dead = F.coalesce(F.size(F.filter("cfg_statements", lambda x: x["dead"])), F.lit(0))
+    dead = F.when(F.col("cfg_statements").isNull(), 0).otherwise(dead)
+    out = F.coalesce(F.exists("liveness", lambda x: x["liveout"]), F.lit(False))
+    sure = F.coalesce(F.exists("loops", lambda x: x["certainty"].isin("always_runs", "never_runs")), F.lit(False))
+    flags = {
+        "function_reachability": n("functions") >= 2, "loop_reachability": n("loops") > 0, "dominators": n("strict_dominators") > 0,
+        "data_dependency": n("var_dependencies") > 0, "liveness_known": out, "dead_code": dead > 0,
+    }
+    every = None
+    for f in flags.values():
+        every = f if every is None else every & f
+    score = n("functions") + n("cfg_statements") + n("loops") + n("strict_dominators") + n("var_dependencies") + dead + n("liveness")
+    return records.select(key, *[f.alias(c) for c, f in flags.items()], every.alias("all_six"), sure.alias("reliable_loop"), score.cast("bigint").alias("score"))

@@ -244,3 +244,50 @@ def keep_long_then_fill(df: DataFrame, stratum: str, long: Column, shares: dict[
         if quota:
             out = out.unionByName(diverse_sample(rest.where(F.col(stratum) == s), stratum, features, id_column, group, complexity, quota).select(id_column, stratum))
     return out
+
+
+def greedy_select(df: DataFrame, problem: str, keys: list[str], name: str, seats: int, used: DataFrame | None = None) -> DataFrame:
+    """The rows that a greedy choice takes: each time the one with the greatest (problem not used so far, ``keys``, ``name``).
+
+    A problem counts as used once a row of it is taken, or if ``used`` (a column ``problem``) has it. As that
+    comes before all other keys, the choice is: the best row of every new problem in the order of the keys, then all others
+    in their order. So it takes one aggregate and a top-k, and no window over a problem. Null problems are one problem,
+    null keys are least; ``name`` is unique. ``place`` tells the order.
+    """
+    group = F.coalesce(F.col(problem).cast("string"), F.lit(""))
+    best = df.groupBy(group.alias("_problem")).agg(F.max(F.struct(*keys, name)).alias("_best"))
+    if used is not None:
+        best = best.join(used.select(F.coalesce(F.col("problem").cast("string"), F.lit("")).alias("_problem")).distinct(), "_problem", "left_anti")
+    fresh = best.select(F.col(f"_best.{name}").alias(name), F.lit(1).alias("_new"))
+    order = [F.coalesce("_new", F.lit(0)).desc(), *[F.col(k).desc_nulls_last() for k in keys], F.col(name).desc()]
+    taken = df.join(fresh, name, "left").orderBy(*order).limit(seats)
+    # At most ``seats`` rows are numbered.
+    return taken.withColumn("place", F.row_number().over(Window.partitionBy().orderBy(*order))).drop("_new")
+
+
+def staged_select(df: DataFrame, problem: str, keys: list[str], name: str, reliable: str, bucket: str, targets: dict[str, int], seats: int) -> DataFrame:
+    """``df`` with ``stage``: reliable rows first, then each bucket up to its target, then whatever is left, by ``greedy_select``.
+
+    Problems used in a stage stay used in the next. ``targets`` names a handful of buckets. Raises if there are fewer than ``seats`` rows.
+    """
+    chosen: DataFrame | None = None
+
+    def take(pool: DataFrame, n: int, stage: str) -> None:
+        nonlocal chosen
+        if n <= 0:
+            return
+        rest = pool if chosen is None else pool.join(chosen.select(name), name, "left_anti")
+        used = None if chosen is None else chosen.select(F.col(problem).alias("problem"))
+        got = greedy_select(rest, problem, keys, name, n, used).drop("place").withColumn("stage", F.lit(stage))
+        chosen = materialise(got if chosen is None else chosen.unionByName(got), "stage")
+
+    sure, other = df.where(F.col(reliable)), df.where(~F.coalesce(F.col(reliable), F.lit(False)))
+    take(sure, seats, "reliable")
+    for b, target in targets.items():
+        counts = chosen.agg(F.count("*"), F.count_if(F.col(bucket) == b)).first() if chosen is not None else (0, 0)
+        take(other.where(F.col(bucket) == b), min(target - counts[1], seats - counts[0]), b)
+    take(other, seats - (chosen.count() if chosen is not None else 0), "rest")
+    n = 0 if chosen is None else chosen.count()
+    if n < seats:
+        raise ValueError(f"only {n} rows for {seats} seats")
+    return chosen

@@ -71,3 +71,26 @@ def with_default(rows: DataFrame, lookup: DataFrame, key: str, default: object)
     known = lookup.select(F.col(key).alias("_known"))
     matched = rows.join(known, F.col(key) == F.col("_known"), "left").withColumn("_use", F.coalesce("_known", F.lit(default))).drop("_known")
     return matched.join(lookup.withColumnRenamed(key, "_of"), F.col("_use") == F.col("_of"), "left").drop("_use", "_of")
+
+
+def required_join(left: DataFrame, right: DataFrame, keys: list[str], required: list[str]) -> DataFrame:
+    """Left join that raises where a row of ``left`` finds nothing, or a null, in a ``required`` column of ``right``."""
+    joined = left.join(right, keys, "left")
+    key = F.concat_ws(", ", *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys])
+    checked = {c: F.when(F.col(c).isNull(), F.raise_error(F.concat(F.lit(f"no {c} for "), key))).otherwise(F.col(c)) for c in required}
+    return joined.withColumns(checked)
+
+
+def in_order(df: DataFrame, key: str, names: list[str]) -> DataFrame:
+    """``df`` with ``ordinal``, for the names of a list and in its order; raises for a name that ``df`` lacks. Meant for lists of a row a model."""
+    order = df.sparkSession.createDataFrame(list(enumerate(names)), f"ordinal int, {key} {dict(df.dtypes)[key]}")
+    return required_join(order, df.withColumn("_there", F.lit(True)), [key], ["_there"]).drop("_there").orderBy("ordinal")
+
+
+def through_names(results: DataFrame, names: DataFrame, final: DataFrame, x: str, y: str) -> DataFrame:
+    """``model``, ``final_model``, ``x``, ``y``: results beside a final table whose models have other names; pairs with a null are left out.
+
+    ``names`` has ``model`` and ``final_model``, one row a model.
+    """
+    both = results.select("model", F.col(x).alias("x")).join(names, "model").join(final.select(F.col("model").alias("final_model"), F.col(y).alias("y")), "final_model")
+    return both.where("x IS NOT NULL AND y IS NOT NULL").select("model", "final_model", "x", "y")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,14 +20,43 @@ RESULT_FIELDS = (
 def programs(spark: SparkSession, path: str, pattern: str = "*", recursive: bool = True, errors: str = "replace") -> DataFrame:
     """``path``, ``file_name``, ``program`` (stem), ``code``: each file whole.
 
-    With ``errors`` "replace" bytes that aren't UTF-8 become U+FFFD; with "strict" such a file's code is null.
-    Files of zero bytes have no row, as in all of Spark's scans.
+    With ``errors`` "replace" bytes that aren't UTF-8 become U+FFFD, with "ignore" they are dropped, with "strict" such a file's code is null.
+    Scans leave out files of zero bytes; they are taken from the listing and have an empty code.
     """
     raw = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).load(path)
     text = F.col("content").cast("string")
-    code = F.try_validate_utf8(text) if errors == "strict" else F.make_valid_utf8(text)
+    rows = raw.select("path", "content")
+    if errors == "ignore":
+        code = rows.mapInArrow(_decode_ignoring, "path string, code string")
+    else:
+        code = rows.select("path", (F.try_validate_utf8(text) if errors == "strict" else F.make_valid_utf8(text)).alias("code"))
+    empty = [f for f in _empty_files(spark, path, pattern, recursive)]
+    if empty:
+        code = code.where("code <> '' OR code IS NULL").unionByName(spark.createDataFrame([(f, "") for f in empty], "path string, code string"))
     name = F.regexp_replace("path", r"^.*/", "")
-    return raw.select("path", name.alias("file_name"), stem(name).alias("program"), code.alias("code"))
+    return code.select("path", name.alias("file_name"), stem(name).alias("program"), "code")
+
+
+def _decode_ignoring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = [None if b is None else b.decode("utf-8", "ignore") for b in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["path", "code"])
+
+
+def _empty_files(spark: SparkSession, path: str, pattern: str, recursive: bool) -> Iterator[str]:
+    """Files of zero bytes below a folder; the listing is the one the scan's own index is made of."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return
+    glob = jvm.org.apache.hadoop.fs.GlobFilter(pattern)
+    files = fs.listFiles(root, recursive)
+    while files.hasNext():
+        f = files.next()
+        name = f.getPath().getName()
+        if f.getLen() == 0 and not name.startswith(("_", ".")) and glob.accept(f.getPath()):
+            yield f.getPath().toString()
 
 
 def suffix_or_none(df: DataFrame, suffix: str, all_files: bool = False) -> DataFrame:
@@ -46,12 +78,16 @@ def json_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return df.withColumn("program", stem(F.col("_metadata.file_name")))
 
 
-def json_lines(spark: SparkSession, path: str, schema: str = RESULT_FIELDS, required: tuple[str, ...] = ("category",)) -> DataFrame:
-    """JSON lines with the model's name from the directory; blank lines are skipped, malformed ones raise with their text.
+def json_lines(spark: SparkSession, path: str, schema: str = RESULT_FIELDS, required: tuple[str, ...] = ("category",), numbered: bool = False) -> DataFrame:
+    """JSON lines with the model's name from the directory; blank lines are skipped, malformed ones raise with their file and text.
 
-    Fields a line lacks are null; a null in ``required`` raises.
+    Fields a line lacks are null; a null in ``required`` raises. With ``numbered`` the number of the line is told, too; files
+    are then read whole instead of in splits.
     """
-    text = spark.read.text(path, recursiveFileLookup=True).select("value", F.col("_metadata.file_path").alias("_file")).where(F.trim("value") != "")
+    text = spark.read.text(path, recursiveFileLookup=True, wholetext=numbered).select("value", F.col("_metadata.file_path").alias("_file"))
+    if numbered:
+        text = text.select("_file", F.posexplode(F.split("value", "\r?\n")).alias("_n", "value")).withColumn("_file", F.concat("_file", F.lit(":"), (F.col("_n") + 1).cast("string"))).drop("_n")
+    text = text.where(F.trim("value") != "")
     parsed = text.withColumn("row", F.from_json("value", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"}))
     message = F.concat(F.lit("malformed line in "), F.col("_file"), F.lit(": "), F.substring("value", 1, 200))
     good = F.col("row._bad").isNull()
@@ -59,13 +95,17 @@ def json_lines(spark: SparkSession, path: str, schema: str = RESULT_FIELDS, requ
         good = good & F.col(f"row.{name}").isNotNull()
     checked = parsed.withColumn("row", F.when(good, F.col("row")).otherwise(F.raise_error(message)))
     rows = checked.select("row.*", "_file").drop("_bad")
-    model = F.regexp_extract("_file", r"([^/]+)/[^/]+$", 1)
+    folder = F.url_decode(F.replace(F.regexp_extract("_file", r"([^/]+)/[^/]+$", 1), F.lit("+"), F.lit("%2B")))
+    # A partitioned writer puts the column's name before the value, escapes it, and has a name for null.
+    value = F.url_decode(F.replace(F.regexp_replace(folder, r"^\w+=", ""), F.lit("+"), F.lit("%2B")))
+    model = F.when(~folder.rlike(r"^\w+="), folder).when(value != "__HIVE_DEFAULT_PARTITION__", value)
     return rows.withColumn("model", F.coalesce("model", model) if "model" in rows.columns else model).drop("_file")
 
 
 def csv_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """CSV with a header; fields may span lines and double their quotes."""
-    return spark.read.schema(schema).csv(path, header=True, multiLine=True, escape='"')
+    """CSV with a header; fields may span lines and double their quotes; an empty field in quotes is empty, one without is null."""
+    df = spark.read.schema(schema).option("emptyValue", "\x01").csv(path, header=True, multiLine=True, escape='"')
+    return df.select(*[F.when(F.col(c) == "\x01", "").otherwise(F.col(c)).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes])
 
 
 def status_log(df: DataFrame, text: str = "value", order: str = "line_no") -> DataFrame:
@@ -165,3 +205,17 @@ def derived_rates(df: DataFrame) -> DataFrame:
         F.try_divide((F.col("D1mr") + F.col("DLmr") + F.col("D1mw") + F.col("DLmw")).cast("double"), (F.col("Dr") + F.col("Dw")).cast("double")).alias("data_miss_rate"),
         F.try_divide(F.col("execution_time_cycles").cast("double"), F.col("execution_time")).alias("frequency"),
     )
+
+
+def program_list(df: DataFrame, suffix: str = ".c") -> DataFrame:
+    """``file_name`` of the programs a list names, once each, the suffix added where it lacks; null and blank names are left out."""
+    name = F.trim("program")
+    full = F.when(name.endswith(suffix), name).otherwise(F.concat(name, F.lit(suffix)))
+    return df.where(F.trim("program") != "").select(full.alias("file_name")).distinct()
+
+
+def dump_status(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``key``, ``status`` of a tool's output: EMPTY without any text, STAT_ERROR where it complains, else OK."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    status = F.when(F.trim(t) == "", "EMPTY").when(t.rlike(r"(?im)^\s*(?:[^\s:]+:\s*)?(?:fatal )?error:"), "STAT_ERROR").otherwise("OK")
+    return df.select(F.col(key), status.alias("status"))

@@ -1,7 +1,11 @@
-"""Sinks: partitioned JSON and CSV, routed records, plans of file moves, a LaTeX table."""
+"""Sinks: partitioned JSON and CSV, a file a row, routed records, plans of file moves, a LaTeX table."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +23,7 @@ def ordered_columns(df: DataFrame, preferred: list[str]) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str, preferred: list[str] | None = None, sep: str = ",") -> None:
     """CSV with a header, preferred columns first."""
-    ordered_columns(df, preferred or df.columns).write.mode("overwrite").option("header", "true").option("sep", sep).option("escape", '"').csv(path)
+    ordered_columns(df, preferred or df.columns).write.mode("overwrite").option("header", "true").option("sep", sep).option("escape", '"').option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(path)
 
 
 def write_routed(records: DataFrame, path: str, status: str = "status") -> None:
@@ -51,3 +55,32 @@ def latex_table(rows: list[tuple[str, ...]], head: tuple[str, ...], caption: str
     return "\n".join(
         [r"\begin{table}", r"\centering", rf"\caption{{{caption}}}", rf"\begin{{tabular}}{{l{'r' * (len(head) - 1)}}}", r"\hline", " & ".join(head) + r" \\", r"\hline", body, r"\hline", r"\end{tabular}", r"\end{table}"]
     )
+
+
+def write_files(df: DataFrame, path: str, name: str, content: str) -> int:
+    """Each row's ``content`` (text or bytes) as a file of its own at ``name`` below ``path``; the number of files.
+
+    An export for tools that want files: the tasks write them, a repeated task writes the same again. Rows without name or content have no file.
+    """
+    rows = df.select(F.col(name).cast("string").alias("name"), F.col(content).cast("binary").alias("content")).where("name IS NOT NULL AND content IS NOT NULL")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = FileSystem.from_uri(path) if ":" in path.split("/")[0] else (FileSystem.from_uri("file://" + path))
+        for batch in batches:
+            made = set()
+            for n, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                target = f"{root}/{n}"
+                folder = target.rpartition("/")[0]
+                if folder not in made:
+                    fs.create_dir(folder, recursive=True)
+                    made.add(folder)
+                with fs.open_output_stream(target) as out:
+                    out.write(c)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    return rows.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def report_line(label: str, value: float, digits: int | None = None) -> str:
+    """One line of a fixed report: integers with thousands separators, others with a fixed number of digits."""
+    return f"{label}: {value:,}" if digits is None else f"{label}: {value:.{digits}f}"
