@@ -213,8 +213,9 @@ def priority_select(df: DataFrame, group: str, order: list[Column], seats: int)
 
 
 def shard(df: DataFrame, key: str, shards: int) -> DataFrame:
-    """``df`` with ``shard``: a stable number from 0 to ``shards`` - 1."""
-    return df.withColumn("shard", F.pmod(F.xxhash64(key), F.lit(shards)).cast("int"))
+    """``df`` with ``shard``: a number from 0 to ``shards`` - 1 from the MD5 of the key, so that other engines can tell it, too."""
+    number = F.conv(F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 8), 16, 10).cast("bigint")
+    return df.withColumn("shard", F.pmod(number, F.lit(shards)).cast("int"))
 
 
 def micro_batches(df: DataFrame, keys: list[str], order: list[str], size: int) -> DataFrame:

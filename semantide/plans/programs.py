@@ -39,7 +39,18 @@ def loc_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@REGISTRY.query("source_lines_of_code")
+_BLANK_LINE = rf"regexp_full_match(x, '{_SPACE}*')"
+
+
+@REGISTRY.query(
+    "source_lines_of_code",
+    rf"""WITH plain AS (SELECT unique_id, lower(file_name) LIKE '%.c' AS c, CASE WHEN lower(file_name) LIKE '%.c' THEN
+ list_aggregate(list_transform(regexp_extract_all(regexp_replace(code, '("(?:\\[\s\S]|[^"\\])*(?:"|$)|''(?:\\[\s\S]|[^''\\])*(?:''|$)|/\*[\s\S]*?(?:\*/|$))|//[^\n]*', '\1', 'g'),
+  '("(?:\\[\s\S]|[^"\\])*(?:"|$)|''(?:\\[\s\S]|[^''\\])*(?:''|$)|/\*[\s\S]*?(?:\*/|$)|[^/"'']+|[/"''])', 1), lambda p: CASE WHEN starts_with(p, '/*') THEN regexp_replace(p, '[^\n]', '', 'g') ELSE p END), 'string_agg', '')
+ ELSE code END AS code FROM code WHERE code IS NOT NULL),
+ls AS (SELECT unique_id, c, regexp_split_to_array(coalesce(code, ''), {_BREAK}) AS ls FROM plain)
+SELECT unique_id, CASE WHEN c THEN 'c' ELSE 'python' END AS language, (len(list_filter(ls, lambda x: NOT {_BLANK_LINE})) - CASE WHEN c THEN 0 ELSE len(list_filter(ls, lambda x: starts_with(regexp_replace(x, '^{_SPACE}+', ''), '#'))) END)::INT AS sloc FROM ls""",
+)
 def source_lines_of_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of code without comments: by a comment stripper for C, by line starts for Python."""
     code = text_table(spark, sf_dir, "code", "unique_id", "file_name", "code").where("code IS NOT NULL")
@@ -139,7 +150,12 @@ def c_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctext.c_functions(text_table(spark, sf_dir, "code", "program", "file_name", "code").where(F.lower("file_name").endswith(".c")))
 
 
-@REGISTRY.query("c_loops")
+@REGISTRY.query(
+    "c_loops",
+    r"""WITH l AS (SELECT program, list_concat(list_concat(list_transform(regexp_extract_all(code, '\bfor\s*\([^;]+;([^;]*);[^)]+\)', 1), lambda x: {'kind': 'for', 'cond': trim(x, ' ')}),
+list_transform(regexp_extract_all(code, '\bwhile\s*\(([^)]*)\)', 1), lambda x: {'kind': 'while', 'cond': trim(x, ' ')})), list_transform(regexp_extract_all(code, '(\bdo\s*\{)', 1), lambda x: {'kind': 'do', 'cond': 'do-while'})) AS ls
+FROM code WHERE code IS NOT NULL AND lower(file_name) LIKE '%.c') SELECT program, i::INT AS header_id, ls[i + 1].kind AS kind, ls[i + 1].cond AS cond FROM (SELECT program, ls, unnest(range(len(ls))) AS i FROM l)""",
+)
 def c_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loops of the C programs, by patterns."""
     code = text_table(spark, sf_dir, "code", "program", "file_name", "code").where(F.lower("file_name").endswith(".c"))

@@ -122,7 +122,20 @@ def label_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.question_maps(programs.where("code IS NOT NULL").select("program"), labels.generate(programs))
 
 
-@REGISTRY.query("label_violations")
+@REGISTRY.query(
+    "label_violations",
+    rf"""WITH cats AS (SELECT program, e.key AS category, e.value AS questions, map_extract(ground_truth, e.key)[1] AS truth FROM (SELECT program, ground_truth, unnest(map_entries(queries)) AS e FROM question_labels)),
+lists AS (SELECT program, category, unnest([CASE WHEN truth IS NULL THEN 'missing ground truth' END, CASE WHEN truth IS NOT NULL AND len(questions) <> len(truth) THEN 'length mismatch' END,
+ CASE WHEN len(questions) > 4 THEN 'too many questions' END, CASE WHEN greatest(len(list_filter(truth, lambda x: x)), len(list_filter(truth, lambda x: NOT x))) > 2 THEN 'too many of one label' END]) AS problem, '' AS detail FROM cats),
+each AS (SELECT program, category, unnest(questions) AS question FROM cats),
+texts AS (SELECT program, category, unnest([CASE WHEN trim(question, ' ') = '' THEN 'empty question' END,
+ CASE WHEN regexp_matches(regexp_replace(question, '<statement>.*?</statement>', '<statement></statement>', 'g'), '\{{(?:src|dst|cond|func|var|code|a|b|a_id|b_id)\}}') THEN 'placeholder' END,
+ CASE WHEN contains(question, '<statement>  </statement>') THEN 'empty statement' END, CASE WHEN contains(lower(question), 'unknown') THEN 'unknown value' END]) AS problem, question AS detail FROM each),
+n AS (SELECT program, CASE WHEN ls[-1] = '' THEN len(ls) - 1 ELSE len(ls) END AS n FROM (SELECT program, regexp_split_to_array(code, '\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x{{85}}\x{{2028}}\x{{2029}}]') AS ls FROM code WHERE code <> '')),
+refs AS (SELECT program, category, question, try_cast(unnest(regexp_extract_all(question, 'line (\d+): <statement>', 1)) AS INT) AS line FROM each)
+SELECT * FROM lists WHERE problem IS NOT NULL UNION ALL SELECT * FROM texts WHERE problem IS NOT NULL
+UNION ALL SELECT program, category, 'unknown line', question FROM refs r WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.program = r.program AND r.line BETWEEN 1 AND n.n)""",
+)
 def label_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is wrong with the given question lists."""
     sizes = table(spark, sf_dir, "code").where("code IS NOT NULL AND code <> ''").select("program", line_count(F.col("code")).alias("n"))
@@ -130,15 +143,39 @@ def label_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.violations(table(spark, sf_dir, "question_labels"), lines)
 
 
-@REGISTRY.query("prompts")
+_INSTRUCTION = "Answer the question about the program with yes or no."
+_BACKGROUND = {"dominators": "A statement dominates another if every path to the other passes it.", "liveness": "A variable is live where its value may still be needed."}
+
+
+@REGISTRY.query(
+    "prompts",
+    rf"""WITH {_ZIP}, c AS (SELECT program, code, list_aggregate(list_transform(string_split(lower(coalesce(language, 'the')), ' '), lambda w: upper(w[1]) || w[2:]), 'string_agg', ' ') AS language,
+ list_aggregate(list_transform(ls, lambda x, i: i::VARCHAR || ': ' || x), 'string_agg', chr(10)) AS numbered FROM
+ (SELECT *, CASE WHEN l[-1] = '' THEN l[:-2] ELSE l END AS ls FROM (SELECT *, regexp_split_to_array(code, '\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x{{85}}\x{{2028}}\x{{2029}}]') AS l FROM code))),
+t AS (SELECT program, {_CAT} AS category, pos::INT AS pos, question, label FROM zipped)
+SELECT t.*, concat_ws(chr(10) || chr(10), '{_INSTRUCTION}', CASE t.category WHEN 'dominators' THEN '{_BACKGROUND["dominators"]}' WHEN 'liveness' THEN '{_BACKGROUND["liveness"]}' END,
+ coalesce(c.language, 'The') || ' code:' || chr(10) || coalesce(CASE WHEN t.category IN ('dominators', 'data_dependency') THEN c.numbered ELSE c.code END, ''), 'Question: ' || t.question) AS prompt FROM t LEFT JOIN c USING (program)""",
+)
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A prompt for every question: instruction, background, code and question."""
     tasks = labels.zipped(table(spark, sf_dir, "question_labels")).withColumn("category", category_name(F.col("category")))
-    background = {"dominators": "A statement dominates another if every path to the other passes it.", "liveness": "A variable is live where its value may still be needed."}
-    return labels.prompts(tasks, table(spark, sf_dir, "code"), background, "Answer the question about the program with yes or no.")
+    return labels.prompts(tasks, table(spark, sf_dir, "code"), _BACKGROUND, _INSTRUCTION)
+
+
+def _replay_sql() -> str:
+    """Verdicts of the recorded answers by the SQL of ``verdict_parse``, with keys for ids."""
+    from semantide.plans.results import _VERDICT
+
+    log = """src AS (SELECT * FROM result_log WHERE model IS NOT NULL AND program IS NOT NULL AND prompt IS NOT NULL), t AS (SELECT model, program, prompt, max(ground_truth) AS truth FROM src GROUP BY ALL),
+k AS (SELECT model, program, prompt, min_by(struct_pack(a := conversation[1].response.generated_texts[1]), struct_pack(l := log_id, r := received_at)) AS a FROM src WHERE error IS NULL GROUP BY ALL),
+j AS (SELECT t.*, k.a.a AS text, k.model IS NULL AS missing FROM t LEFT JOIN k USING (model, program, prompt)),
+log AS (SELECT struct_pack(m := model, p := program, q := prompt) AS log_id, truth AS ground_truth, [struct_pack(response := struct_pack(generated_texts := [text]))] AS conversation FROM j)"""
+    return f"""WITH {log}, {_VERDICT} SELECT j.model, j.program, j.prompt, j.truth AS ground_truth, j.text AS answer, CASE WHEN missing THEN 'no recorded answer' END AS error, CASE WHEN NOT missing THEN v.verdict END AS verdict,
+CASE WHEN NOT missing THEN CASE WHEN coalesce(v.verdict, false) THEN 'yes' ELSE 'no' END END AS final_answer, CASE WHEN NOT missing THEN v.verdict IS NOT DISTINCT FROM j.truth END AS correct,
+CASE WHEN NOT missing THEN v.verdict = j.truth END AS first_response_correct FROM j JOIN verdicts v ON v.log_id.m = j.model AND v.log_id.p = j.program AND v.log_id.q = j.prompt"""
 
 
-@REGISTRY.query("replayed_answers")
+@REGISTRY.query("replayed_answers", _replay_sql())
 def replayed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions of the log answered again from its own first answers, and scored."""
     log = table(spark, sf_dir, "result_log").where("model IS NOT NULL AND program IS NOT NULL AND prompt IS NOT NULL")

@@ -181,7 +181,7 @@ def micro_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("log_id", "logged_at", "model", F.col("batch").cast("bigint").alias("batch"))
 
 
-@REGISTRY.query("shards")
+@REGISTRY.query("shards", "SELECT log_id, (('0x' || md5(log_id::VARCHAR)[:8])::BIGINT % 16)::INT AS shard FROM result_log")
 def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tasks by a stable shard number."""
     return sampling.shard(table(spark, sf_dir, "result_log").select("log_id"), "log_id", 16)

@@ -168,11 +168,24 @@ def spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.spearman(_long(spark, sf_dir), ["category", "benchmark"], "x", "y").select("category", "benchmark", "n", F.round("r", 9).alias("r"))
 
 
-@REGISTRY.query("correlation_tests")
+# Student's t for whole degrees of freedom is a finite series in the angle.
+_SERIES = """list_sum(list_transform(range(0, {terms}), lambda k: coalesce(list_product(list_transform(range(1, k + 1), lambda i: {factor})), 1) * pow(cos(a), {power})))"""
+
+
+@REGISTRY.query(
+    "correlation_tests",
+    f"""WITH {_LONG}, {_PAIRS}, ranked AS (SELECT category, benchmark, rank() OVER (PARTITION BY category, benchmark ORDER BY x) + (count(*) OVER (PARTITION BY category, benchmark, x) - 1) / 2.0 AS x,
+rank() OVER (PARTITION BY category, benchmark ORDER BY y) + (count(*) OVER (PARTITION BY category, benchmark, y) - 1) / 2.0 AS y FROM pairs),
+c AS (SELECT category, benchmark, count(*) AS n, CASE WHEN count(*) >= 3 THEN corr(x, y) END AS r FROM ranked GROUP BY 1, 2),
+t AS (SELECT *, n - 2 AS v, CASE WHEN abs(r) < 1 THEN atan(abs(r) / sqrt(1 - r * r)) END AS a FROM c),
+q AS (SELECT *, CASE WHEN r IS NULL THEN NULL WHEN abs(r) >= 1 THEN 0.0 WHEN v % 2 = 0 THEN 1 - sin(a) * {_SERIES.format(terms="v // 2", factor="(2 * i - 1) / (2.0 * i)", power="2 * k")}
+ELSE 1 - 2 / pi() * (a + sin(a) * coalesce({_SERIES.format(terms="(v - 1) // 2", factor="2 * i / (2.0 * i + 1)", power="2 * k + 1")}, 0)) END AS p FROM t)
+SELECT category, benchmark, n, round(r, 9) AS r, round(p, 9) AS p, CASE WHEN p <= 0.001 THEN '***' WHEN p <= 0.01 THEN '**' WHEN p <= 0.05 THEN '*' ELSE '' END AS stars FROM q""",
+)
 def correlation_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The correlations with p-values and marks of significance."""
     found = stats.spearman(_long(spark, sf_dir), ["category", "benchmark"], "x", "y")
-    return found.withColumn("stars", stats.stars(F.col("p")))
+    return found.withColumn("stars", stats.stars(F.col("p"))).withColumns({"r": F.round("r", 9), "p": F.round("p", 9)})
 
 
 @REGISTRY.query(
