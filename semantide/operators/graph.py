@@ -49,37 +49,46 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 def closure(edges: DataFrame, keys: list[str], max_rounds: int = 40) -> DataFrame:
     """``keys``, ``src``, ``dst``: all pairs with a path of one or more edges, within each graph named by ``keys``.
 
-    Paths are doubled in each round, so the rounds are the logarithm of the longest shortest path. Meant
-    for many graphs of bounded size, such as the call graph of a program. Rows with a null end are ignored.
+    Paths are doubled in each round, so the rounds are the logarithm of the longest shortest path; a round only joins the pairs
+    that were new with all, and only what it finds is written. Meant
+    for many graphs of bounded size. Rows with a null end are ignored.
     """
     step = edges.where("src IS NOT NULL AND dst IS NOT NULL").select(*keys, "src", "dst").distinct()
-    known = materialise(step, "closure")
-    size = known.count()
+    known = fresh = materialise(step, "closure")
     for _ in range(max_rounds):
-        ahead = known.select(*keys, F.col("src").alias("dst"), F.col("dst").alias("far"))
-        longer = known.join(ahead, [*keys, "dst"]).select(*keys, "src", F.col("far").alias("dst"))
-        known = materialise(known.union(longer).distinct(), "closure")
-        now = known.count()
-        if now == size:
+        parts = [_joined(fresh, known, keys), _joined(known, fresh, keys)]
+        found = parts[0].union(parts[1]).distinct().join(known, [*keys, "src", "dst"], "left_anti")
+        fresh = materialise(found, "closure")
+        if fresh.isEmpty():
             return known
-        size = now
+        known = known.union(fresh)
     raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
 
 
+def _joined(first: DataFrame, then: DataFrame, keys: list[str]) -> DataFrame:
+    ahead = then.select(*keys, F.col("src").alias("dst"), F.col("dst").alias("far"))
+    return first.join(ahead, [*keys, "dst"]).select(*keys, "src", F.col("far").alias("dst"))
+
+
+#: Rounds after which the tables of a long walk are written as one.
+COMPACT = 16
+
+
 def reachable(edges: DataFrame, sources: DataFrame, keys: list[str], max_rounds: int = 10_000) -> DataFrame:
-    """``keys``, ``node``: the sources and all they reach, semi-naively: each round only follows the nodes that were new.
+    """``keys``, ``node``: the sources and all they reach, semi-naively: each round only follows the nodes that were new, and only writes those.
 
     ``sources`` has ``keys`` and ``node``.
     """
     step = materialise(edges.where("src IS NOT NULL AND dst IS NOT NULL").select(*keys, "src", "dst").distinct(), "edges")
-    seen = materialise(sources.select(*keys, "node").distinct(), "seen")
-    fresh = seen
-    for _ in range(max_rounds):
+    seen = fresh = materialise(sources.select(*keys, "node").distinct(), "seen")
+    for turn in range(1, max_rounds + 1):
         found = fresh.join(step.withColumnRenamed("src", "node"), [*keys, "node"]).select(*keys, F.col("dst").alias("node")).distinct()
         fresh = materialise(found.join(seen, [*keys, "node"], "left_anti"), "fresh")
-        if not fresh.limit(1).count():
+        if fresh.isEmpty():
             return seen
-        seen = materialise(seen.union(fresh), "seen")
+        seen = seen.union(fresh)
+        if turn % COMPACT == 0:
+            seen = materialise(seen, "seen")
     raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from semantide.functions.text import LOC_BOUNDS, LOC_LABELS, loc_bin
+from semantide.operators.ranges import positions
 
 
 def bin_table(spark) -> DataFrame:
@@ -22,34 +23,63 @@ def histogram(df: DataFrame, column: str) -> DataFrame:
     return rows.withColumn("pct", F.coalesce(F.try_divide(F.col("n") * 100.0, total), F.lit(0.0)))
 
 
+def _linear(p: float, column: str) -> Column:
+    """Value at ``(n - 1) p`` in order, between neighbours by proportion, as an aggregate over ``positions``."""
+    at = (F.col("_n") - 1) * F.lit(p)
+    low = F.max(F.when((F.col("_from") <= F.floor(at)) & (F.floor(at) < F.col("_to")), F.col(column)))
+    high = F.max(F.when((F.col("_from") <= F.ceil(at)) & (F.ceil(at) < F.col("_to")), F.col(column)))
+    part = F.max(at - F.floor(at))
+    return low + (high - low) * part
+
+
+def _with_all_groups(df: DataFrame, keys: list[str], found: DataFrame) -> DataFrame:
+    """``found`` with a row of nulls for the groups of ``df`` that have no value."""
+    groups = df.select(*keys).distinct()
+    if not keys:
+        return found
+    test = None
+    for k in keys:
+        same = groups[k].eqNullSafe(found[k])
+        test = same if test is None else test & same
+    return groups.join(found, test, "left").select(*[groups[k] for k in keys], *[found[c] for c in found.columns if c not in keys])
+
+
 def percentiles_linear(df: DataFrame, keys: list[str], column: str, points: dict[str, float]) -> DataFrame:
-    """Percentiles with linear interpolation, exact; null for groups without a value."""
-    return df.groupBy(*keys).agg(*[F.percentile(F.col(column).cast("double"), p).alias(name) for name, p in points.items()])
+    """Percentiles with linear interpolation, exact; null for groups without a value.
+
+    Positions come from value counts in ranges (``ranges.positions``), so no task holds the values of a group.
+    """
+    rows = df.select(*keys, F.col(column).cast("double").alias(column))
+    found = positions(rows, keys, column).groupBy(*keys).agg(*[_linear(p, column).alias(name) for name, p in points.items()])
+    return _with_all_groups(df, keys, found)
 
 
 def percentiles_nearest(df: DataFrame, keys: list[str], column: str, points: dict[str, float]) -> DataFrame:
     """Percentiles by nearest rank: the value at half-even ``round((n - 1) p)`` in order.
 
-    Ranks come from value counts, so a group is never gathered in one row.
+    Ranks come from value counts in ranges, so a group is never gathered in one task.
     """
-    counts = df.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count("*").alias("_k"))
-    w = Window.partitionBy(*keys).orderBy(column)
-    ranked = counts.select(*keys, column, (F.sum("_k").over(w) - F.col("_k")).alias("_from"), F.sum("_k").over(w).alias("_to"), F.sum("_k").over(Window.partitionBy(*keys)).alias("_n"))
 
     def at(p: float):
         rank = F.bround((F.col("_n") - 1) * F.lit(p), 0)
         return F.max(F.when((F.col("_from") <= rank) & (rank < F.col("_to")), F.col(column)))
 
-    return ranked.groupBy(*keys).agg(*[at(p).alias(name) for name, p in points.items()])
+    return positions(df, keys, column).groupBy(*keys).agg(*[at(p).alias(name) for name, p in points.items()])
 
 
 def describe(df: DataFrame, keys: list[str], column: str) -> DataFrame:
     """Count, mean, both standard deviations, extremes and exact quartiles of a column."""
     x = F.col(column).cast("double")
-    return df.groupBy(*keys).agg(
-        F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.stddev_pop(x).alias("std_pop"), F.min(x).alias("min"),
-        F.percentile(x, 0.25).alias("q1"), F.percentile(x, 0.5).alias("median"), F.percentile(x, 0.75).alias("q3"), F.max(x).alias("max"),
-    )
+    base = df.groupBy(*keys).agg(
+        F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.stddev_pop(x).alias("std_pop"), F.min(x).alias("min"), F.max(x).alias("max")
+    )
+    rows = df.select(*keys, x.alias(column))
+    found = positions(rows, keys, column).groupBy(*keys).agg(*[_linear(p, column).alias(q) for q, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))])
+    test = F.lit(True)
+    for k in keys:
+        test = test & base[k].eqNullSafe(found[k])
+    both = base.join(found, test, "left")
+    return both.select(*[base[k] for k in keys], "n", "mean", "std", "std_pop", "min", "q1", "median", "q3", "max")
 
 
 def rounded_summary(df: DataFrame, column: str) -> DataFrame:

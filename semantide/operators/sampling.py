@@ -11,6 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from semantide.operators.ranges import row_numbers
 from semantide.sources.shared import materialise
 
 #: Rows of a stratum that one task compares in a round; the number of rounds depends on it, the choice doesn't.
@@ -44,9 +45,9 @@ def stratified_sample(df: DataFrame, bin_column: str, quotas: DataFrame, id_colu
     The rank limit is pushed below the exchange as a group limit, so a task sends no more of a bin than the
     largest quota.
     """
-    # One row a bin, so the quotas fit everywhere; the greatest of them bounds every rank.
+    # One row a bin; the greatest quota bounds every rank.
     most = quotas.agg(F.max("quota")).first()[0] or 0
-    ranked = df.join(F.broadcast(quotas.select(bin_column, "quota")), bin_column).withColumn("_h", hash_order(seed, id_column))
+    ranked = df.join(quotas.select(bin_column, "quota"), bin_column).withColumn("_h", hash_order(seed, id_column))
     place = F.row_number().over(Window.partitionBy(bin_column).orderBy("_h", id_column))
     return ranked.withColumn("_place", place).where(F.col("_place") <= most).where(F.col("_place") <= F.col("quota")).drop("_h", "_place", "quota")
 
@@ -207,9 +208,9 @@ def diverse_sample(df: DataFrame, stratum: str, features: list[str], id_column:
 
 
 def priority_select(df: DataFrame, group: str, order: list[Column], seats: int) -> DataFrame:
-    """Rows by priority, the best of each ``group`` before any second one, up to ``seats``."""
+    """Rows by priority, the best of each ``group`` before any second one, up to ``seats``; no group can give more than that, so a task keeps no more."""
     rank = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    return df.withColumn("round", rank).orderBy("round", *order).limit(seats)
+    return df.withColumn("round", rank).where(F.col("round") <= seats).orderBy("round", *order).limit(seats)
 
 
 def shard(df: DataFrame, key: str, shards: int) -> DataFrame:
@@ -219,8 +220,8 @@ def shard(df: DataFrame, key: str, shards: int) -> DataFrame:
 
 
 def micro_batches(df: DataFrame, keys: list[str], order: list[str], size: int) -> DataFrame:
-    """``df`` with ``batch``: successive slices of ``size`` rows within ``keys``."""
-    return df.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1) / size).cast("int"))
+    """``df`` with ``batch``: successive slices of ``size`` rows within ``keys``; rows are numbered in ranges, whatever the size of a group."""
+    return row_numbers(df, keys, order, "_number").withColumn("batch", F.floor((F.col("_number") - 1) / size).cast("int")).drop("_number")
 
 
 def keep_long_then_fill(df: DataFrame, stratum: str, long: Column, shares: dict[str, float], features: list[str], id_column: str, group: str, complexity: str, seats: int) -> DataFrame:
