@@ -63,7 +63,13 @@ def p4_shared_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@REGISTRY.query("p4_links")
+@REGISTRY.query(
+    "p4_links",
+    """WITH reps AS (SELECT code, min(unique_id) AS rep FROM code WHERE length(code) >= 200 GROUP BY code), w AS (SELECT DISTINCT rep, substr(code, i, 200) AS s FROM (SELECT rep, code, unnest(range(1, length(code) - 198)) AS i FROM reps)),
+m AS (SELECT list(rep) AS ids FROM w GROUP BY s HAVING count(*) > 1), u AS (SELECT DISTINCT list_sort(ids) AS ids FROM m), x AS (SELECT ids, unnest(ids) AS a FROM u),
+l AS (SELECT a, count(*) AS n FROM (SELECT DISTINCT a, b FROM (SELECT a, unnest(ids) AS b FROM x) WHERE a <> b) GROUP BY a)
+SELECT unique_id, coalesce(rep, unique_id) AS class_id, coalesce(n, 0) AS n_links FROM code LEFT JOIN reps USING (code) LEFT JOIN l ON l.a = coalesce(rep, unique_id)""",
+)
 def p4_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a program: the program that stands for its class of equal texts, and how many unlike texts share a stretch with it."""
     spans = SharedSpans(text_table(spark, sf_dir, "code", "unique_id", "code"), "unique_id", "code", 200)
@@ -74,19 +80,28 @@ def p4_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("unique_id"), F.col("rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
+# Pairs of p3_found as a common table.
+_NEAR = """t AS (SELECT unique_id, regexp_extract_all(code, '[A-Za-z0-9_]+') AS t FROM code WHERE code IS NOT NULL),
+s AS (SELECT DISTINCT unique_id, t[i] || ' ' || t[i + 1] || ' ' || t[i + 2] AS run FROM (SELECT unique_id, t, unnest(range(1, len(t) - 1)) AS i FROM t WHERE len(t) >= 3)),
+n AS (SELECT unique_id, count(*) AS n FROM s GROUP BY 1), c AS (SELECT a.unique_id AS id_a, b.unique_id AS id_b, count(*) AS k FROM s a JOIN s b ON a.run = b.run AND a.unique_id < b.unique_id GROUP BY 1, 2),
+p AS (SELECT id_a, id_b FROM c JOIN n x ON x.unique_id = id_a JOIN n y ON y.unique_id = id_b WHERE k >= 0.6 * (x.n + y.n - k) - 1e-9)"""
+
+
 @REGISTRY.query(
     "p3_found",
-    """WITH t AS (SELECT unique_id, regexp_extract_all(code, '[A-Za-z0-9_]+') AS t FROM code WHERE code IS NOT NULL),
-s AS (SELECT DISTINCT unique_id, t[i] || ' ' || t[i + 1] || ' ' || t[i + 2] AS run FROM (SELECT unique_id, t, unnest(range(1, len(t) - 1)) AS i FROM t WHERE len(t) >= 3)),
-n AS (SELECT unique_id, count(*) AS n FROM s GROUP BY 1), c AS (SELECT a.unique_id AS id_a, b.unique_id AS id_b, count(*) AS k FROM s a JOIN s b ON a.run = b.run AND a.unique_id < b.unique_id GROUP BY 1, 2)
-SELECT id_a, id_b FROM c JOIN n x ON x.unique_id = id_a JOIN n y ON y.unique_id = id_b WHERE k >= 0.6 * (x.n + y.n - k) - 1e-9""",
+    f"WITH {_NEAR} SELECT id_a, id_b FROM p",
 )
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of programs whose sets of three successive tokens have a similarity of 0.6 or more."""
     return NearDuplicates(text_table(spark, sf_dir, "code", "unique_id", "code"), "unique_id", "code", 0.6, 3).pairs()
 
 
-@REGISTRY.query("p3_groups")
+@REGISTRY.query(
+    "p3_groups",
+    f"""WITH RECURSIVE {_NEAR}, b AS (SELECT id_a AS id, id_b AS other FROM p UNION SELECT id_b, id_a FROM p), r AS (SELECT id, other FROM b UNION SELECT r.id, b.other FROM r JOIN b ON r.other = b.id),
+g AS (SELECT id, least(id, min(other)) AS group_id FROM r GROUP BY id), l AS (SELECT id, count(*) AS n FROM b GROUP BY id)
+SELECT unique_id, coalesce(group_id, unique_id) AS group_id, coalesce(n, 0) AS n_links FROM code LEFT JOIN g ON g.id = unique_id LEFT JOIN l ON l.id = unique_id""",
+)
 def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of programs that are mostly the same, a row for each program; one without a partner is its own group."""
     found = NearDuplicates(text_table(spark, sf_dir, "code", "unique_id", "code"), "unique_id", "code", 0.6, 3).groups().withColumnRenamed("id", "unique_id")
