@@ -77,7 +77,13 @@ def required_join(left: DataFrame, right: DataFrame, keys: list[str], required:
     """Left join that raises where a row of ``left`` finds nothing, or a null, in a ``required`` column of ``right``."""
     joined = left.join(right, keys, "left")
     key = F.concat_ws(", ", *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys])
-    checked = {c: F.when(F.col(c).isNull(), F.raise_error(F.concat(F.lit(f"no {c} for "), key))).otherwise(F.col(c)) for c in required}
+    # The test is part of every column of the left side, too, so that a plan that leaves the required ones out still makes it.
+    checked = {}
+    for c in [*left.columns, *required]:
+        value = F.col(c)
+        for r in required:
+            value = F.when(F.col(r).isNull(), F.raise_error(F.concat(F.lit(f"no {r} for "), key))).otherwise(value)
+        checked[c] = value
     return joined.withColumns(checked)
 
 

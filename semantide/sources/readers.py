@@ -217,5 +217,5 @@ def program_list(df: DataFrame, suffix: str = ".c") -> DataFrame:
 def dump_status(df: DataFrame, key: str, text: str) -> DataFrame:
     """``key``, ``status`` of a tool's output: EMPTY without any text, STAT_ERROR where it complains, else OK."""
     t = F.coalesce(F.col(text), F.lit(""))
-    status = F.when(F.trim(t) == "", "EMPTY").when(t.rlike(r"(?im)^\s*(?:[^\s:]+:\s*)?(?:fatal )?error:"), "STAT_ERROR").otherwise("OK")
+    status = F.when(~t.rlike(r"\S"), "EMPTY").when(t.rlike(r"(?im)^\s*(?:[^\s:]+:\s*)?(?:fatal )?error:"), "STAT_ERROR").otherwise("OK")
     return df.select(F.col(key), status.alias("status"))
