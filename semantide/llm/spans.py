@@ -19,7 +19,7 @@ the number of classes. Pairs are written where a common stretch begins: records
 that agree around the anchor before, or around the next, have met there. So a pair of long equal texts is
 written once and not at each anchor.
 
-Around anchors texts are compared by themselves or by 128-bit digests of them; the 64-bit hashes only find anchors.
+Around anchors texts are compared by themselves or by 128-bit digests of them; the window of an anchor by the two 64-bit hashes that find and confirm it.
 
 Defined results: null texts and texts shorter than ``min_len`` share nothing; repeats
 inside one record do not count; a stretch is compared by code points, unnormalised.
@@ -168,7 +168,7 @@ def _context_mapper(half: int):
                 around = []
                 for p, h in sorted((x["pos"], x["h"]) for x in at):
                     left, mid, right = text[max(0, p - half) : p][::-1], text[p : p + half], text[p + half : p + 2 * half]
-                    around.append((p, h, left, mid, right, _digest(left, mid, right)))
+                    around.append((p, h, left, _signed(xxhash.xxh3_64_intdigest(mid.encode("utf-8", "surrogatepass"))), right, _digest(left, mid, right)))
                 own = _digest("record", str(i))
                 ks = [own, *(x[5] for x in around), own]
                 out += [(i, *x, before, after) for x, before, after in zip(around, ks, ks[2:])]
@@ -181,11 +181,15 @@ def _context_mapper(half: int):
     return run
 
 
-_CONTEXT = "pos long, h long, l string, m string, r string, k binary, prev binary, next binary"
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+_CONTEXT = "pos long, h long, l string, m long, r string, k binary, prev binary, next binary"
 
 
 def _context_batch(rows: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
-    types = [id_type, pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.binary(), pa.binary()]
+    types = [id_type, pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary()]
     names = ["id", *(c.split()[0] for c in _CONTEXT.split(", "))]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
@@ -317,7 +321,7 @@ class SharedSpans:
         many = self.classes.join(self._crowds().where(F.col("n") > PAIRWISE_CLASSES).select("h"), "h", "left_semi")
         each = many.select("h", "k", "l", "m", "r", F.explode(F.sequence(F.lit(0), F.lit(half))).alias("s"))
         fits = each.where((F.length("l") >= F.col("s")) & (F.length("r") >= half - F.col("s")))
-        window = F.concat(F.expr("substr(l, 1, s)"), F.lit("\0"), "m", F.lit("\0"), F.expr(f"substr(r, 1, {half} - s)"))
+        window = F.concat(F.expr("substr(l, 1, s)"), F.lit("\0"), F.col("m").cast("string"), F.lit("\0"), F.expr(f"substr(r, 1, {half} - s)"))
         before = F.when((F.col("s") < half) & (F.length("l") > F.col("s")), F.expr("cast(substr(l, s + 1, 1) as binary)")).otherwise(F.col("k"))
         return fits.select("h", "k", "s", F.unhex(F.md5(window.cast("binary"))).alias("w"), before.alias("c"))
 
