@@ -12,7 +12,8 @@ pairs of groups that reach the bound are opened, and their members compared exac
 Which runs are rare is only an order: it is read from about
 ``ORDER_SAMPLE`` records, chosen by a hash from all of them, and the result doesn't depend on it. Records with equal sets
 form one class from the start, so copies are compared once. A group holds records of like size, and only groups
-whose sizes can reach the threshold meet. No pair is lost.
+whose sizes can reach the threshold meet. The groups of a run that the sample shows to be in very many records meet in blocks, each a
+join key of its own, so no key holds all of them. No pair is lost.
 
 Defined results: null texts and texts with fewer than ``n`` tokens have no partner.
 """
@@ -34,6 +35,8 @@ from semantide.sources.shared import materialise
 
 #: Records from which the order of runs is read, on average, and the commonest runs of theirs that it tells apart.
 ORDER_SAMPLE, ORDER_RUNS = 2000, 200_000
+#: Records that have a run, by the sample, from which its groups meet in blocks of about so many.
+HOT_RUN = 2000
 #: Records a group of the matrix holds at most, on average after a split.
 GROUP_SIZE = 16
 
@@ -204,6 +207,7 @@ class NearDuplicates:
         counted = sample.mapInArrow(_run_mapper(self.token, self.n, self.prepare), "run long").groupBy("run").count().where("count > 1")
         counts = counted.orderBy(F.desc("count"), "run").limit(ORDER_RUNS).toPandas()
         runs = counts["run"].to_numpy(np.int64).view(np.uint64)
+        self.hot = [(int(r), -(-int(n) * every // HOT_RUN)) for r, n in zip(counts["run"], counts["count"]) if int(n) * every > HOT_RUN]
         order = np.argsort(runs)
         return runs[order], counts["count"].to_numpy(np.int32)[order]
 
@@ -230,16 +234,14 @@ class NearDuplicates:
             .otherwise(F.xxhash64("g", level, F.expr(f"pmod(xxhash64(id), cast(ceil(size / {GROUP_SIZE}) as int))")))
             .alias("grp"),
         )
-        # All members of a group have its level, so it is any of theirs.
-        matrix = placed.select(F.explode("prefix").alias("run"), "grp", "k", "level").repartition("run").groupBy("run", "grp").agg(F.min("k").alias("k"), F.min("level").alias("level"))
-        left = matrix.select("run", F.col("grp").alias("ga"), F.col("k").alias("ka"), F.col("level").alias("va"))
-        if self.probes is not None:
-            left = left.join(self._probed(placed).select(F.col("grp").alias("ga")), "ga", "left_semi")
-        right = matrix.select("run", F.col("grp").alias("gb"), F.col("k").alias("kb"), F.col("level").alias("vb"))
-        order = ("ga < gb" if self.probes is None else "ga <> gb") + " AND abs(va - vb) <= 1"
-        bound = left.join(right, "run").where(order).groupBy("ga", "gb").agg(
-            F.count("*").alias("shared"), F.min(F.least("ka", "kb")).alias("least")
-        )
+        rows = placed.select(F.explode("prefix").alias("run"), "grp", "k", "level")
+        if not self.hot:
+            met = self._meet(rows, placed, ["run"])
+        else:
+            # At most ``ORDER_RUNS`` rows.
+            hot = materialise(self.texts.sparkSession.createDataFrame(self.hot, "run long, blocks int"), "hot-runs")
+            met = self._meet(rows.join(hot.select("run"), "run", "left_anti"), placed, ["run"]).union(self._meet(rows.join(hot, "run"), placed, ["run", "left", "right"]))
+        bound = met.groupBy("ga", "gb").agg(F.count("*").alias("shared"), F.min("least").alias("least"))
         open_groups = bound.where(F.col("shared") >= F.col("least")).select("ga", "gb")
         members = materialise(placed.select("id", "n", "grp"), "members")
         a = members.select(F.col("grp").alias("ga"), F.col("id").alias("a"), F.col("n").alias("na"))
@@ -250,6 +252,24 @@ class NearDuplicates:
         pairs = opened.union(inside).where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         return pairs if self.probes is None else pairs.distinct()
 
+    def _meet(self, rows: DataFrame, placed: DataFrame, keys: list[str]) -> DataFrame:
+        """``ga``, ``gb``, ``least``: groups that have a run in common, once for each run; with blocks in the keys by block of the one and the other."""
+        blocked = len(keys) > 1
+        # All members of a group have its level, so it is any of theirs.
+        more = [F.min("level").alias("level")] + ([F.min("blocks").alias("blocks")] if blocked else [])
+        matrix = rows.repartition("run").groupBy("run", "grp").agg(F.min("k").alias("k"), *more)
+        sides = []
+        for x, own, other in (("a", "left", "right"), ("b", "right", "left")):
+            columns = ["run", F.col("grp").alias(f"g{x}"), F.col("k").alias(f"k{x}"), F.col("level").alias(f"v{x}")]
+            if blocked:
+                columns += [F.pmod(F.xxhash64("grp"), F.col("blocks")).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias(other)]
+            sides.append(matrix.select(*columns))
+        left, right = sides
+        if self.probes is not None:
+            left = left.join(self._probed(placed).select(F.col("grp").alias("ga")), "ga", "left_semi")
+        order = ("ga < gb" if self.probes is None else "ga <> gb") + " AND abs(va - vb) <= 1"
+        return left.join(right, keys).where(order).select("ga", "gb", F.least("ka", "kb").alias("least"))
+
     def _probed(self, placed: DataFrame) -> DataFrame:
         """Groups that hold a probe, or a copy of one."""
         stand_ins = self.copies.join(self.probes, "id", "left_semi").select(F.col("rep").alias("id")).union(self.probes)

@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+from semantide.llm import neardup
 from semantide.llm.plans import p3_groups
 from semantide.llm.neardup import NearDuplicates
 
@@ -81,3 +82,23 @@ def test_empty_table_and_clashing_columns(spark):
     df = spark.createDataFrame([(1, "a b c d", 2, 3), (2, "a b c d", 2, 3)], "k long, t string, id long, text long")
     assert NearDuplicates(df, "k", "t", 0.6, 3).pairs().count() == 1
     assert NearDuplicates(df.where("k < 0"), "k", "t", 0.6, 3).pairs().count() == 0
+
+
+def test_hot_runs_meet_in_blocks_without_losing_pairs(spark, monkeypatch):
+    # Records that are mostly the same words, so that common runs are among their rarest.
+    rng = random.Random(11)
+    rows = []
+    for k in range(80):
+        words = ["a", "b", "c", "d", "e"] * 4
+        words[rng.randrange(20)] = f"x{k}"
+        rows.append((k, " ".join(words[: rng.choice([8, 12, 20])])))
+    df = spark.createDataFrame(rows, "k long, t string")
+    monkeypatch.setattr(neardup, "HOT_RUN", 7)
+    monkeypatch.setattr(neardup, "GROUP_SIZE", 2)
+    for threshold, n in ((0.6, 3), (0.8, 2)):
+        near = NearDuplicates(df, "k", "t", threshold, n)
+        assert len(near.hot) > 3 and max(b for _, b in near.hot) > 3
+        assert {tuple(r) for r in near.pairs().collect()} == brute(rows, threshold, n)
+    probes = NearDuplicates(df, "k", "t", 0.6, 3, probes=spark.createDataFrame([(1,), (7,)], "id long"))
+    want = {(a, b) for x, y in brute(rows, 0.6, 3) for a, b in ((x, y), (y, x)) if b in (1, 7)}
+    assert {(r["id"], r["other"]) for r in probes.partners().collect()} == want
