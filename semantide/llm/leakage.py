@@ -173,7 +173,7 @@ def _words_suffice(item: list[str], there: set[str], n: int) -> bool:
     return max(map(int.__sub__, known[n:], known)) >= n - -(-n // 10)
 
 
-def _scan_mapper(items: list[tuple[object, list[str], int]], min_words: int, id_type: pa.DataType):
+def _scan_mapper(items: list[tuple[object, list[str], int]], min_words: int, id_type: pa.DataType, quoted: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = ahocorasick.Automaton()
         seeds: dict[str, list[int]] = defaultdict(list)
@@ -223,24 +223,25 @@ def _scan_mapper(items: list[tuple[object, list[str], int]], min_words: int, id_
                             places.append((lo, hi))
                     best = _align(item, question or need, words, places, need)
                     if best:
-                        out.append((doc_id, item_id, starts[best[0]], stops[best[1]], best[2]))
+                        a, b = starts[best[0]], stops[best[1]]
+                        out.append((doc_id, item_id, a, b, best[2], text[a:b] if quoted else None))
             if out:
                 cols = list(zip(*out))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cols[0], batch.schema.field(0).type), pa.array(cols[1], id_type)] + [pa.array(c, pa.int64()) for c in cols[2:]],
-                    ["doc", "item", "start", "stop", "words"],
+                    [pa.array(cols[0], batch.schema.field(0).type), pa.array(cols[1], id_type)] + [pa.array(c, pa.int64()) for c in cols[2:5]] + [pa.array(cols[5], pa.string())],
+                    ["doc", "item", "start", "stop", "words", "passage"],
                 )
 
     return run
 
 
 def leaks(
-    documents: DataFrame, doc_id: str, doc_text: str, items: DataFrame, item_id: str, item_text: str, item_answer: str | None = None, min_words: int = 15
+    documents: DataFrame, doc_id: str, doc_text: str, items: DataFrame, item_id: str, item_text: str, item_answer: str | None = None, min_words: int = 15, quoted: bool = False
 ) -> DataFrame:
-    """``doc``, ``item``, ``start``, ``stop``, ``words``: one row for each document and item it gives away.
+    """``doc``, ``item``, ``start``, ``stop``, ``words``, ``passage``: one row for each document and item it gives away.
 
     ``start`` and ``stop`` are code point offsets of the longest passage in the original text,
-    ``words`` the item's words in it. See the module's text.
+    ``words`` the item's words in it, ``passage`` its text if ``quoted``, else null. See the module's text.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -248,7 +249,7 @@ def leaks(
     answer = F.coalesce(F.col(item_answer), F.lit("")) if item_answer else F.lit("")
     rows = items.select(F.col(item_id).alias("item"), F.col(item_text).alias("text"), answer.alias("answer")).where("text IS NOT NULL").distinct()
     item_type, doc_type = rows.schema["item"].dataType, docs.schema["doc"].dataType
-    schema = f"doc {doc_type.simpleString()}, item {item_type.simpleString()}, start long, stop long, words long"
+    schema = f"doc {doc_type.simpleString()}, item {item_type.simpleString()}, start long, stop long, words long, passage string"
     # Six characters a word; the driver holds one block at a time.
     size = rows.agg(F.sum(F.length("text") + F.length("answer"))).first()[0] or 0
     blocks = max(1, -(-size // (6 * BLOCK_WORDS)))
@@ -256,7 +257,7 @@ def leaks(
     for block in range(blocks):
         part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("item", "text", "answer"), F.lit(blocks)) == block)
         words = [(r["item"], words_of(f"{r['text']} {r['answer']}")[0], len(words_of(r["text"])[0])) for r in part.toLocalIterator()]
-        hits = docs.mapInArrow(_scan_mapper([w for w in words if w[1]], min_words, to_arrow_type(item_type)), schema)
+        hits = docs.mapInArrow(_scan_mapper([w for w in words if w[1]], min_words, to_arrow_type(item_type), quoted), schema)
         hits = hits if blocks == 1 else materialise(hits, "leaks")
         found = hits if found is None else found.unionByName(hits)
     return found

@@ -125,8 +125,8 @@ def p5_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks(text_table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text", "answer")
+def _leaks(spark: SparkSession, sf_dir: str, quoted: bool = False) -> DataFrame:
+    return leaks(text_table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text", "answer", quoted=quoted)
 
 
 @REGISTRY.query("p6_found")
@@ -138,11 +138,8 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.query("p6_passages")
 def p6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The leaked passages with their offsets in the original text."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = _leaks(spark, sf_dir).withColumnRenamed("doc", "doc_id").withColumnRenamed("item", "item_id")
-    return found.join(docs, "doc_id").select(
-        "doc_id", "item_id", "start", "stop", "words", F.expr("substring(text, cast(start + 1 as int), cast(stop - start as int))").alias("passage")
-    )
+    found = _leaks(spark, sf_dir, quoted=True)
+    return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "start", "stop", "words", "passage")
 
 
 @REGISTRY.query("p7_mix")
