@@ -288,7 +288,8 @@ class SharedSpans:
         # Level 1: an anchor survives if two records have it (or two pieces of one long text; classes tell).
         # Partial aggregation keeps hot anchors small.
         repeated = anchors.groupBy("h").agg(F.sum("fresh").alias("records")).where("records > 1").select("h")
-        alive = anchors.join(repeated, "h", "left_semi").groupBy("id").agg(F.collect_list(F.struct("pos", "h")).alias("at"))
+        # As a table its size is known when the join is planned, so where few anchors are alive the texts don't travel.
+        alive = materialise(anchors.join(repeated, "h", "left_semi").groupBy("id").agg(F.collect_list(F.struct("pos", "h")).alias("at")), "alive")
         located = self.texts.join(alive, "id").select("id", "text", "at")
         self.members = materialise(located.mapInArrow(_context_mapper(half), f"id {self.id_type}, {_CONTEXT}"), "contexts")
         # Level 2: classes of equal surroundings, and what unlike classes have in common.
@@ -298,6 +299,7 @@ class SharedSpans:
             ),
             "classes",
         )
+        self._crowded: DataFrame | None = None
 
     def _sides(self, pairs: DataFrame) -> DataFrame:
         """(h, ka, kb, left, right): what pairs of classes have in common, if it is ``min_len`` or more."""
@@ -308,12 +310,16 @@ class SharedSpans:
         return self.classes.select("h", *[F.col(c).alias(c + side) for c in "klmr"])
 
     def _crowds(self) -> DataFrame:
-        return self.classes.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+        """Anchors with more than one class, and how many."""
+        if self._crowded is None:
+            self._crowded = materialise(self.classes.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "crowds")
+        return self._crowded
 
     def _links(self) -> DataFrame:
         """Linked classes of anchors with few classes."""
         few = self._crowds().where(F.col("n") <= PAIRWISE_CLASSES).select("h")
-        return self._sides(self._named("a").join(few, "h", "left_semi").join(self._named("b"), "h").where("ka < kb"))
+        a, b = (self._named(x).join(few, "h", "left_semi") for x in "ab")
+        return self._sides(a.join(b, "h").where("ka < kb"))
 
     def _shifted(self) -> DataFrame:
         """(h, k, s, w, c): windows of ``min_len`` around anchors with many classes, by shift and content, and the character before."""
