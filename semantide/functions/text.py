@@ -104,6 +104,13 @@ def numbered(text: Column) -> Column:
     return F.array_join(F.transform(lines(text), lambda x, i: F.concat((i + 1).cast("string"), F.lit(": "), x)), "\n")
 
 
+def from_code_map(document: Column) -> Column:
+    """Numbered code from a JSON object of line numbers and lines: numbers in their order, then other keys by text; null for what is no object."""
+    entries = F.map_entries(F.from_json(document, "map<string, string>"))
+    keyed = F.transform(entries, lambda e: F.struct(e["key"].try_cast("bigint").isNull().alias("other"), e["key"].try_cast("bigint").alias("n"), e["key"].alias("key"), e["value"].alias("line")))
+    return F.array_join(F.transform(F.array_sort(keyed), lambda e: F.concat(e["key"], F.lit(": "), F.coalesce(e["line"], F.lit("")))), "\n")
+
+
 def stem(name: Column) -> Column:
     """File name without directories and its last extension."""
     return F.regexp_replace(F.regexp_replace(name, r"^.*/", ""), r"(?<=.)\.[^.]*$", "")

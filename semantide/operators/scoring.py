@@ -66,8 +66,15 @@ def token_usage(log: DataFrame, keys: list[str], usage: str = "_usage_list") ->
     )
 
 
-def with_default(rows: DataFrame, lookup: DataFrame, key: str, default: object) -> DataFrame:
-    """Left lookup; rows without a match take the row of key ``default``. ``lookup`` has one row a key."""
+def with_default(rows: DataFrame, lookup: DataFrame, key: str, default: object, order: str | None = None) -> DataFrame:
+    """Left lookup; rows without a match take the row of key ``default``.
+
+    ``lookup`` has one row a key; where it has more, the last by ``order`` (a column of it, not taken over) counts.
+    """
+    if order is not None:
+        rest = [c for c in lookup.columns if c not in (key, order)]
+        last = lookup.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("_last"))
+        lookup = last.select(key, *[F.col(f"_last.{c}").alias(c) for c in rest])
     known = lookup.select(F.col(key).alias("_known"))
     matched = rows.join(known, F.col(key) == F.col("_known"), "left").withColumn("_use", F.coalesce("_known", F.lit(default))).drop("_known")
     return matched.join(lookup.withColumnRenamed(key, "_of"), F.col("_use") == F.col("_of"), "left").drop("_use", "_of")

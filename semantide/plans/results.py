@@ -111,9 +111,10 @@ SELECT m.model, m.family, m.n, CAST(coalesce(r.weight, (SELECT weight FROM rates
 )
 def rate_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lookup with a default row for what the table lacks."""
-    rates = spark.createDataFrame([("knot", 1.0), ("tern", 2.0), ("other", 0.5)], "family string, weight double")
+    # A family given twice has the rate given last.
+    rates = spark.createDataFrame([(0, "tern", 9.0), (1, "knot", 1.0), (2, "tern", 2.0), (3, "other", 0.5)], "line int, family string, weight double")
     models = _log(spark, sf_dir).groupBy("model", F.regexp_replace("model", "-.*$", "").alias("family")).agg(F.count("*").alias("n"))
-    return scoring.with_default(models, rates, "family", "other").select("model", "family", "n", "weight")
+    return scoring.with_default(models, rates, "family", "other", "line").select("model", "family", "n", "weight")
 
 
 @REGISTRY.query("error_rows", f"WITH {_LOG} SELECT coalesce(error, 'none') AS error, count(*) AS n, count(*) FILTER (WHERE final_answer IS NULL) AS unanswered FROM log GROUP BY 1")

@@ -187,3 +187,16 @@ def asked_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     tasks = table(spark, sf_dir, "result_log").select("log_id", "prompt", "ground_truth")
     return answering.ask(tasks, "parity", responder).select("log_id", "prompt", "answer", "error")
+
+
+@REGISTRY.query(
+    "code_maps",
+    r"""SELECT program, list_aggregate(list_transform(CASE WHEN ls[-1] = '' THEN ls[:-2] ELSE ls END, lambda x, i: i::VARCHAR || ': ' || x), 'string_agg', chr(10)) || chr(10) || 'end: ' || program AS numbered
+FROM (SELECT program, string_split(code, chr(10)) AS ls FROM toy_programs)""",
+)
+def code_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Programs as JSON maps of their lines, in no order, and numbered code made of them."""
+    rows = table(spark, sf_dir, "toy_programs").select("program", X.lines(F.col("code")).alias("ls"))
+    numbered = F.transform("ls", lambda x, i: F.struct((i + 1).cast("string").alias("key"), x.alias("value")))
+    entries = F.reverse(F.concat(numbered, F.array(F.struct(F.lit("end").alias("key"), F.col("program").alias("value")))))
+    return rows.select("program", X.from_code_map(F.to_json(F.map_from_entries(entries))).alias("numbered"))
