@@ -135,7 +135,7 @@ _EACH = """parsed AS (SELECT program, max_by(functions, struct_pack(a := analyse
 @REGISTRY.query(
     "c_live_out",
     f"""WITH {_EACH}, v AS (SELECT program, f.name AS function, unnest(f.variables) AS var FROM fns UNION SELECT program, f.name, unnest(f.calls) FROM fns), d AS (SELECT DISTINCT program, f.name AS var FROM fns)
-SELECT program, function, list_sort(list(DISTINCT var)) AS vars FROM v ANTI JOIN d USING (program, var) WHERE var IS NOT NULL GROUP BY 1, 2""",
+SELECT program, function, array_to_string(list_sort(list(DISTINCT var)), ',') AS vars FROM v ANTI JOIN d USING (program, var) WHERE var IS NOT NULL GROUP BY 1, 2""",
 )
 def c_live_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names at the exit of a function that don't stand for functions."""
@@ -143,7 +143,7 @@ def c_live_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     live, back = (each.select("program", "function", F.explode(c).alias("var")) for c in ("variables", "calls"))
     names = each.select("program", F.col("function").alias("var")).distinct()
     decayed = each.select("program", "function").distinct().join(names, "program")
-    return dataflow.c_live_out(live, back, decayed, ["program", "function"])
+    return dataflow.c_live_out(live, back, decayed, ["program", "function"]).withColumn("vars", F.array_join("vars", ","))
 
 
 @REGISTRY.query("trip_counts", f"WITH {_EACH} SELECT program, k::INT AS loop, CASE WHEN f.lineno % 3 > 0 THEN f.lineno::BIGINT END AS trips FROM (SELECT program, f, row_number() OVER (PARTITION BY program ORDER BY f.lineno, f.name) AS k FROM fns)")
