@@ -172,7 +172,7 @@ def cache_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REGISTRY.query(
     "ir_edges",
-    f"""WITH {_FUNCTIONS} SELECT DISTINCT program, f.name AS function, 'entry' AS src, 'call.' || c AS dst FROM (SELECT program, f, unnest(f.calls) AS c FROM fns) WHERE regexp_full_match(c, '[\w.$]+') AND regexp_full_match(f.name, '[\w.$]+')""",
+    rf"""WITH {_FUNCTIONS} SELECT DISTINCT program, f.name AS function, 'entry' AS src, 'call.' || c AS dst FROM (SELECT program, f, unnest(f.calls) AS c FROM fns) WHERE regexp_full_match(c, '[\w.$]+') AND regexp_full_match(f.name, '[\w.$]+')""",
 )
 def ir_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Successors of basic blocks, read from intermediate code made of the calls."""
