@@ -1,6 +1,9 @@
+import os
 import random
 from collections import Counter
 
+import numpy as np
+
 from semantide.llm import neardup
 from semantide.llm.plans import p3_groups
 from semantide.llm.neardup import NearDuplicates
@@ -102,3 +105,42 @@ def test_hot_runs_meet_in_blocks_without_losing_pairs(spark, monkeypatch):
     probes = NearDuplicates(df, "k", "t", 0.6, 3, probes=spark.createDataFrame([(1,), (7,)], "id long"))
     want = {(a, b) for x, y in brute(rows, 0.6, 3) for a, b in ((x, y), (y, x)) if b in (1, 7)}
     assert {(r["id"], r["other"]) for r in probes.partners().collect()} == want
+
+
+def test_signatures_never_overstate_a_difference():
+    rng = np.random.default_rng(3)
+    for size in (1, 5, 40, 300, 3000):
+        x = rng.integers(0, 1 << 63, size, np.uint64)
+        for other in (size, size * 2, max(1, size * 2 // 3)):
+            y = np.r_[x[: min(size, other) * 3 // 4], rng.integers(0, 1 << 63, other - min(size, other) * 3 // 4, np.uint64)]
+            least, most = neardup._differing(neardup.signature(x), neardup.signature(y)), len(np.setxor1d(x, y))
+            assert 0 <= least <= most and least % 2 == most % 2
+    x, y = (rng.integers(0, 1 << 63, 300, np.uint64) for _ in range(2))
+    assert neardup._differing(neardup.signature(x), neardup.signature(y)) > 0.25 * 600
+
+
+def test_sets_travel_only_for_near_pairs_and_tables_go(spark, monkeypatch):
+    # All records share some runs but are mostly unlike, and bring all runs to the matrix, so that every pair is a candidate by its runs.
+    rng = random.Random(5)
+    rows = [(k, " ".join([f"q{i}" for i in range(15)] + [f"w{rng.randrange(3000)}" for _ in range(200)])) for k in range(60)]
+    rows += [(100 + k, t + " z") for k, t in rows[:5]]
+    monkeypatch.setattr(neardup, "_spare", lambda n: n)
+    compared, discarded = [], []
+    compare, discard = NearDuplicates._compare, neardup.discard
+    monkeypatch.setattr(NearDuplicates, "_compare", lambda self, pairs: compared.append(pairs.count()) or compare(self, pairs))
+    monkeypatch.setattr(neardup, "discard", lambda *tables: discarded.extend(x.inputFiles()[0] for x in tables) or discard(*tables))
+    near = NearDuplicates(spark.createDataFrame(rows, "k long, t string"), "k", "t", 0.6, 3)
+    monkeypatch.setattr(near, "hot", [])
+    assert {tuple(r) for r in near.pairs().collect()} == brute(rows, 0.6, 3) == {(k, 100 + k) for k in range(5)}
+    assert compared == [5] and len(discarded) == 7
+    assert not any(os.path.exists(x.removeprefix("file://").removeprefix("file:")) for x in discarded)
+
+
+def test_a_larger_table_has_a_larger_sample(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "ORDER_SAMPLE", 10)
+    rows = [(k, f"a b c d{k % 150} e{k % 150} f{k % 150}") for k in range(3000)]
+    df = spark.createDataFrame(rows, "k long, t string")
+    near = NearDuplicates(df, "k", "t", 0.6, 3)
+    common, weight = near._order()
+    # A run of 20 records shows: one of 25 records is read, not ten in all.
+    assert len(common) > 20 and weight.max() > 60
