@@ -15,23 +15,29 @@ from semantide.sources.tables import table
 
 REGISTRY = Registry()
 
+#: Folders of a tree of files.
+FOLDERS = 256
+
 
 def _scratch(spark: SparkSession, name: str) -> str:
     return f"{own_dir(spark)}/{uuid.uuid4().hex}-{name}"
 
 
 def _tree(spark: SparkSession, sf_dir: str) -> str:
-    """The programs as files, each in a folder named after its id; a file of a program whose language is unknown has no suffix."""
+    """The programs as files in folders, the id before each name; a file of a program whose language is unknown has no suffix.
+
+    A folder takes a block of the disk, more than most programs, so there are ``FOLDERS`` and not one a program.
+    """
     code = table(spark, sf_dir, "code")
-    name = F.concat_ws("/", F.col("unique_id").cast("string"), F.when(F.col("language").isNull(), F.col("program")).otherwise(F.col("file_name")))
+    name = F.concat_ws("/", F.pmod("unique_id", F.lit(FOLDERS)), F.concat_ws("-", "unique_id", F.when(F.col("language").isNull(), F.col("program")).otherwise(F.col("file_name"))))
     path = _scratch(spark, "tree")
     writers.write_files(code.select(name.alias("name"), "code"), path, "name", "code")
     return path
 
 
 def _ids(df: DataFrame) -> DataFrame:
-    """Files read back: the id from their folder, their name, and what is in them."""
-    return df.select(F.regexp_extract("path", r"/(\d+)/[^/]+$", 1).cast("bigint").alias("unique_id"), "file_name", F.length("code").cast("bigint").alias("n_chars"), F.md5("code").alias("digest"))
+    """Files read back: the id before their name, their name, and what is in them."""
+    return df.select(F.regexp_extract("file_name", r"^(\d+)-", 1).cast("bigint").alias("unique_id"), F.regexp_replace("file_name", r"^\d+-", "").alias("file_name"), F.length("code").cast("bigint").alias("n_chars"), F.md5("code").alias("digest"))
 
 
 _FILES = "(SELECT unique_id, CASE WHEN language IS NULL THEN program ELSE file_name END AS file_name, length(code) AS n_chars, md5(code) AS digest FROM code WHERE code IS NOT NULL)"

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Iterator
+from functools import partial
+from itertools import batched
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +14,8 @@ from pyspark.sql import functions as F
 
 from semantide.functions.text import header_function, lines, stem
 
+#: Bytes of files that a task holds at a time, beyond the file it reads.
+READ_BYTES = 8 << 20
 RESULT_FIELDS = (
     "log_id long, model string, program string, category string, prompt string, ground_truth boolean, "
     "conversation array<struct<role string, response struct<generated_texts array<string>>, parsed_decisions boolean>>, first_response_correct boolean, "
@@ -18,25 +24,118 @@ RESULT_FIELDS = (
 
 
 def programs(spark: SparkSession, path: str, pattern: str = "*", recursive: bool = True, errors: str = "replace") -> DataFrame:
-    """``path``, ``file_name``, ``program`` (stem), ``code``: each file whole.
+    """``path``, ``file_name``, ``program`` (stem), ``code``: each file whole, empty ones too.
 
     With ``errors`` "replace" bytes that aren't UTF-8 become U+FFFD, with "ignore" they are dropped, with "strict" such a file's code is null.
-    Scans leave out files of zero bytes; they are taken from the listing and have an empty code.
+    Files of the local file system (or of one mounted on all executors) are listed and read by tasks, whose number doesn't depend on that of
+    the files. Other file systems are scanned by Spark, which leaves out names that begin with "_" or ".".
     """
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).load(path)
-    text = F.col("content").cast("string")
-    rows = raw.select("path", "content")
+    roots = _local_roots(spark, path)
+    rows = _local_files(spark, roots, pattern, recursive) if roots else _scanned_files(spark, path, pattern, recursive)
     if errors == "ignore":
         code = rows.mapInArrow(_decode_ignoring, "path string, code string")
     else:
+        text = F.col("content").cast("string")
         code = rows.select("path", (F.try_validate_utf8(text) if errors == "strict" else F.make_valid_utf8(text)).alias("code"))
-    empty = [f for f in _empty_files(spark, path, pattern, recursive)]
-    if empty:
-        code = code.where("code <> '' OR code IS NULL").unionByName(spark.createDataFrame([(f, "") for f in empty], "path string, code string"))
     name = F.regexp_replace("path", r"^.*/", "")
     return code.select("path", name.alias("file_name"), stem(name).alias("program"), "code")
 
 
+def _local_roots(spark: SparkSession, path: str) -> list[str]:
+    """The local files and folders that ``path`` names or matches; none where it is on another file system or isn't there."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [f.getPath().toUri().getPath() for f in fs.globStatus(root) or ()] if fs.getUri().getScheme() == "file" else []
+
+
+def _local_files(spark: SparkSession, roots: list[str], pattern: str, recursive: bool) -> DataFrame:
+    """``path``, ``content`` of local files.
+
+    One task lists what is directly below ``roots``, others what is in the folders found there. Both times the paths, not the contents, are
+    dealt out by their hash, so a crowded folder isn't read by the task that lists it.
+    """
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    glob = spark.sparkContext._jvm.org.apache.hadoop.fs.GlobPattern.compile(pattern).pattern()
+    found = spark.range(0, 1, 1, 1).mapInArrow(partial(_list_roots, roots, glob, recursive), "path binary, is_folder boolean").repartition(tasks, "path")
+    if recursive:
+        found = found.mapInArrow(partial(_list_folders, glob), "path binary, is_folder boolean").repartition(tasks, "path")
+    return found.select("path").mapInArrow(_read_files, "path string, content binary")
+
+
+def _entries(folder: str, glob: str) -> Iterator[tuple[str, bool]]:
+    """Folders and fitting files directly below ``folder``, and whether they are folders."""
+    fits = re.compile(glob, re.DOTALL).fullmatch
+    with os.scandir(folder) as entries:
+        for e in entries:
+            if e.is_dir():
+                yield e.path, True
+            elif e.is_file() and fits(e.name):
+                yield e.path, False
+
+
+def _list_roots(roots: list[str], glob: str, recursive: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found() -> Iterator[tuple[str, bool]]:
+        for root in roots:
+            if os.path.isdir(root):
+                yield from (e for e in _entries(root, glob) if recursive or not e[1])
+            elif re.compile(glob, re.DOTALL).fullmatch(os.path.basename(root)):
+                yield root, False
+
+    for _ in batches:
+        yield from _listed(found())
+
+
+def _list_folders(glob: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batch: pa.RecordBatch) -> Iterator[tuple[str, bool]]:
+        for path, is_folder in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if not is_folder:
+                yield os.fsdecode(path), False
+            waiting = [os.fsdecode(path)] if is_folder else []
+            while waiting:
+                for entry in _entries(waiting.pop(), glob):
+                    if entry[1]:
+                        waiting.append(entry[0])
+                    else:
+                        yield entry
+
+    for batch in batches:
+        yield from _listed(found(batch))
+
+
+def _listed(found: Iterator[tuple[str, bool]]) -> Iterator[pa.RecordBatch]:
+    for part in batched(found, 10_000):
+        yield pa.RecordBatch.from_arrays([pa.array([os.fsencode(p) for p, _ in part], pa.binary()), pa.array([d for _, d in part], pa.bool_())], ["path", "is_folder"])
+
+
+def _read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Files whole, in batches of about ``READ_BYTES``."""
+    paths, contents, held = [], [], 0
+
+    def packed() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(contents, pa.binary())], ["path", "content"])
+
+    for batch in batches:
+        for path in batch.column(0).to_pylist():
+            with open(path, "rb") as f:
+                contents.append(f.read())
+            paths.append("file:" + path.decode("utf-8", "replace"))
+            held += len(contents[-1]) + len(path)
+            if held >= READ_BYTES:
+                yield packed()
+                paths, contents, held = [], [], 0
+    if paths:
+        yield packed()
+
+
+def _scanned_files(spark: SparkSession, path: str, pattern: str, recursive: bool) -> DataFrame:
+    """``path``, ``content`` by Spark's scan; it leaves out files of zero bytes, which are taken from the listing."""
+    rows = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).load(path).select("path", "content")
+    empty = list(_empty_files(spark, path, pattern, recursive))
+    if empty:
+        rows = rows.where(F.length("content") > 0).unionByName(spark.createDataFrame([(f, b"") for f in empty], "path string, content binary"))
+    return rows
+
+
 def _decode_ignoring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [None if b is None else b.decode("utf-8", "ignore") for b in batch.column(1).to_pylist()]
