@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semantide.functions import text as X
@@ -29,15 +29,23 @@ def _tree(spark: SparkSession, sf_dir: str) -> str:
     A folder takes a block of the disk, more than most programs, so there are ``FOLDERS`` and not one a program.
     """
     code = table(spark, sf_dir, "code")
-    name = F.concat_ws("/", F.pmod("unique_id", F.lit(FOLDERS)), F.concat_ws("-", "unique_id", F.when(F.col("language").isNull(), F.col("program")).otherwise(F.col("file_name"))))
+    name = F.concat(F.pmod("unique_id", F.lit(FOLDERS)).cast("string"), F.lit("/"), _marked(F.when(F.col("language").isNull(), F.col("program")).otherwise(F.col("file_name"))))
     path = _scratch(spark, "tree")
     writers.write_files(code.select(name.alias("name"), "code"), path, "name", "code")
     return path
 
 
+def _marked(name: Column) -> Column:
+    """A file's name with the id before it, null without name."""
+    return F.concat(F.col("unique_id").cast("string"), F.lit("-"), name)
+
+
 def _ids(df: DataFrame) -> DataFrame:
     """Files read back: the id before their name, their name, and what is in them."""
-    return df.select(F.regexp_extract("file_name", r"^(\d+)-", 1).cast("bigint").alias("unique_id"), F.regexp_replace("file_name", r"^\d+-", "").alias("file_name"), F.length("code").cast("bigint").alias("n_chars"), F.md5("code").alias("digest"))
+    marked = r"^(-?\d+)-"
+    return df.select(
+        F.regexp_extract("file_name", marked, 1).cast("bigint").alias("unique_id"), F.regexp_replace("file_name", marked, "").alias("file_name"), F.length("code").cast("bigint").alias("n_chars"), F.md5("code").alias("digest")
+    )
 
 
 _FILES = "(SELECT unique_id, CASE WHEN language IS NULL THEN program ELSE file_name END AS file_name, length(code) AS n_chars, md5(code) AS digest FROM code WHERE code IS NOT NULL)"

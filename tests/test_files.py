@@ -1,5 +1,6 @@
 import os
 
+import duckdb
 import pytest
 
 from semantide.plans import connectors
@@ -40,3 +41,13 @@ def test_a_tree_of_programs_has_no_folder_for_each(spark, tmp_path):
     tree = connectors._tree(spark, str(tmp_path))
     assert sum(len(files) for _, _, files in os.walk(tree)) == 700 and sum(len(folders) for _, folders, _ in os.walk(tree)) <= 256
     assert {tuple(r)[:3] for r in connectors.suffix_scan(spark, str(tmp_path)).collect()} == {(k, f"p{k}", len(f"int a{k};")) for k in range(0, 700, 2)}
+
+
+def test_trees_of_programs_with_negative_ids_and_without_names(spark, tmp_path):
+    rows = [(-7, "p", "p.c", "C", "int a;"), (8, "q", "q.c", "C", ""), (9, "-1-r", "-1-r.c", "c", "é"), (10, "s", None, "C", "x"), (11, None, "t.c", None, "x"), (12, "u.c", "u.c", None, "\r\n"), (13, "v", "", "C", "v"), (14, "w", "w.c", "C", None)]
+    spark.createDataFrame(rows, "unique_id long, program string, file_name string, language string, code string").write.parquet(f"{tmp_path}/code.parquet")
+    views = duckdb.connect()
+    views.execute(f"CREATE VIEW code AS SELECT * FROM read_parquet('{tmp_path}/code.parquet/*.parquet')")
+    for name in ("tree_of_c_files", "suffix_scan"):
+        query = f"SELECT unique_id, file_name, n_chars, digest FROM ({connectors.REGISTRY.sql[name]})"
+        assert {tuple(r) for r in connectors.REGISTRY.queries[name](spark, str(tmp_path)).collect()} == set(views.execute(query).fetchall())
