@@ -65,11 +65,11 @@ def suffix_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REGISTRY.query("flat_python_files", "SELECT file_name, program, length(code) AS n_chars, md5(code) AS digest FROM code WHERE code IS NOT NULL AND file_name LIKE '%.py'")
 def flat_python_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Python files of one folder; empty ones are among them."""
+    """Python files of one folder; empty ones are among them, and programs that share a name."""
     path = _scratch(spark, "flat")
-    writers.write_files(table(spark, sf_dir, "code"), path, "file_name", "code")
-    found = readers.programs(spark, path, "*.py", recursive=False)
-    return found.select("file_name", "program", F.length("code").cast("bigint").alias("n_chars"), F.md5("code").alias("digest"))
+    writers.write_files(table(spark, sf_dir, "code").select(_marked(F.col("file_name")).alias("name"), "code"), path, "name", "code")
+    found = _ids(readers.programs(spark, path, "*.py", recursive=False))
+    return found.select("file_name", X.stem(F.col("file_name")).alias("program"), "n_chars", "digest")
 
 
 @REGISTRY.query("first_by_stem", r"SELECT regexp_replace(regexp_extract(file, '[^/]*$'), '\.[^.]*$', '') AS program, min(file) AS path FROM parsed_code WHERE file IS NOT NULL GROUP BY 1")

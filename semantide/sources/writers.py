@@ -60,14 +60,16 @@ def latex_table(rows: list[tuple[str, ...]], head: tuple[str, ...], caption: str
 def write_files(df: DataFrame, path: str, name: str, content: str) -> int:
     """Each row's ``content`` (text or bytes) as a file of its own at ``name`` below ``path``; the number of files.
 
-    An export for tools that want files: the tasks write them, a repeated task writes the same again. Rows without name or content have no file.
+    An export for tools that want files: the tasks write them, a repeated task writes the same again. Rows without name or content have no file;
+    without any file ``path`` is an empty folder.
     """
     rows = df.select(F.col(name).cast("string").alias("name"), F.col(content).cast("binary").alias("content")).where("name IS NOT NULL AND content IS NOT NULL")
+    place = path if ":" in path.split("/")[0] else "file://" + path
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = FileSystem.from_uri(path) if ":" in path.split("/")[0] else (FileSystem.from_uri("file://" + path))
+        fs, root = FileSystem.from_uri(place)
+        made = set()
         for batch in batches:
-            made = set()
             for n, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 target = f"{root}/{n}"
                 folder = target.rpartition("/")[0]
@@ -78,6 +80,8 @@ def write_files(df: DataFrame, path: str, name: str, content: str) -> int:
                     out.write(c)
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
 
+    fs, root = FileSystem.from_uri(place)
+    fs.create_dir(root, recursive=True)
     return rows.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 

@@ -2,6 +2,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from semantide.plans import connectors
 from semantide.sources import readers
@@ -51,3 +52,15 @@ def test_trees_of_programs_with_negative_ids_and_without_names(spark, tmp_path):
     for name in ("tree_of_c_files", "suffix_scan"):
         query = f"SELECT unique_id, file_name, n_chars, digest FROM ({connectors.REGISTRY.sql[name]})"
         assert {tuple(r) for r in connectors.REGISTRY.queries[name](spark, str(tmp_path)).collect()} == set(views.execute(query).fetchall())
+
+
+def test_one_folder_holds_programs_that_share_a_name_or_none_at_all(spark, tmp_path):
+    rows = [(1, "a", "a.py", "x"), (2, "a", "a.py", "y"), (3, "__init__", "__init__.py", ""), (4, "b", "b.c", "z"), (5, "c", None, "c"), (6, "d", "d.py", None)]
+    df = spark.createDataFrame(rows, "unique_id long, program string, file_name string, code string").withColumn("language", F.lit("python"))
+    for sf, part, n in ((f"{tmp_path}/some", df, 3), (f"{tmp_path}/none", df.limit(0), 0)):
+        part.write.parquet(f"{sf}/code.parquet")
+        views = duckdb.connect()
+        views.execute(f"CREATE VIEW code AS SELECT * FROM read_parquet('{sf}/code.parquet/*.parquet')")
+        got = [tuple(r) for r in connectors.flat_python_files(spark, sf).collect()]
+        assert sorted(got) == sorted(views.execute(connectors.REGISTRY.sql["flat_python_files"]).fetchall()) and len(got) == n
+        assert n or not connectors.tree_of_c_files(spark, sf).collect()
