@@ -1,6 +1,7 @@
 import os
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,8 +18,17 @@ def test_reading_files_takes_no_task_for_every_few_of_them(spark, tmp_path):
     assert rows.rdd.getNumPartitions() == 8
 
 
-def test_files_in_folders_of_any_depth_and_of_any_name(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(readers, "READ_BYTES", 10)
+def test_a_task_holds_few_files_at_a_time(tmp_path, monkeypatch):
+    monkeypatch.setattr(readers, "READ_BYTES", 300)
+    for k in range(10):
+        (tmp_path / f"{k}").write_bytes(b"x" * 100 * k)
+    wanted = pa.RecordBatch.from_pydict({"path": [os.fsencode(tmp_path / f"{k}") for k in range(10)]})
+    got = [b.to_pydict() for b in readers._read_files(iter([wanted, wanted]))]
+    assert [c for b in got for c in b["content"]] == [b"x" * 100 * k for k in range(10)] * 2 and len(got) > 10
+    assert [p for b in got for p in b["path"]] == [f"file:{tmp_path}/{k}" for k in range(10)] * 2
+
+
+def test_files_in_folders_of_any_depth_and_of_any_name(spark, tmp_path):
     deep = tmp_path / "a/b b/é%20/_d"
     deep.mkdir(parents=True)
     for at in (tmp_path, deep):
